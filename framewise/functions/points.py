@@ -10,7 +10,7 @@ MODEL_POINTS = 14
 
 def centre_x(x1: Column, x2: Column) -> Column:
     """Middle of an interval as int, cut toward zero. NULL in, NULL out."""
-    return ((x1 + x2) / 2).cast("int")
+    return ((x1 + x2) / 2).try_cast("int")
 
 
 centre_y = centre_x
@@ -85,7 +85,7 @@ def keep_if(cond: Column, value: Column) -> Column:
 
 def round_to_int(c: Column) -> Column:
     """Round half to even."""
-    return F.bround(c).cast("int")
+    return F.bround(c).try_cast("int")
 
 
 def over_threshold(p: Column, threshold: float | None = 0.8) -> Column:

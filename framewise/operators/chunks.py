@@ -27,7 +27,7 @@ CHUNK = 65536
 KEYS = ("video_id",)
 ORDER = "frame"
 
-_UNBOUNDED = Window.unboundedPreceding
+UNBOUNDED = Window.unboundedPreceding
 
 
 def chunk_of(order: str, size: int) -> Column:
@@ -48,7 +48,7 @@ def desc(keys: Sequence[str] = KEYS, order: str = ORDER) -> WindowSpec:
 
 
 def so_far(window: WindowSpec) -> WindowSpec:
-    return window.rowsBetween(_UNBOUNDED, 0)
+    return window.rowsBetween(UNBOUNDED, 0)
 
 
 def with_halo(df: DataFrame, order: str, before: int, after: int, size: int) -> DataFrame:
@@ -108,8 +108,8 @@ def carry_table(
             part_f = F.lag(f"{c}_{part}_f").over(window)
             for kind in ("f", "v"):
                 value = f"{c}_{whole}_{kind}"
-                farther = F.last(value, True).over(window.rowsBetween(_UNBOUNDED, -2))
-                nearest = F.last(value, True).over(window.rowsBetween(_UNBOUNDED, -1))
+                farther = F.last(value, True).over(window.rowsBetween(UNBOUNDED, -2))
+                nearest = F.last(value, True).over(window.rowsBetween(UNBOUNDED, -1))
                 near_part = F.lag(f"{c}_{part}_{kind}").over(window)
                 out.append(
                     F.when(beside, F.when(part_f.isNotNull(), near_part).otherwise(farther))
@@ -193,7 +193,7 @@ def running_total(
     """Running sum along a track: within the piece, plus the total of earlier pieces."""
     had = "_chunk" in df.columns
     d = with_chunk(df, order, size)
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(_UNBOUNDED, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(UNBOUNDED, -1)
     base = (
         d.groupBy(*keys, "_chunk")
         .agg(F.sum(col).alias("_sum"))
@@ -239,7 +239,7 @@ def positions(
     bucket is sorted in one task.
     """
     d = df.withColumn("_bucket", bucket)
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(_UNBOUNDED, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(UNBOUNDED, -1)
     base = (
         d.groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))

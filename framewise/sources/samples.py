@@ -25,6 +25,7 @@ COURT_POINTS = (
     (7, 1000, 660), (8, 430, 290), (9, 850, 290), (10, 330, 480), (11, 950, 480), (12, 640, 290), (13, 640, 480),
 )
 FRAME_W, FRAME_H = 1280, 720
+HEIGHTS = {1: 1.88, 2: 1.91}
 
 
 def _literal_rows(names: tuple[str, ...], rows: tuple) -> Column:
@@ -103,6 +104,12 @@ class Samples:
             _double(F.col("p.ky"), "y"),
         )
 
+    @cached_property
+    def kps_seen(self) -> DataFrame:
+        """Court points as a detector finds them: some are lost in some frames."""
+        f, i = F.col("frame"), F.col("kp_idx")
+        return self.kps.filter(~((f % 10 == 3) & (i > 2)) & ~((f % 7 == 5) & (i % 2 == 0)))
+
     @cached_property
     def court_raw(self) -> DataFrame:
         """The 28 numbers a keypoint model gives, in its 224 by 224 space."""
@@ -172,8 +179,3 @@ class Samples:
         from framewise.operators.turning import turning_flags
 
         return turning_flags(self.track).select("video_id", "frame", F.col("turn").cast("int").alias("label"))
-
-    @cached_property
-    def heights(self) -> DataFrame:
-        """Player heights in metres, a small dimension table."""
-        return self.spark.createDataFrame([(1, 1.88), (2, 1.91)], "track_id int, height_m double")

@@ -1,5 +1,7 @@
 """Reading, caching and writing detection tables."""
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,9 +67,9 @@ def frame_spine(videos: DataFrame, n: str = "n", size: int = 65536) -> DataFrame
     starts = videos.filter(F.col(n) > 0).select(
         "video_id", n, F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / size).cast("long"))).alias("_chunk")
     )
-    last = F.least(F.col(n), (F.col("_chunk") + 1) * size) - 1
+    last = (F.least(F.col(n), (F.col("_chunk") + 1) * size) - 1).cast("long")
     return starts.repartition("video_id", "_chunk").select(
-        "video_id", F.explode(F.sequence(F.col("_chunk") * size, last)).cast("long").alias("frame")
+        "video_id", F.explode(F.sequence((F.col("_chunk") * size).cast("long"), last)).alias("frame")
     )
 
 
@@ -124,3 +126,16 @@ def last_rows(df: DataFrame, n: int, order: str = ORDER, keys: Sequence[str] = K
 def random_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows at random, by the seed."""
     return df.orderBy(F.rand(seed)).limit(n)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables, in the shared folder the session names.
+
+    Only a session without `spark.checkpoint.dir` on a local master gets a temporary one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="framewise-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
