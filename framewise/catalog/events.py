@@ -102,7 +102,7 @@ def _(t):
 
 
 def _mapped(t):
-    return project_points(fill.interpolate(fill.back_fill(t.track)), video_homography(t.kps))
+    return project_points(fill.interpolate(t.track, backward=True), video_homography(t.kps))
 
 
 _AT_TURNS = "FROM ball_map m JOIN turning t ON m.video_id = t.video_id AND m.frame = t.frame"

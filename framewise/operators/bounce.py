@@ -61,7 +61,7 @@ def suppress_runs(
     candidate = F.col(score) > threshold
     rising = candidate & ((before <= threshold) | (F.col(score) > before))
     rows = rows.withColumn("_event", F.when(~candidate, 0).when(rising, 1)).drop(f"_prev_{score}")
-    table = chunks.carry_table(rows, ["_event"], keys, order, size).select(*keys, "_chunk", "_event_nv")
+    table = chunks.carry_table(rows, ["_event"], keys, order, size, sides="n")
     after = desc(keys, order).rowsBetween(chunks.UNBOUNDED, -1)
     rows = rows.withColumn("_next", F.last("_event", True).over(after)).join(table, [*keys, "_chunk"])
     run_ends = F.coalesce("_next", "_event_nv", F.lit(0)) == 0

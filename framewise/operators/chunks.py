@@ -76,6 +76,7 @@ def carry_table(
     size: int = CHUNK,
     before: int = 0,
     after: int = 0,
+    sides: str = "pn",
 ) -> DataFrame:
     """One row per piece: for each column c the nearest valid value outside of the piece.
 
@@ -83,40 +84,33 @@ def carry_table(
     halo, `c_nf`, `c_nv` those of the first valid row after. `df` has its home `_chunk`.
     """
     offset = F.col(order) - F.col("_chunk") * size
-    aggs = []
+    # Per side: how to pick, the window over the pieces, the next piece, the rows outside of a halo.
+    plan = {
+        "p": (F.max, F.max_by, Window.partitionBy(*keys).orderBy("_chunk"), 1, before, offset < size - before),
+        "n": (F.min, F.min_by, Window.partitionBy(*keys).orderBy(F.desc("_chunk")), -1, after, offset >= after),
+    }
+    aggs, out = [], [F.col(k) for k in keys] + [F.col("_chunk")]
     for c in cols:
-        valid = F.col(c).isNotNull()
-        for name, cond, pick, pick_by in (
-            ("last", valid, F.max, F.max_by),
-            ("head", valid & (offset < size - before), F.max, F.max_by),
-            ("first", valid, F.min, F.min_by),
-            ("tail", valid & (offset >= after), F.min, F.min_by),
-        ):
-            at = F.when(cond, F.col(order))
-            aggs += [pick(at).alias(f"{c}_{name}_f"), pick_by(F.col(c), at).alias(f"{c}_{name}_v")]
-    summary = df.groupBy(*keys, "_chunk").agg(*aggs)
-
-    forward = Window.partitionBy(*keys).orderBy("_chunk")
-    backward = Window.partitionBy(*keys).orderBy(F.desc("_chunk"))
-    out = [F.col(k) for k in keys] + [F.col("_chunk")]
-    for c in cols:
-        for side, window, step, whole, part in (
-            ("p", forward, 1, "last", "head"),
-            ("n", backward, -1, "first", "tail"),
-        ):
+        value, valid = F.col(c), F.col(c).isNotNull()
+        for side in sides:
+            pick, pick_by, window, step, reach, outside = plan[side]
+            name = f"_{c}_{side}"
+            at = F.when(valid, F.col(order))
+            aggs += [pick(at).alias(f"{name}f"), pick_by(value, at).alias(f"{name}v")]
+            earlier = window.rowsBetween(UNBOUNDED, -1)
+            if not reach:
+                out += [F.last(f"{name}{kind}", True).over(earlier).alias(f"{c}_{side}{kind}") for kind in "fv"]
+                continue
+            # The neighbour's halo rows are in the piece already: take its valid row outside of them.
+            at = F.when(valid & outside, F.col(order))
+            aggs += [pick(at).alias(f"{name}_partf"), pick_by(value, at).alias(f"{name}_partv")]
             beside = F.lag("_chunk").over(window) == F.col("_chunk") - step
-            part_f = F.lag(f"{c}_{part}_f").over(window)
-            for kind in ("f", "v"):
-                value = f"{c}_{whole}_{kind}"
-                farther = F.last(value, True).over(window.rowsBetween(UNBOUNDED, -2))
-                nearest = F.last(value, True).over(window.rowsBetween(UNBOUNDED, -1))
-                near_part = F.lag(f"{c}_{part}_{kind}").over(window)
-                out.append(
-                    F.when(beside, F.when(part_f.isNotNull(), near_part).otherwise(farther))
-                    .otherwise(nearest)
-                    .alias(f"{c}_{side}{kind}")
-                )
-    return summary.select(*out)
+            for kind in "fv":
+                farther = F.last(f"{name}{kind}", True).over(window.rowsBetween(UNBOUNDED, -2))
+                nearest = F.last(f"{name}{kind}", True).over(earlier)
+                part = F.lag(f"{name}_part{kind}").over(window)
+                out.append(F.when(beside, F.coalesce(part, farther)).otherwise(nearest).alias(f"{c}_{side}{kind}"))
+    return df.groupBy(*keys, "_chunk").agg(*aggs).select(*out)
 
 
 def chunked(
@@ -215,7 +209,7 @@ def previous_row(
     """Values of the row before, however many frames lie between. `cols` must not be NULL."""
     had = "_chunk" in df.columns
     d = with_chunk(df, order, size)
-    table = carry_table(d, cols, keys, order, size)
+    table = carry_table(d, cols, keys, order, size, sides="p")
     joined = d
     for c in cols:
         joined = joined.withColumn(prefix + c, F.lag(c).over(asc(keys, order)))

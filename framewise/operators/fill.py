@@ -68,10 +68,18 @@ def _fill(df, cols, keys, order, size, linear=True, backward=True) -> DataFrame:
 
 
 def interpolate(
-    df: DataFrame, cols: Sequence[str] = XY, keys: Sequence[str] = KEYS, order: str = ORDER, size: int = CHUNK
+    df: DataFrame,
+    cols: Sequence[str] = XY,
+    backward: bool = False,
+    keys: Sequence[str] = KEYS,
+    order: str = ORDER,
+    size: int = CHUNK,
 ) -> DataFrame:
-    """Linear between valid values; after the last one its value; before the first NULL."""
-    return _fill(df, cols, keys, order, size, backward=False)
+    """Linear between valid values; after the last one its value; before the first NULL.
+
+    With `backward` the start takes the first valid value.
+    """
+    return _fill(df, cols, keys, order, size, backward=backward)
 
 
 def back_fill(
@@ -87,7 +95,7 @@ def forward_fill(
     """Missing values take the last valid one."""
     had = "_chunk" in df.columns
     rows = chunks.with_chunk(df, order, size)
-    table = chunks.carry_table(rows, cols, keys, order, size)
+    table = chunks.carry_table(rows, cols, keys, order, size, sides="p")
     local = rows.withColumns({f"_{c}": F.last(c, True).over(so_far(asc(keys, order))) for c in cols})
     joined = local.join(table.select(*keys, "_chunk", *[f"{c}_pv" for c in cols]), [*keys, "_chunk"])
     out = joined.withColumns({c: F.coalesce(f"_{c}", f"{c}_pv") for c in cols})

@@ -99,10 +99,10 @@ def corner_points(court: DataFrame, corners: Sequence[int] = CORNERS, keys: Sequ
 def frame_homography(
     court: DataFrame, corners: Sequence[int] = CORNERS, keys: Sequence[str] = KEYS, order: str = ORDER
 ) -> DataFrame:
-    """The matrix `h` of each frame in `court`, from its four corner points."""
+    """The matrix `h` of each frame in `court`, from its four corner points; NULL when one is missing."""
     quads = corner_points(court, corners, keys, order)
     h = quad_to_rectangle(*[F.col(n) for n in ("tl", "tr", "bl", "br")])
-    return quads.select(*keys, order, h.alias("h"))
+    return quads.select(*keys, order, F.when(h[8].isNotNull(), h).alias("h"))
 
 
 def video_homography(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewise.operators import chunks
 from framewise.operators.chunks import CHUNK, KEYS, ORDER, asc, core
 from framewise.operators.fill import fill_columns
-from framewise.operators.windows import LOOK_AHEAD, MA_WINDOW, opposite_counts
+from framewise.operators.windows import MA_WINDOW, counts_ahead
 
 MIN_CHANGES = 25
 
@@ -35,16 +35,16 @@ def turning_flags(
     w = asc(keys, order)
     rows = rows.withColumn("_ma", F.avg(col).over(w.rowsBetween(1 - window, 0)))
     rows = rows.withColumn("delta", F.col("_ma") - F.lag("_ma").over(w))
+    d, nxt = F.col("delta"), F.col("_next")
     rows = rows.withColumns(
-        opposite_counts("delta", w, ahead)
-        | {"_next": F.lead("delta").over(w), "_ahead": F.count(F.lit(1)).over(w.rowsBetween(1, ahead))}
+        counts_ahead({"_neg": d < 0, "_pos": d > 0}, w, ahead)
+        | {"_next": F.lead("delta").over(w), "_last": F.lead(order, ahead).over(w)}
     )
-    d, nxt = F.col("delta"), F.col("_next")
-    turn = ((d > 0) & (nxt < 0) & (F.col("n_neg_ahead") >= min_changes)) | (
-        (d < 0) & (nxt > 0) & (F.col("n_pos_ahead") >= min_changes)
+    turn = ((d > 0) & (nxt < 0) & (F.col("_neg") >= min_changes)) | (
+        (d < 0) & (nxt > 0) & (F.col("_pos") >= min_changes)
     )
-    flag = F.coalesce(turn, F.lit(False)) & (F.col("_ahead") == ahead) & (F.col(order) >= 1)
-    return core(rows.withColumn("turn", flag)).drop("_ma", "_next", "_ahead", "n_neg_ahead", "n_pos_ahead")
+    flag = F.coalesce(turn, F.lit(False)) & F.col("_last").isNotNull() & (F.col(order) >= 1)
+    return core(rows.withColumn("turn", flag)).drop("_ma", "_next", "_last", "_neg", "_pos")
 
 
 def turning_points(ball: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER, **kw) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framewise.operators import chunks
-from framewise.operators.chunks import CHUNK, KEYS, ORDER, asc, core, so_far, spread_join
+from framewise.operators.chunks import CHUNK, KEYS, ORDER, UNBOUNDED, asc, core, so_far, spread_join
 
 MA_WINDOW = 5
 LOOK_AHEAD = 30
@@ -50,18 +50,23 @@ def moving_average(df: DataFrame, cols: Sequence[str], window: int = MA_WINDOW,
     return windowed(df, lambda w: {f"{c}_ma": F.avg(c).over(w.rowsBetween(-reach, 0)) for c in cols}, reach, **kw)
 
 
-def opposite_counts(c: str, w: WindowSpec, ahead: int = LOOK_AHEAD) -> dict[str, Column]:
-    following = w.rowsBetween(1, ahead)
-    value = F.col(c)
-    return {
-        "n_neg_ahead": F.coalesce(F.sum(F.when(value < 0, 1).otherwise(0)).over(following), F.lit(0)).cast("long"),
-        "n_pos_ahead": F.coalesce(F.sum(F.when(value > 0, 1).otherwise(0)).over(following), F.lit(0)).cast("long"),
-    }
+def counts_ahead(conditions: dict[str, Column], w: WindowSpec, ahead: int = LOOK_AHEAD) -> dict[str, Column]:
+    """How many of the next rows meet each condition, as a difference of two running counts.
+
+    A frame of 30 following rows would be summed up again for every row.
+    """
+    out = {}
+    for name, cond in conditions.items():
+        running = F.count_if(cond).over(so_far(w))
+        total = F.count_if(cond).over(w.rowsBetween(UNBOUNDED, Window.unboundedFollowing))
+        out[name] = F.coalesce(F.lead(running, ahead).over(w), total) - running
+    return out
 
 
 def look_ahead_counts(df: DataFrame, col: str, ahead: int = LOOK_AHEAD, **kw) -> DataFrame:
     """How many of the next rows are negative, and how many positive."""
-    return windowed(df, lambda w: opposite_counts(col, w, ahead), after=ahead, **kw)
+    signs = {"n_neg_ahead": F.col(col) < 0, "n_pos_ahead": F.col(col) > 0}
+    return windowed(df, lambda w: counts_ahead(signs, w, ahead), after=ahead, **kw)
 
 
 def max_height(
