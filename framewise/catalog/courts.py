@@ -7,8 +7,9 @@ from framewise.catalog.sql import homography, project, query
 from framewise.catalog.sql import rounded as r
 from framewise.catalog.tracks import SMALL
 from framewise.functions.points import foot_of_centre_box
-from framewise.operators import camera, fill, geometry, hits, overlay, turning
+from framewise.operators import camera, fill, geometry, hits, overlay
 from framewise.operators import select as S
+from framewise.plans.match import Match
 from framewise.sources.samples import FRAME_H, HEIGHTS
 
 H = geometry.H_NAMES
@@ -213,18 +214,14 @@ def _drawn_tables() -> dict[str, str]:
 _NEEDS = ("chosen", "player_boxes", "fill_compat", "video_h")
 
 
-def drawn_parts(t):
-    """What the main flow draws: chosen players, filled ball, its turning points, the map points."""
-    boxes = S.player_boxes(t.players)
-    players = S.keep_tracks(boxes, S.choose_players(boxes, t.kps))
-    ball = fill.fill_ball(t.track)
-    bounces = turning.turning_points(ball)
-    return players, ball, bounces, overlay.mini_map(players, ball, bounces, geometry.video_homography(t.kps))
+def match(t) -> Match:
+    """The main flow on the sample tables."""
+    return Match(t.track, t.players, t.kps)
 
 
 @register("o2_mini_map", query(_MINI_MAP, *_NEEDS, extra=_drawn_tables()))
 def _(t):
-    return drawn_parts(t)[3]
+    return match(t).mini_map
 
 
 @register("o3_drawn_ball", query("SELECT video_id, frame, x, y FROM fill_compat WHERE x <> 0", "fill_compat"))
@@ -246,28 +243,14 @@ _OVERLAY = f"""
     CROSS JOIN (VALUES {', '.join(str(line) for line in geometry.court_lines())}) AS l(item, x, y, x2, y2)"""
 
 
-def full_overlay(t):
-    """Every item that the main flow draws, on the video and on the map."""
-    players, ball, bounces, mapped = drawn_parts(t)
-    return overlay.overlay([
-        overlay.point_layer(t.kps),
-        overlay.ball_layer(ball),
-        overlay.player_layer(players),
-        overlay.frame_number_layer(t.frames),
-        overlay.bounce_layer(bounces, ball),
-        overlay.map_layer(mapped),
-        overlay.court_layer(t.frames),
-    ])
-
-
 @register("o1_overlay", query(
     f"SELECT * REPLACE (COALESCE(frame, -1) AS frame) FROM ({_OVERLAY})", *_NEEDS, "kps", extra=_drawn_tables() | {"mini": _MINI_MAP}))
 def _(t):
-    return full_overlay(t).withColumn("frame", F.coalesce("frame", F.lit(-1)))
+    return match(t).overlay.withColumn("frame", F.coalesce("frame", F.lit(-1)))
 
 
 @register("o6_layers_until_frame", query(
     f"SELECT layer, count(*) AS n FROM ({_OVERLAY}) WHERE frame IS NULL OR frame <= 400 GROUP BY layer",
     *_NEEDS, "kps", extra=_drawn_tables() | {"mini": _MINI_MAP}))
 def _(t):
-    return overlay.until(full_overlay(t), 400).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    return overlay.until(match(t).overlay, 400).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from framewise.operators.chunks import KEYS
 
 PER_OCTAVE = 4096
+_ABOVE_ALL_EXPONENTS = 1100
 
 
 def _range_of(value: Column) -> Column:
-    """Number of a value range; grows with the value. Ranges are 1/4096 of an octave wide."""
-    size = F.floor(F.log2(F.abs(value) + 1) * PER_OCTAVE).cast("long")
-    return F.when(value < 0, -size - 1).otherwise(size)
+    """Number of a value range; grows with the value. Ranges are 1/4096 of an octave wide, at any scale."""
+    size = F.floor((F.log2(F.abs(value)) + _ABOVE_ALL_EXPONENTS) * PER_OCTAVE).cast("long")
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(0)
 
 
 def quantile(df: DataFrame, col: str, q: float, keys: Sequence[str] = KEYS, out: str = "quantile") -> DataFrame:

@@ -1,8 +1,8 @@
 """Detection tables derived from the `events` table (recipes in FIXTURES.md).
 
 Coordinates are integers stored as doubles, so sums and means are exact. The frame
-number counts the events of a video in time order; events are counted per day first, so
-no task sorts a whole video.
+number counts the events of a video in time order. Events are counted per hour first, so no
+task sorts a whole video: what one camera sees in an hour is bounded by its frame rate.
 """
 
 from functools import cached_property
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.operators.chunks import positions
+from framewise.sources.tables import is_stored, work_folder, write_detections
 
 # Boxes (det_idx, track, class, x1, y1, x2, y2) and court points (index, x, y).
 BOXES = (
@@ -27,6 +28,8 @@ COURT_POINTS = (
 FRAME_W, FRAME_H = 1280, 720
 HEIGHTS = {1: 1.88, 2: 1.91}
 
+_STORED: dict[tuple, str] = {}
+
 
 def _literal_rows(names: tuple[str, ...], rows: tuple) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
@@ -44,6 +47,16 @@ class Samples:
 
     @cached_property
     def ball(self) -> DataFrame:
+        """The ball table, derived once per session and stored in the shared folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.one_video)
+        path = _STORED.get(key)
+        if path is None or not is_stored(self.spark, path):
+            path = _STORED[key] = work_folder(self.spark, "ball")
+            write_detections(self.derived_ball, path)
+        return self.spark.read.parquet(path)
+
+    @property
+    def derived_ball(self) -> DataFrame:
         events = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
         video = F.lit(0) if self.one_video else F.floor(F.col("user_id") / 15)
         e = events.select(
@@ -53,7 +66,7 @@ class Samples:
             "event_type",
             F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
         )
-        e = positions(e, ["ts", "event_id"], F.to_date("ts"), name="frame")
+        e = positions(e, ["ts", "event_id"], F.date_trunc("hour", "ts"), name="frame")
         f, k = F.col("frame"), F.col("k")
         seen = F.col("event_type") != "error"
         spike = F.when((F.col("event_type") == "signup") & (k < 25), 600).otherwise(0)
