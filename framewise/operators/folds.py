@@ -12,15 +12,17 @@ be folded at the same time:
 Rows reach the Python worker in order and in batches; a fold never holds a whole piece.
 """
 
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.operators import chunks
-from framewise.operators.chunks import CHUNK, KEYS, ORDER, UNBOUNDED, asc, core, so_far
+from framewise.operators.chunks import CHUNK, KEYS, ORDER, UNBOUNDED, asc, core
 from framewise.operators.select import mean_position
 
 BATCH = 10_000
@@ -66,7 +68,9 @@ def fold_groups(
     run.__annotations__ = {
         "key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame],
     }
-    placed = df.select(*group, *dict.fromkeys([*order, *inputs])).repartition(*group)
+    # A set number of partitions: by bytes alone small inputs would be merged into one slow Python task.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(*dict.fromkeys([*group, *order, *inputs])).repartition(partitions, *group)
     return placed.sortWithinPartitions(*group, *order).groupBy(*group).applyInPandas(run, schema)
 
 
@@ -186,91 +190,115 @@ def gate(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator
 
 
 class _Reach:
-    """Which places are surely within the radius of an earlier point, on a grid of small cells."""
+    """Which places are surely within the radius of an earlier point, on a grid of small cells.
+
+    Only used to leave out points that can catch no new state: places beyond the grid are
+    never left out.
+    """
+
+    PER_RADIUS = 8
+    HALF = 1024
 
     def __init__(self, radius: float):
-        self.radius, self.cell = radius, radius / 8
-        self.covered, self.seen, self.done = set(), set(), set()
-
-    def _cells(self, x: float, y: float, reach: float):
-        c = self.cell
-        for i in range(math.floor((x - reach) / c), math.floor((x + reach) / c) + 1):
-            for j in range(math.floor((y - reach) / c), math.floor((y + reach) / c) + 1):
-                near_x = max(i * c - x, 0, x - (i + 1) * c)
-                near_y = max(j * c - y, 0, y - (j + 1) * c)
-                if math.hypot(near_x, near_y) <= reach:
-                    far = math.hypot(max(x - i * c, (i + 1) * c - x), max(y - j * c, (j + 1) * c - y))
-                    yield (i, j), far < reach
+        self.radius, self.cell = radius, radius / self.PER_RADIUS
+        self.covered = np.zeros((2 * self.HALF, 2 * self.HALF), bool)
+        self.done = np.zeros((2 * self.HALF, 2 * self.HALF), bool)
+        self.seen = set()
+
+    def _axis(self, v: float, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distance to the nearest and the farthest place of each cell around, on one axis."""
+        reach = self.PER_RADIUS + 1
+        low = (np.arange(i - reach, i + reach + 1) - self.HALF) * self.cell - v
+        high = low + self.cell
+        return np.maximum(np.maximum(low, -high), 0) ** 2, np.maximum(-low, high) ** 2
 
     def adds(self, x: float, y: float) -> bool:
         """Whether some place may have this point as the first one within the radius."""
-        own = (math.floor(x / self.cell), math.floor(y / self.cell))
-        if (x, y) in self.seen or own in self.done:
+        if (x, y) in self.seen:
+            return False
+        i, j = (math.floor(v / self.cell) + self.HALF for v in (x, y))
+        wide = self.PER_RADIUS + 2
+        if min(i, j) < wide or max(i, j) >= 2 * self.HALF - wide:
+            self.seen.add((x, y))
+            return True
+        if self.done[i, j]:
             return False
-        cells = list(self._cells(x, y, self.radius))
-        if all(c in self.covered for c, _ in cells):
-            middle = [(i + 0.5) * self.cell for i in own]
-            if all(c in self.covered for c, _ in self._cells(*middle, self.radius + self.cell)):
-                self.done.add(own)
+        (near_x, far_x), (near_y, far_y) = self._axis(x, i), self._axis(y, j)
+        patch = self.covered[i - wide + 1 : i + wide, j - wide + 1 : j + wide]
+        in_reach = near_x[:, None] + near_y <= self.radius**2
+        if patch[in_reach].all():
+            self.done[i, j] = self.covered[i - wide : i + wide + 1, j - wide : j + wide + 1].all()
             return False
+        patch |= far_x[:, None] + far_y < self.radius**2
         self.seen.add((x, y))
-        self.covered.update(c for c, inside in cells if inside)
         return True
 
 
-def entry_effects(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-    """Fold over (x, y): what a piece does to any state it may be entered with.
+def piece_effects(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """Fold over (piece, x, y, start_x, start_y): what a piece does to the state it is entered with.
 
-    Yields (order, x, y, exit_x, exit_y): a state within the radius of (x, y), and of no
-    earlier row, leaves the piece as the exit. A state near none of the rows passes
-    unchanged. Points nobody can be first caught by are left out. Followed at the same
-    time, two paths that catch the same point become one, so that the live ends are at
-    least a radius apart: their number is bounded by the picture, not by the piece.
+    The first piece of a track is entered with the start: row -1 has the state after it.
+    For a later piece the rows (order, x, y, exit_x, exit_y) say: a state within the radius
+    of (x, y), and of no earlier row, leaves the piece as the exit. A state near none of
+    them passes unchanged. Points that cannot be the first to catch a state are left out.
+    Paths that catch the same point become one, so the live ends are at least a radius
+    apart: their number is bounded by the size of the picture, not of the piece.
     """
 
-    def fold(rows):
-        reach = _Reach(radius)
-        entries, ends = [], []  # ends: (point, entries that lead there)
-        for x, y in rows:
+    def first_piece(rows):
+        last = None
+        for n, (_, x, y, start_x, start_y) in enumerate(rows):
+            if n == 0 and start_x is not None:
+                last = (start_x, start_y)
+            if x is not None and y is not None and (last is None or near((x, y), last, radius, inclusive)):
+                last = (x, y)
+        yield -1, None, None, *(last or (None, None))
+
+    def later_piece(rows):
+        reach, entries, ends = _Reach(radius), [], []  # ends: (point, entries that lead there)
+        for _, x, y, _, _ in rows:
             if x is None or y is None:
                 continue
             p = (x, y)
             caught = [e for e in ends if near(p, e[0], radius, inclusive)]
-            mine = [len(entries)] if reach.adds(x, y) else []
-            if mine:
+            own = []
+            if reach.adds(x, y):
+                own = [len(entries)]
                 entries.append(p)
-            if not caught and not mine:
-                # A path that begins here was begun by an earlier point at the same place.
-                continue
-            if len(caught) == 1 and not mine:
-                ends[ends.index(caught[0])] = (p, caught[0][1])
+            if not caught and not own:
                 continue
-            merged = max((e[1] for e in caught), key=len, default=[])
+            members = max((e[1] for e in caught), key=len, default=[])
             for e in caught:
-                if e[1] is not merged:
-                    merged.extend(e[1])
-            merged.extend(mine)
-            ends = [e for e in ends if not any(e is c for c in caught)] + [(p, merged)]
+                if e[1] is not members:
+                    members.extend(e[1])
+            members.extend(own)
+            ends = [e for e in ends if not any(e is c for c in caught)]
+            ends.append((p, members))
         exits = {i: p for p, members in ends for i in members}
-        for i, (x, y) in enumerate(entries):
-            yield i, x, y, *exits[i]
         yield -1, None, None, None, None
+        for i, p in enumerate(entries):
+            yield i, *p, *exits[i]
+
+    def fold(rows):
+        head = next(rows)
+        yield from (first_piece if head[0] == 0 else later_piece)(itertools.chain([head], rows))
 
     return fold
 
 
 def border_states(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-    """Fold over the entry effects of a track: the state at the start of each piece."""
+    """Fold over the effects of the pieces of a track: the state each later piece is entered with."""
 
     def fold(rows):
         last, caught = None, False
-        for piece, i, x, y, exit_x, exit_y in rows:
-            if i == -1:  # first row of a piece; the start of the track gives a state
-                if exit_x is not None:
-                    last = (exit_x, exit_y)
+        for piece, i, x, y, exit_x, exit_y, start_x, start_y in rows:
+            if i == -2:
+                last = None if start_x is None else (start_x, start_y)
+            elif i == -1 and piece == 0:
+                last = None if exit_x is None else (exit_x, exit_y)
+            elif i == -1:
                 caught = False
-                if piece >= 0:
-                    yield piece, *(last or (None, None))
+                yield piece, *(last or (None, None))
             elif not caught and (last is None or near((x, y), last, radius, inclusive)):
                 last, caught = (exit_x, exit_y), True
 
@@ -291,25 +319,29 @@ def gated_track(
     `start` gives the first state per track (`start_x`, `start_y`); without it the first
     point of the track is kept.
     """
-    rows = chunks.with_chunk(ball.select(*keys, order, "x", "y"), order, size)
     piece = [*keys, "_chunk"]
+    rows = chunks.with_chunk(ball.select(*keys, order, "x", "y"), order, size)
+    none = {c: F.lit(None).cast("double") for c in ("start_x", "start_y")}
+    if start is None:
+        rows, starts = rows.withColumns(none), None
+    else:
+        starts = start.withColumn("_chunk", F.lit(0).cast("long"))
+        rows = rows.join(starts, piece, "left")
     effects = fold_groups(
-        rows, piece, [order], ["x", "y"], entry_effects(radius, inclusive),
+        rows, piece, [order], ["_chunk", "x", "y", "start_x", "start_y"], piece_effects(radius, inclusive),
         {"i": "int", "x": "double", "y": "double", "exit_x": "double", "exit_y": "double"},
-    )
-    if start is not None:
-        none = F.lit(None).cast("double")
-        first = start.select(
-            *keys, F.lit(-1).cast("long").alias("_chunk"), F.lit(-1).alias("i"), none.alias("x"), none.alias("y"),
-            F.col("start_x").alias("exit_x"), F.col("start_y").alias("exit_y"),
-        )
-        effects = effects.unionByName(first)
+    ).withColumns(none)
+    if starts is not None:
+        effects = effects.unionByName(starts.withColumn("i", F.lit(-2)), allowMissingColumns=True)
     states = fold_groups(
-        effects, list(keys), ["_chunk", "i"], ["_chunk", "i", "x", "y", "exit_x", "exit_y"],
+        effects, list(keys), ["_chunk", "i"], ["_chunk", "i", "x", "y", "exit_x", "exit_y", "start_x", "start_y"],
         border_states(radius, inclusive), {"_chunk": "long", "last_x": "double", "last_y": "double"},
     )
+    entered = rows.join(states, piece, "left").withColumns(
+        {f"last_{c}": F.coalesce(f"last_{c}", f"start_{c}") for c in ("x", "y")}
+    )
     gated = fold_groups(
-        rows.join(states, piece), piece, [order], [order, "x", "y", "last_x", "last_y"], gate(radius, inclusive),
+        entered, piece, [order], [order, "x", "y", "last_x", "last_y"], gate(radius, inclusive),
         {order: "long", "x": "double", "y": "double"},
     )
     return gated.drop("_chunk")
