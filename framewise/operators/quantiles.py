@@ -25,7 +25,8 @@ def quantile(df: DataFrame, col: str, q: float, keys: Sequence[str] = KEYS, out:
     each step gives the same result when it is run again.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_range", _range_of(F.col("_v")))
+    # The filter says what the join below implies, so that both uses of the counts share one shuffle.
+    counts = counts.withColumn("_range", _range_of(F.col("_v"))).filter(F.col("_range").isNotNull())
 
     track = Window.partitionBy(*keys)
     ordered = track.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
