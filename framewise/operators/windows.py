@@ -120,5 +120,5 @@ def ball_segments(
     if keep is None:
         return rows
     latest = lambda w: {"_later": F.lead("segment", keep).over(w)}
-    marked = windowed(rows, latest, after=min(keep * (max_gap + 1), size), keys=keys, order=order, size=size)
+    marked = windowed(rows, latest, after=keep * (max_gap + 1), keys=keys, order=order, size=size)
     return marked.filter(~F.col("_later").eqNullSafe(F.col("segment"))).drop("_later")
