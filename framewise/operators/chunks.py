@@ -35,8 +35,14 @@ def chunk_of(order: str, size: int) -> Column:
 
 
 def with_chunk(df: DataFrame, order: str = ORDER, size: int = CHUNK) -> DataFrame:
-    """Add the home piece of each row; a table that has one keeps it."""
-    return df if "_chunk" in df.columns else df.withColumn("_chunk", chunk_of(order, size))
+    """Add the home piece of each row; a table that has one keeps it. Rows without a frame number are left out.
+
+    The filter is written out, as a join on the piece would add it to one side only, and two
+    branches that differ in a filter cannot share a shuffle.
+    """
+    if "_chunk" in df.columns:
+        return df
+    return df.withColumn("_chunk", chunk_of(order, size)).filter(F.col("_chunk").isNotNull())
 
 
 def asc(keys: Sequence[str] = KEYS, order: str = ORDER) -> WindowSpec:

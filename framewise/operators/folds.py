@@ -170,25 +170,30 @@ def near(p: tuple, q: tuple, radius: float, inclusive: bool) -> bool:
 
 
 def gate(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-    """Fold over (frame, x, y, last_x, last_y): keep a point near the last kept one, else NULL.
+    """Fold over (frame, x, y): keep a point near the last kept one, else NULL.
 
-    The first row brings the state to start with; without one the first point is kept.
+    A first row without a frame brings the state to start with; without one the first point is kept.
     """
 
     def fold(rows):
-        last, started = None, False
-        for frame, x, y, last_x, last_y in rows:
-            if not started:
-                started = True
-                last = None if last_x is None else (last_x, last_y)
-            kept = x is not None and y is not None and (last is None or near((x, y), last, radius, inclusive))
+        last = None
+        for frame, x, y in rows:
+            if frame is None:
+                last = _point(x, y)
+                continue
+            p = _point(x, y)
+            kept = p is not None and (last is None or near(p, last, radius, inclusive))
             if kept:
-                last = (x, y)
+                last = p
             yield (frame, x, y) if kept else (frame, None, None)
 
     return fold
 
 
+def _point(x: float | None, y: float | None) -> tuple | None:
+    return None if x is None or y is None else (x, y)
+
+
 class _Reach:
     """Which places are surely within the radius of an earlier point, on a grid of small cells.
 
@@ -235,31 +240,30 @@ class _Reach:
 
 
 def piece_effects(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-    """Fold over (piece, x, y, start_x, start_y): what a piece does to the state it is entered with.
-
-    The first piece of a track is entered with the start: row -1 has the state after it.
-    For a later piece the rows (order, x, y, exit_x, exit_y) say: a state within the radius
-    of (x, y), and of no earlier row, leaves the piece as the exit. A state near none of
-    them passes unchanged. Points that cannot be the first to catch a state are left out.
-    Paths that catch the same point become one, so the live ends are at least a radius
-    apart: their number is bounded by the size of the picture, not of the piece.
+    """Fold over (piece, frame, x, y): what a piece does to the state it is entered with.
+
+    The first piece of a track is entered with the start, a row without a frame: row -1 has
+    the state after it. For a later piece the rows (order, x, y, exit_x, exit_y) say: a state
+    within the radius of (x, y), and of no earlier row, leaves the piece as the exit. A state
+    near none of them passes unchanged. Points that cannot be the first to catch a state are
+    left out. Paths that catch the same point become one, so the live ends are at least a
+    radius apart: their number is bounded by the size of the picture, not of the piece.
     """
 
     def first_piece(rows):
         last = None
-        for n, (_, x, y, start_x, start_y) in enumerate(rows):
-            if n == 0 and start_x is not None:
-                last = (start_x, start_y)
-            if x is not None and y is not None and (last is None or near((x, y), last, radius, inclusive)):
-                last = (x, y)
+        for _, frame, x, y in rows:
+            p = _point(x, y)
+            if frame is None or (p is not None and (last is None or near(p, last, radius, inclusive))):
+                last = p
         yield -1, None, None, *(last or (None, None))
 
     def later_piece(rows):
         reach, entries, ends = _Reach(radius), [], []  # ends: (point, entries that lead there)
-        for _, x, y, _, _ in rows:
-            if x is None or y is None:
+        for _, _, x, y in rows:
+            p = _point(x, y)
+            if p is None:
                 continue
-            p = (x, y)
             caught = [e for e in ends if near(p, e[0], radius, inclusive)]
             own = []
             if reach.adds(x, y):
@@ -287,15 +291,13 @@ def piece_effects(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]],
 
 
 def border_states(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-    """Fold over the effects of the pieces of a track: the state each later piece is entered with."""
+    """Fold over the effects of the pieces of a track, and its start (row -2): the state each later piece is entered with."""
 
     def fold(rows):
         last, caught = None, False
-        for piece, i, x, y, exit_x, exit_y, start_x, start_y in rows:
-            if i == -2:
-                last = None if start_x is None else (start_x, start_y)
-            elif i == -1 and piece == 0:
-                last = None if exit_x is None else (exit_x, exit_y)
+        for piece, i, x, y, exit_x, exit_y in rows:
+            if i == -2 or (i == -1 and piece == 0):
+                last = _point(exit_x, exit_y)
             elif i == -1:
                 caught = False
                 yield piece, *(last or (None, None))
@@ -317,32 +319,34 @@ def gated_track(
     """Keep points near the last kept point; all others become NULL.
 
     `start` gives the first state per track (`start_x`, `start_y`); without it the first
-    point of the track is kept.
+    point of the track is kept. A state travels as a row without a frame, which comes first
+    in its piece: the rows are shuffled twice in all and joined with nothing.
     """
     piece = [*keys, "_chunk"]
     rows = chunks.with_chunk(ball.select(*keys, order, "x", "y"), order, size)
-    none = {c: F.lit(None).cast("double") for c in ("start_x", "start_y")}
-    if start is None:
-        rows, starts = rows.withColumns(none), None
-    else:
-        starts = start.withColumn("_chunk", F.lit(0).cast("long"))
-        rows = rows.join(starts, piece, "left")
+    first = None
+    if start is not None:
+        first = start.select(
+            *keys, F.lit(0).cast("long").alias("_chunk"), F.col("start_x").alias("x"), F.col("start_y").alias("y")
+        )
+
+    def entered(states):
+        return rows if states is None else rows.unionByName(states, allowMissingColumns=True)
+
     effects = fold_groups(
-        rows, piece, [order], ["_chunk", "x", "y", "start_x", "start_y"], piece_effects(radius, inclusive),
+        entered(first), piece, [order], ["_chunk", order, "x", "y"], piece_effects(radius, inclusive),
         {"i": "int", "x": "double", "y": "double", "exit_x": "double", "exit_y": "double"},
-    ).withColumns(none)
-    if starts is not None:
-        effects = effects.unionByName(starts.withColumn("i", F.lit(-2)), allowMissingColumns=True)
-    states = fold_groups(
-        effects, list(keys), ["_chunk", "i"], ["_chunk", "i", "x", "y", "exit_x", "exit_y", "start_x", "start_y"],
-        border_states(radius, inclusive), {"_chunk": "long", "last_x": "double", "last_y": "double"},
     )
-    entered = rows.join(states, piece, "left").withColumns(
-        {f"last_{c}": F.coalesce(f"last_{c}", f"start_{c}") for c in ("x", "y")}
+    if first is not None:
+        exits = {"exit_x": F.col("x"), "exit_y": F.col("y"), "x": F.lit(None), "y": F.lit(None)}
+        effects = effects.unionByName(first.withColumns({"i": F.lit(-2), **exits}))
+    states = fold_groups(
+        effects, list(keys), ["_chunk", "i"], ["_chunk", "i", "x", "y", "exit_x", "exit_y"],
+        border_states(radius, inclusive), {"_chunk": "long", "x": "double", "y": "double"},
     )
     gated = fold_groups(
-        entered, piece, [order], [order, "x", "y", "last_x", "last_y"], gate(radius, inclusive),
-        {order: "long", "x": "double", "y": "double"},
+        entered(states if first is None else states.unionByName(first)), piece, [order], [order, "x", "y"],
+        gate(radius, inclusive), {order: "long", "x": "double", "y": "double"},
     )
     return gated.drop("_chunk")
 

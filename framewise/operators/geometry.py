@@ -91,9 +91,13 @@ def quad_to_rectangle(
 
 def corner_points(court: DataFrame, corners: Sequence[int] = CORNERS, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
     """One row per frame with the four corner points as structs tl, tr, bl, br."""
-    point = F.struct("x", "y")
-    picks = [F.max(F.when(F.col("kp_idx") == i, point)).alias(n) for i, n in zip(corners, ("tl", "tr", "bl", "br"))]
-    return court.filter(F.col("kp_idx").isin(*corners)).groupBy(*keys, order).agg(*picks)
+    names = ("tl", "tr", "bl", "br")
+    picks = [
+        F.max(F.when(F.col("kp_idx") == i, F.col(c))).alias(f"{n}_{c}") for i, n in zip(corners, names) for c in ("x", "y")
+    ]
+    wide = court.filter(F.col("kp_idx").isin(*corners)).groupBy(*keys, order).agg(*picks)
+    quads = [F.struct(F.col(f"{n}_x").alias("x"), F.col(f"{n}_y").alias("y")).alias(n) for n in names]
+    return wide.select(*keys, order, *quads)
 
 
 def frame_homography(

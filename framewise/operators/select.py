@@ -25,12 +25,8 @@ def before_unidentified(boxes: DataFrame, keys: Sequence[str] = KEYS, order: str
 
 def last_per_track(boxes: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
     """One box per track and frame: the last box, at the place of the first."""
-    box = F.struct(*BOX)
-    return (
-        boxes.groupBy(*keys, order, "track_id")
-        .agg(F.min("det_idx").alias("det_idx"), F.max_by(box, "det_idx").alias("b"))
-        .select(*keys, order, "track_id", "det_idx", "b.*")
-    )
+    last = [F.max_by(c, "det_idx").alias(c) for c in BOX]
+    return boxes.groupBy(*keys, order, "track_id").agg(F.min("det_idx").alias("det_idx"), *last)
 
 
 def player_boxes(boxes: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:

@@ -33,7 +33,8 @@ class Match:
     def players(self) -> DataFrame:
         """The two main players, in all frames."""
         boxes = select.player_boxes(self.boxes)
-        return select.keep_tracks(boxes, select.choose_players(boxes, self.court), size=self.size)
+        chosen = select.choose_players(boxes, self.court)
+        return stored(select.keep_tracks(boxes, chosen, size=self.size), "players")
 
     @cached_property
     def filled(self) -> DataFrame:

@@ -103,8 +103,8 @@ def point_arrays(ball: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER
 
 def first_box(boxes: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
     """The first box of each frame in detector order. No confidence filter."""
-    box = F.struct("x1", "y1", "x2", "y2")
-    return boxes.groupBy(*keys, order).agg(F.min_by(box, "det_idx").alias("b")).select(*keys, order, "b.*")
+    first = [F.min_by(c, "det_idx").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return boxes.groupBy(*keys, order).agg(*first)
 
 
 def as_track_map(players: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:

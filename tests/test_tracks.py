@@ -319,7 +319,7 @@ def test_piece_effects_say_where_any_state_ends():
     rnd = random.Random(7)
     for span, n in ((100, 200), (600, 200), (3000, 300)):
         pts = [NONE if rnd.random() < 0.2 else (float(rnd.randint(0, span)), float(rnd.randint(0, span))) for _ in range(n)]
-        rows = list(folds.piece_effects(80.0, False)(iter([(1, *p, None, None) for p in pts])))
+        rows = list(folds.piece_effects(80.0, False)(iter([(1, f, *p) for f, p in enumerate(pts)])))
         for _ in range(100):
             state = (rnd.uniform(-50, span + 50), rnd.uniform(-50, span + 50))
             kept = [p for p in gated_by_loop(pts, 80, False, state) if p != NONE]
@@ -330,7 +330,7 @@ def test_piece_effects_say_where_any_state_ends():
 def test_summaries_of_a_piece_stay_small():
     """On a track that covers the same ground again and again, few points can be the first to catch a state."""
     pts = [(300.0 + 5 * abs(f % 200 - 100), 200.0 + 8 * abs(f % 120 - 60)) for f in range(20_000)]
-    rows = list(folds.piece_effects(80.0, False)(iter([(1, *p, None, None) for p in pts])))
+    rows = list(folds.piece_effects(80.0, False)(iter([(1, f, *p) for f, p in enumerate(pts)])))
     assert len(rows) < 600
 
 
