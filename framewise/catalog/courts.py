@@ -169,6 +169,12 @@ def _(t):
     return _h9(camera.refreshed_homography(t.kps_seen, t.frames, size=SMALL))
 
 
+@register("g5_refreshed_homography_one_video", query(
+    _HELD, "moved", extra=_held("SELECT video_id, frame FROM moved WHERE moved"), one_video=True), one_video=True)
+def _(t):
+    return _h9(camera.refreshed_homography(t.kps_seen, t.frames, size=SMALL))
+
+
 @register("g6_sampled_homography", query(
     _HELD, "kps_seen", extra=_held("SELECT video_id, frame FROM ball WHERE frame >= 10 AND (frame - 1) % 40 = 0")))
 def _(t):

@@ -58,6 +58,12 @@ def _(t):
     return rounded(models.predict_bounces(t.track, bounce.turn_score(), smooth=False, size=SMALL), "score")
 
 
+@register("m1_bounces_one_video", query(
+    f"SELECT video_id, frame, {r('score')} AS score FROM bounces", "bounces", one_video=True), one_video=True)
+def _(t):
+    return rounded(models.predict_bounces(t.track, bounce.turn_score(), smooth=False, size=SMALL), "score")
+
+
 @register("m1_bounces_by_model")
 def _(t):
     model = models.fit_bounce_model(bounce.bounce_features(t.track), t.bounce_labels, maxIter=5, maxDepth=3)
@@ -101,6 +107,13 @@ def _(t):
     return models.confusion(found, t.bounce_labels, "hit")
 
 
+@register("m4_area_under_roc")
+def _(t):
+    scored = models.score_features(bounce.bounce_features(t.track), bounce.turn_score()).join(t.bounce_labels, ["video_id", "frame"])
+    area = models.area_under_roc(scored)
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("area", F.lit(area))
+
+
 def _mapped(t):
     return project_points(fill.interpolate(t.track, backward=True), video_homography(t.kps))
 

@@ -90,6 +90,15 @@ def _(t):
     return S.keep_tracks(boxes, S.choose_players(boxes, t.kps))
 
 
+@register("j4_keep_in_map", query(
+    f"""SELECT p.video_id, p.frame, p.track_id, {BOX} FROM player_boxes p
+    WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.video_id = p.video_id AND c.track_id = p.track_id)""", "chosen", "player_boxes"))
+def _(t):
+    boxes = S.player_boxes(t.players)
+    nested = S.keep_in_map(tables.as_track_map(boxes), S.choose_players(boxes, t.kps))
+    return nested.select("video_id", "frame", F.explode("boxes").alias("track_id", "b")).select("video_id", "frame", "track_id", "b.*")
+
+
 @register("j5_flag_frames", query(
     """SELECT b.video_id, b.frame, x, y, t.frame IS NOT NULL AS turn FROM ball b
     LEFT JOIN turning t ON b.video_id = t.video_id AND b.frame = t.frame""", "turning"))

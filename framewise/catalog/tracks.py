@@ -309,6 +309,19 @@ _THIN = {
 _Q15 = query("SELECT video_id, s.frame AS frame, s.side AS side, s.x AS x, s.y AS y FROM final", "hits", extra=_THIN)
 
 
+@register("q14_approach_hits_one_video", query(
+    f"SELECT video_id, side, frame, x, y, {r('dist')} AS dist, radius FROM hits", "hits", one_video=True), one_video=True)
+def _(t):
+    return rounded(hits.approach_hits(t.track, t.hands, size=SMALL), "dist")
+
+
+@register("q13_follow_first_point_one_video", query(
+    "SELECT video_id, frame, x, y FROM fold", "ball", one_video=True,
+    extra=_gated("SELECT DISTINCT video_id FROM ball", "b.x AS x, b.y AS y, b.x AS lx, b.y AS ly", "<= 100")), one_video=True)
+def _(t):
+    return folds.follow_first_point(t.track, size=SMALL)
+
+
 @register("q15_thin_hits", _Q15)
 def _(t):
     return folds.thin_hits(hits.approach_hits(t.track, t.hands), t.frames)

@@ -101,6 +101,21 @@ def keep_tracks(
     return rows.join(wanted, [*keys, "_chunk", "track_id"], "left_semi").drop("_chunk")
 
 
+def keep_in_map(
+    frames: DataFrame,
+    chosen: DataFrame,
+    boxes: str = "boxes",
+    keys: Sequence[str] = KEYS,
+    order: str = ORDER,
+    size: int = CHUNK,
+) -> DataFrame:
+    """The same on the nested form, a map from track id to box; frames may become empty but stay."""
+    wanted = chosen.groupBy(*keys).agg(F.collect_set("track_id").alias("_wanted"))
+    joined = chunks.spread_join(frames, wanted, keys, order, how="left", size=size)
+    chosen_only = F.map_filter(boxes, lambda track, _: F.coalesce(F.array_contains("_wanted", track), F.lit(False)))
+    return joined.withColumn(boxes, chosen_only).drop("_wanted")
+
+
 def nearest_player(
     players: DataFrame,
     ball: DataFrame,

@@ -9,7 +9,9 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from framewise import schema
 from framewise.operators.chunks import positions
 from framewise.sources.tables import is_stored, work_folder, write_detections
 
@@ -26,6 +28,7 @@ COURT_POINTS = (
     (7, 1000, 660), (8, 430, 290), (9, 850, 290), (10, 330, 480), (11, 950, 480), (12, 640, 290), (13, 640, 480),
 )
 FRAME_W, FRAME_H = 1280, 720
+BALL_WITH_K = T.StructType([*schema.BALL.fields, T.StructField("k", T.IntegerType())])
 HEIGHTS = {1: 1.88, 2: 1.91}
 
 _STORED: dict[tuple, str] = {}
@@ -53,7 +56,7 @@ class Samples:
         if path is None or not is_stored(self.spark, path):
             path = _STORED[key] = work_folder(self.spark, "ball")
             write_detections(self.derived_ball, path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(BALL_WITH_K).parquet(path)
 
     @property
     def derived_ball(self) -> DataFrame:

@@ -145,4 +145,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The table, written once to the shared folder: cuts the lineage where several steps read a result."""
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
