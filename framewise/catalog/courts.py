@@ -220,9 +220,9 @@ def _drawn_tables() -> dict[str, str]:
 _NEEDS = ("chosen", "player_boxes", "fill_compat", "video_h")
 
 
-def match(t) -> Match:
+def match(t, **options) -> Match:
     """The main flow on the sample tables."""
-    return Match(t.track, t.players, t.kps)
+    return Match(t.track, t.players, t.kps, **options)
 
 
 @register("o2_mini_map", query(_MINI_MAP, *_NEEDS, extra=_drawn_tables()))
@@ -230,6 +230,11 @@ def _(t):
     return match(t).mini_map
 
 
+@register("o2_mini_map_one_video", query(_MINI_MAP, *_NEEDS, extra=_drawn_tables(), one_video=True), one_video=True)
+def _(t):
+    return match(t, size=SMALL).mini_map
+
+
 @register("o3_drawn_ball", query("SELECT video_id, frame, x, y FROM fill_compat WHERE x <> 0", "fill_compat"))
 def _(t):
     return overlay.drawn_ball(fill.fill_ball(t.track))

@@ -99,6 +99,12 @@ def _(t):
     return rounded(models.predict_bounces(t.track, bounce.turn_score(), size=SMALL), "score")
 
 
+@register("m3_bounces_of_smoothed_track_one_video", query(
+    f"SELECT video_id, frame, {r('score')} AS score FROM sb", "ball", extra=_over_smoothed(), one_video=True), one_video=True)
+def _(t):
+    return rounded(models.predict_bounces(t.track, bounce.turn_score(), size=SMALL), "score")
+
+
 @register("m4_confusion", query(
     """SELECT a.turn::INT AS label, CASE WHEN b.frame IS NULL THEN 0 ELSE 1 END AS prediction, count(*) AS n
     FROM turning_all a LEFT JOIN bounces b ON a.video_id = b.video_id AND a.frame = b.frame GROUP BY ALL""", "turning_all", "bounces"))

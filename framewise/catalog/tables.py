@@ -6,7 +6,6 @@ from framewise import schema
 from framewise.catalog import register
 from framewise.catalog.sql import query
 from framewise.operators import overlay
-from framewise.operators.chunks import chunk_of
 from framewise.sources import contracts, tables
 
 _BALL = query("SELECT video_id, frame, x, y FROM ball", "ball")

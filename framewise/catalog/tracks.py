@@ -236,6 +236,11 @@ def _(t):
     return folds.smooth_gaps(t.track, size=SMALL)
 
 
+@register("q11_smooth_gaps_one_video", query(_Q11, "ball", extra=SMOOTHED, one_video=True), one_video=True)
+def _(t):
+    return folds.smooth_gaps(t.track, size=SMALL)
+
+
 def _gated(start: str, first: str, test: str, source: str = "ball") -> dict[str, str]:
     near = f"sqrt((r.x - f.lx) * (r.x - f.lx) + (r.y - f.ly) * (r.y - f.ly)) {test}"
     keep = f"r.x IS NOT NULL AND (f.lx IS NULL OR {near})"

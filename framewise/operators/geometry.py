@@ -7,15 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions.points import (
-    box_height,
-    centre_x,
-    centre_y,
-    foot_point,
-    metres_to_pixels,
-    pixels_to_metres,
-)
-from framewise.operators import chunks
+from framewise.functions.points import foot_point, metres_to_pixels, pixels_to_metres
 from framewise.operators.chunks import CHUNK, KEYS, ORDER, spread_join
 from framewise.operators.select import look_up, nearest_court_point, nearest_player
 from framewise.operators.windows import max_height

@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 from framewise import schema
 from framewise.operators import camera, geometry, insights, overlay, select
 from framewise.sources import contracts, tables
