@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewise.llm import substring, suffixes
+from framewise.llm import embeddings, simhash, substring, suffixes, topk
 from framewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,50 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes outside of 400-byte strings that start at two places or more. No twin: SQL is too slow."""
     return suffixes.dedup_bytes(table(spark, sf_dir, "documents"), texts=False)
+
+
+@register(
+    "op1_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    good AS (
+      SELECT vec_id, x FROM v
+      WHERE x IS NOT NULL AND len([c FOR c IN x IF c IS NULL OR NOT isfinite(c)]) = 0 AND len([c FOR c IN x IF c <> 0]) > 0),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      AND list_cosine_similarity(a.x, b.x) >= 0.95),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    roots AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+    counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+    FROM roots LEFT JOIN counts USING (vec_id)
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors by cosine 0.95, whatever their labels."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register(
+    "op6_exact_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, [floor(64 * c) FOR c IN CAST(embedding AS DOUBLE[])] AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+    scores AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scores)
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 20
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op8_simhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components. No twin: the hash isn't in SQL."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
