@@ -70,12 +70,13 @@ def two_stage(raw: bytes, depth: int) -> np.ndarray:
     smaller = np.repeat(rises, np.diff(np.concatenate([[-1], ends])))
     direct = np.array(sorted(np.flatnonzero(smaller).tolist(), key=lambda i: raw[i : i + depth]), dtype=np.int64)
     tails = [direct[k] for k in np.split(np.arange(len(direct)), np.cumsum(np.bincount(t[direct], minlength=256))[:-1])]
+    run_start = np.repeat(np.concatenate([[0], ends[:-1] + 1]), np.diff(np.concatenate([[-1], ends])))
     heads: list[list[np.ndarray]] = [[] for _ in range(256)]
     heads[t[-1]].append(np.array([n - 1]))
 
-    def induce(batch: np.ndarray) -> None:
+    def induce(batch: np.ndarray, c: int) -> None:
         before = batch[batch > 0] - 1
-        before = before[~smaller[before]]
+        before = before[~smaller[before] & (t[before] != c)]
         first = t[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
@@ -84,13 +85,15 @@ def two_stage(raw: bytes, depth: int) -> np.ndarray:
             heads[t[part[0]]].append(part)
 
     for c in range(256):
-        k = 0
-        while k < len(heads[c]):  # what a bucket puts into itself comes after what it has
-            now = heads[c][k:]
-            k = len(heads[c])
-            induce(np.concatenate(now))
+        if heads[c]:
+            # Each suffix brings the ones before it in its run of c: first all that are one byte longer, and so on.
+            own = np.concatenate(heads[c])
+            longer = own - run_start[own]
+            back = np.arange(longer.sum()) - np.repeat(np.cumsum(longer) - longer, longer) + 1
+            heads[c] = [own, (np.repeat(own, longer) - back)[np.argsort(back, kind="stable")]]
+            induce(np.concatenate(heads[c]), c)
         if len(tails[c]):
-            induce(tails[c])
+            induce(tails[c], c)
     return np.concatenate([x for c in range(256) for x in (*heads[c], tails[c])])
 
 

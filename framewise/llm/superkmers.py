@@ -1,17 +1,18 @@
 """Repeated windows of a fixed number of units, found through super-k-mers.
 
 A text is a row of units (words or bytes) and a window is `width` consecutive units. Each window has a
-minimiser: the gram of `gram` units with the smallest hash in it, the first one of equals. Consecutive
-windows with the same minimiser in the same place form a super-k-mer, and travel together as one packed
-string. Equal windows have the same minimiser at the same distance, so they always meet in its bucket.
+minimiser: the gram of `gram` units with the smallest hash in it. Consecutive windows with the same minimiser
+form a super-k-mer, and travel together as one packed string. Equal windows have the same minimiser, so they
+always meet in its bucket.
 
 Before strings travel, fixed-size rows (minimiser, fingerprint of the string, place) are counted:
-* a minimiser that occurs once has no repeated window: its string stays at home;
+* a minimiser that occurs once, in a string that has it in one place, has no repeated window: its string stays at home;
 * equal strings become one with a weight, so copies of a text cost no more than one of them;
-* a minimiser with one string of weight 2 or more has only repeated windows;
+* a string of weight 2 or more has only repeated windows;
 * the others' strings are packed, sent to the bucket and sorted there by `repeats`.
-A bucket with more than `crowd` different strings is split: its windows are cut into shorter runs, whose
-key is the hash of all units that they share, and at last into single windows, which count as they are.
+A bucket with more than `crowd` different strings is split: its windows are cut into shorter runs, on a grid around
+the first place of the minimiser, whose key is the hash of the units that a whole run shares; at last into single
+windows, which count as they are.
 No step holds more than `crowd` strings of a bucket, and no row is dropped.
 """
 
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 from framewise.llm.common import batch_of, stored, whole_groups
 
 CROWD = 1000
-SEGMENT = 1 << 20
+#: Windows of a super-k-mer at most.
+SEGMENT = 1 << 16
 ROWS = pa.schema(
-    [("kid", pa.int64()), ("kth", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int32()), ("mini", pa.int64()), ("fp", pa.int64())]
+    [("kid", pa.int64()), ("kth", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("ties", pa.int32()), ("mini", pa.int64()), ("fp", pa.int64())]
 )
-ROWS_DDL = "kid long, kth long, start long, windows int, anchor int, mini long, fp long"
-STRINGS = pa.schema([("mini", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int32()), ("packed", pa.binary())])
-STRINGS_DDL = "mini long, fp long, n long, windows int, anchor int, packed binary"
+ROWS_DDL = "kid long, kth long, start long, windows int, ties int, mini long, fp long"
+STRINGS = pa.schema([("mini", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("windows", pa.int32()), ("packed", pa.binary())])
+STRINGS_DDL = "mini long, fp long, n long, windows int, packed binary"
 PARTS = pa.schema([("root_mini", pa.int64()), ("root_fp", pa.int64()), ("shift", pa.int32()), *STRINGS])
 PARTS_DDL = "root_mini long, root_fp long, shift int, " + STRINGS_DDL
 FOUND = pa.schema([("mini", pa.int64()), ("fp", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
@@ -89,16 +91,17 @@ def smallest(h: np.ndarray, w: int) -> np.ndarray:
     return (m & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def super_kmers(hashes: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Starts, ends (of window starts) and minimiser places of a text's super-k-mers, by segments."""
+def super_kmers(hashes: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts and ends (of window starts), minimisers and their numbers of places beyond one, of a text's super-k-mers."""
     n = len(hashes) + gram - width
     w = width - gram + 1
     for at in range(0, n, SEGMENT):
         stop = min(n, at + SEGMENT)
         places = smallest(hashes[at : stop + w - 1], w)
-        cut = np.flatnonzero(places[1:] != places[:-1]) + 1
-        starts = np.concatenate([[0], cut])
-        yield starts + at, np.append(cut, stop - at) + at, places[starts] + at
+        mini = hashes[at:][places]
+        starts = np.concatenate([[0], np.flatnonzero(mini[1:] != mini[:-1]) + 1])
+        ends = np.append(starts[1:], len(mini))
+        yield starts + at, ends + at, mini[starts], places[ends - 1] - places[starts]
 
 
 def scan(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -113,7 +116,7 @@ def scan(docs: DataFrame, kind: Kind) -> DataFrame:
                 if len(u.starts) < kind.width:
                     continue
                 h = kind.grams(u)
-                for starts, ends, at in super_kmers(h, kind.width, kind.gram):
+                for starts, ends, mini, ties in super_kmers(h, kind.width, kind.gram):
                     a, b = u.starts[starts].tolist(), u.ends[ends + (kind.width - 2)].tolist()
                     p, fp = u.packed, xxhash.xxh3_64_intdigest
                     held["fp"].append(np.array([fp(p[x:y]) for x, y in zip(a, b)], dtype=np.uint64).view(np.int64))
@@ -121,8 +124,8 @@ def scan(docs: DataFrame, kind: Kind) -> DataFrame:
                     held["kth"].append(np.full(len(starts), kth))
                     held["start"].append(starts)
                     held["windows"].append(ends - starts)
-                    held["anchor"].append(at - starts)
-                    held["mini"].append(h[at].view(np.int64))
+                    held["ties"].append(ties)
+                    held["mini"].append(mini.view(np.int64))
                     size += len(starts)
                 if size > 100_000:
                     yield batch_of(ROWS, {k: np.concatenate(v) for k, v in held.items()})
@@ -135,7 +138,7 @@ def scan(docs: DataFrame, kind: Kind) -> DataFrame:
 
 def pack(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     """The packed strings of wanted places (kid, kth, start, windows, ...), one row each."""
-    lists = wanted.groupBy("kid", "kth").agg(F.collect_list(F.struct("start", "windows", "anchor", "mini", "fp", "n")).alias("places"))
+    lists = wanted.groupBy("kid", "kth").agg(F.collect_list(F.struct("start", "windows", "mini", "fp", "n")).alias("places"))
 
     def strings(batches):
         for batch in batches:
@@ -144,7 +147,7 @@ def pack(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
                 u = kind.units(text.as_buffer().to_pybytes())
                 for p in places.as_py():
                     packed = u.string(p["start"], p["start"] + p["windows"] + kind.width - 1)
-                    out.append((p["mini"], p["fp"], p["n"], p["windows"], p["anchor"], packed))
+                    out.append((p["mini"], p["fp"], p["n"], p["windows"], packed))
                     size += len(packed)
                 if size > 4_000_000:
                     yield batch_of(STRINGS, dict(zip(STRINGS.names, zip(*out))))
@@ -201,14 +204,18 @@ def shorter(strings: DataFrame, kind: Kind, run: int) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                u, at = kind.units(r["packed"]), 0
+                u = kind.units(r["packed"])
+                places = smallest(kind.grams(u), kind.width - kind.gram + 1).tolist()
+                at = 0
                 while at < r["windows"]:
-                    base = at - (at - r["anchor"]) % run
-                    end = min(r["windows"], base + run)
+                    base = at - (at - places[at]) % run
+                    end = at + 1
+                    while end < min(r["windows"], base + run) and places[end] == places[at]:
+                        end += 1
                     shared = u.string(base + run - 1, base + kind.width)
-                    key = xxhash.xxh3_64_intdigest(shared, seed=(base - r["anchor"]) & 0xFFFFFFFF)
+                    key = xxhash.xxh3_64_intdigest(shared, seed=(base - places[at]) & 0xFFFFFFFF)
                     part = u.string(at, end + kind.width - 1)
-                    out.append((r["root_mini"], r["root_fp"], r["shift"] + at, key, xxhash.xxh3_64_intdigest(part), r["n"], end - at, base - at, part))
+                    out.append((r["root_mini"], r["root_fp"], r["shift"] + at, key, xxhash.xxh3_64_intdigest(part), r["n"], end - at, part))
                     at = end
             if out:
                 cols = dict(zip(PARTS.names, zip(*out)))
@@ -226,19 +233,22 @@ def kinds(rows: DataFrame, weight: Column, *keep: str) -> DataFrame:
     return rows.groupBy(who).agg(weight.alias("n"), *(F.first(c).alias(c) for c in keep)).select("who.mini", "who.fp", "n", *keep)
 
 
-def sized(strings: DataFrame) -> DataFrame:
-    """Adds the number of different strings of the bucket, for buckets with two or more."""
-    return strings.join(strings.groupBy("mini").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mini")
+def marked(strings: DataFrame) -> DataFrame:
+    """Strings whose bucket may hold repeated windows beyond equal strings, with its number of strings."""
+    buckets = strings.groupBy("mini").agg(F.count("*").alias("kinds"), F.max("ties").alias("within"))
+    buckets = stored(buckets.where("kinds > 1 OR within > 0"))  # stored, so that a hot bucket's rows can be split
+    return strings.join(buckets.select("mini", "kinds"), "mini")
 
 
 def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
     """(kid, kth, first, end): runs of units covered by repeated windows, some of them overlapping."""
     rows = stored(scan(docs, kind))
-    twice = rows.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1").select("mini")
+    twice = rows.groupBy("mini").agg(F.count("*").alias("n"), F.max("ties").alias("ties"))
+    twice = stored(twice.where("n > 1 OR ties > 0").select("mini"))
     rows = stored(rows.join(twice, "mini"))
-    strings = stored(kinds(rows, F.count("*"), "kid", "kth", "start", "windows", "anchor"))
+    strings = stored(kinds(rows, F.count("*"), "kid", "kth", "start", "windows", "ties"))
     whole = strings.where("n > 1").select("mini", "fp", F.lit(0).alias("first"), F.col("windows").alias("end"))
-    buckets = stored(sized(strings))
+    buckets = stored(marked(strings))
     found = whole.unionByName(in_buckets(pack(docs, buckets.where(F.col("kinds") <= kind.crowd), kind), kind))
     crowded = buckets.where(F.col("kinds") > kind.crowd)
     if not crowded.isEmpty():
@@ -246,28 +256,25 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
         parts = packed.withColumns({"root_mini": F.col("mini"), "root_fp": F.col("fp"), "shift": F.lit(0)})
         for run in kind.runs:
             parts = stored(shorter(parts, kind, run))
-            some = stored(kinds(parts, F.sum("n"), "windows", "anchor", "packed"))
-            sized_parts = sized(some)
-            hits = some.where("n > 1").select("mini", "fp", F.lit(0).alias("first"), F.col("windows").alias("end"))
+            different = stored(kinds(parts, F.sum("n"), "windows", "packed").withColumn("ties", F.lit(0)))
+            hits = different.where("n > 1").select("mini", "fp", F.lit(0).alias("first"), F.col("windows").alias("end"))
+            buckets = marked(different)
             last = run == kind.runs[-1]
-            few = sized_parts if last else sized_parts.where(F.col("kinds") <= kind.crowd)
+            few = buckets if last else buckets.where(F.col("kinds") <= kind.crowd)
             hits = hits.unionByName(in_buckets(few.select(*STRINGS.names), kind))
-            places = parts.select(F.col("root_mini"), F.col("root_fp"), "shift", "mini", "fp")
-            found = found.unionByName(
-                hits.join(places, ["mini", "fp"]).select(
-                    F.col("root_mini").alias("mini"), F.col("root_fp").alias("fp"), (F.col("first") + F.col("shift")).alias("first"), (F.col("end") + F.col("shift")).alias("end")
-                )
-            )
+            places = parts.select("root_mini", "root_fp", "shift", "mini", "fp")
+            first, end = (F.col(c) + F.col("shift") for c in ("first", "end"))
+            hits = hits.join(places, ["mini", "fp"])
+            found = found.unionByName(hits.select(F.col("root_mini").alias("mini"), F.col("root_fp").alias("fp"), first.alias("first"), end.alias("end")))
             if last:
                 break
-            many = sized_parts.where(F.col("kinds") > kind.crowd).select("mini").distinct()
-            parts = parts.join(many, "mini")
+            many = buckets.where(F.col("kinds") > kind.crowd).select("mini").distinct()
+            parts = parts.join(stored(many), "mini")
             if parts.isEmpty():
                 break
     found = stored(found)
-    return rows.join(found, ["mini", "fp"]).select(
-        "kid", "kth", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end") + F.lit(kind.width - 1)).alias("end")
-    )
+    last_end = F.col("start") + F.col("end") + F.lit(kind.width - 1)
+    return rows.join(found, ["mini", "fp"]).select("kid", "kth", (F.col("start") + F.col("first")).alias("first"), last_end.alias("end"))
 
 
 def covered(runs: list, n: int) -> np.ndarray:
