@@ -5,7 +5,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
@@ -28,22 +28,27 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(kid, kth, doc_id, text): rows with equal id and text share a key, and so do their results.
+def text_of(docs: DataFrame) -> Column:
+    """The text, an empty one where it is null."""
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with __kid and __kth: rows with equal id and text share a key, and so do their results.
 
-    A null text is an empty one; a null id is a value like any other.
+    A null id is a value like any other.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc_id = F.col("doc_id").cast("long")
-    return docs.select(
-        F.coalesce(doc_id, F.lit(NULL_ID)).alias("kid"),
-        F.xxhash64(text).alias("kth"),
-        doc_id.alias("doc_id"),
-        text.alias("text"),
-    )
+    keys = {"__kid": F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), "__kth": F.xxhash64(text_of(docs))}
+    return docs.withColumns(keys)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(kid, kth, doc_id, text) of docs, see with_keys; a null text is an empty one."""
+    keys = with_keys(docs)
+    return keys.select(F.col("__kid").alias("kid"), F.col("__kth").alias("kth"), F.col("doc_id").cast("long").alias("doc_id"), text_of(keys).alias("text"))
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], *by: str) -> Iterator[dict[str, np.ndarray]]:
+def whole_groups(batches: Iterable[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
     """Chunks of a partition sorted by long columns, each ending where a group ends."""
     held = None
     for batch in batches:

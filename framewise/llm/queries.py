@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import embeddings, simhash, substring, suffixes, topk
+from framewise.llm import bpe, embeddings, licenses, packing, simhash, substring, suffixes, tokens, topk, toxicity
 from framewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +41,7 @@ def register(name: str, sql: str | None = None):
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words outside of 35-word windows that start at two places or more."""
-    return substring.dedup_substrings(table(spark, sf_dir, "documents"), texts=False)
+    return substring.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
 @register("op10_suffix_array_dedup")
@@ -94,3 +95,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their components. No twin: the hash isn't in SQL."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents. No twin: a tokenizer isn't in SQL."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens. No twin: a tokenizer isn't in SQL."""
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(cut)
+
+
+@register("op7_bpe_encoding")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents, as digests. No twin: a tokenizer isn't in SQL."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents. No twin: a fitted model isn't in SQL."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents. No twin: zstandard isn't in SQL."""
+    return licenses.license_blocks(table(spark, sf_dir, "documents"))

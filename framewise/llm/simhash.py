@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, components, keyed, roots, stored, whole_groups
+from framewise.llm.common import batch_of, components, keyed, roots, stored, whole_groups, with_keys
 
 SEED = 42
 BITS = 2
@@ -150,6 +150,4 @@ def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "kth", "kid")
     kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(order).alias("k"))
     kept = kept.select(F.col("k.kid").alias("__kid"), F.col("k.kth").alias("__kth"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"__kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__kth": F.xxhash64(text)})
-    return rows.join(kept, ["__kid", "__kth"]).dropDuplicates(["__kid", "__kth"]).select(*docs.columns)
+    return with_keys(docs).join(kept, ["__kid", "__kth"]).dropDuplicates(["__kid", "__kth"]).select(*docs.columns)

@@ -11,10 +11,12 @@ of one another. Null ids are kept. Columns other than doc_id and text are not re
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, keyed
+from framewise.llm.common import batch_of, text_of
 from framewise.llm.superkmers import Bucket, Kind, Units, covered, with_runs
 
 WIDTH = 35
@@ -91,35 +93,53 @@ def word_kind(width: int = WIDTH, gram: int = GRAM, **more) -> Kind:
     return Kind(width, gram, (max(1, width // 8), 1), words, lambda u: word_grams(u, gram), sorted_repeats(width), **more)
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def dedup_substrings(docs: DataFrame, kind: Kind | None = None, texts: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]): one row per row of docs.
+def _left(text: bytes, runs: pa.Scalar) -> tuple[int, list[bytes]]:
+    """The number of words of a text, and those outside of the runs."""
+    found = text.split()
+    if not runs.is_valid:
+        return len(found), found
+    gone = covered([(r["first"], r["end"]) for r in runs.as_py()], len(found)).tolist()
+    return len(found), [w for w, g in zip(found, gone) if not g]
 
-    `kept` has the words that are left, joined by one space.
-    """
-    kind = kind or word_kind()
-    schema = RESULT if texts else pa.schema(list(RESULT)[:-1])
+
+def dedup_substrings(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256): one row per row of docs."""
 
     def remove(batches):
         for batch in batches:
-            out, size = [], 0
+            out = []
             for doc_id, text, runs in zip(batch["doc_id"].to_pylist(), batch["text"], batch["runs"]):
-                found = text.as_buffer().to_pybytes().split()
-                left = found
-                if runs.is_valid:
-                    gone = covered([(r["first"], r["end"]) for r in runs.as_py()], len(found))
-                    left = [w for w, g in zip(found, gone.tolist()) if not g]
-                kept = b" ".join(left)
-                row = (doc_id, len(found), len(found) - len(left), hashlib.sha256(kept).hexdigest())
-                out.append((*row, kept.decode()) if texts else row)
-                size += len(kept)
-                if size > 4_000_000:
-                    yield batch_of(schema, dict(zip(schema.names, zip(*out))))
-                    out, size = [], 0
+                n, left = _left(text.as_buffer().to_pybytes(), runs)
+                out.append((doc_id, n, n - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
             if out:
-                yield batch_of(schema, dict(zip(schema.names, zip(*out))))
+                yield batch_of(RESULT, dict(zip(RESULT.names, zip(*out))))
+
+    runs = with_runs(docs, kind or word_kind())
+    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return runs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(runs).alias("text"), "runs").mapInArrow(remove, ddl)
+
+
+def without_repeats(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
+    """docs with the texts that are left: kept words joined by one space where words go, else as they were.
+
+    A null text stays null. n_chars, where docs has it, becomes the number of characters of the new text.
+    """
 
-    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
-    return with_runs(keyed(docs), kind).mapInArrow(remove, ddl)
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([t if r is None or t is None else _kept(t, r) for t, r in zip(text, runs)], dtype=object)
+
+    def _kept(text, runs):
+        found = text.encode().split()
+        gone = covered([(r["first"], r["end"]) for r in runs], len(found)).tolist()
+        return b" ".join(w for w, g in zip(found, gone) if not g).decode()
+
+    runs = with_runs(docs, kind or word_kind())
+    out = runs.withColumn("text", kept(F.col("text").cast("string"), "runs"))
+    if "n_chars" in docs.columns:
+        n = F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("runs").isNull(), F.col("n_chars")).otherwise(n))
+    return out.select(*docs.columns)

@@ -18,8 +18,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, keyed
+from framewise.llm.common import batch_of, text_of
 from framewise.llm.superkmers import Bucket, Kind, Units, covered, with_runs
 
 WIDTH = 400
@@ -175,4 +176,5 @@ def dedup_bytes(docs: DataFrame, kind: Kind | None = None, texts: bool = True) -
                 yield batch_of(schema, dict(zip(schema.names, zip(*out))))
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    return with_runs(keyed(docs), kind).mapInArrow(remove, ddl)
+    runs = with_runs(docs, kind)
+    return runs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(runs).alias("text"), "runs").mapInArrow(remove, ddl)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, stored, whole_groups
+from framewise.llm.common import batch_of, keyed, stored, whole_groups, with_keys
 
 CROWD = 1000
 #: Windows of a super-k-mer at most.
@@ -287,6 +287,8 @@ def covered(runs: list, n: int) -> np.ndarray:
 
 
 def with_runs(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(doc_id, text, runs): every row of docs with the runs to remove, null where there are none."""
-    runs = repeated_runs(docs, kind).groupBy("kid", "kth").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
-    return docs.join(runs, ["kid", "kth"], "left").select("doc_id", "text", "runs")
+    """docs with `runs`: the runs of units to remove, null where there are none."""
+    runs = repeated_runs(keyed(docs), kind).groupBy(F.col("kid").alias("__kid"), F.col("kth").alias("__kth"))
+    runs = runs.agg(F.collect_set(F.struct("first", "end")).alias("runs"))
+    rows = with_keys(docs.drop("runs"))
+    return rows.join(runs, ["__kid", "__kth"], "left").drop("__kid", "__kth")
