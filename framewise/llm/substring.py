@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, text_of
+from framewise.llm.common import batch_of, released
 from framewise.llm.superkmers import Bucket, Kind, Units, covered, with_runs
 
 WIDTH = 35
@@ -96,12 +96,12 @@ def word_kind(width: int = WIDTH, gram: int = GRAM, **more) -> Kind:
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _left(text: bytes, runs: pa.Scalar) -> tuple[int, list[bytes]]:
+def _left(text: bytes, runs: list | None) -> tuple[int, list[bytes]]:
     """The number of words of a text, and those outside of the runs."""
     found = text.split()
-    if not runs.is_valid:
+    if runs is None:
         return len(found), found
-    gone = covered([(r["first"], r["end"]) for r in runs.as_py()], len(found)).tolist()
+    gone = covered([(r["first"], r["end"]) for r in runs], len(found)).tolist()
     return len(found), [w for w, g in zip(found, gone) if not g]
 
 
@@ -112,14 +112,14 @@ def dedup_substrings(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, text, runs in zip(batch["doc_id"].to_pylist(), batch["text"], batch["runs"]):
-                n, left = _left(text.as_buffer().to_pybytes(), runs)
+                n, left = _left(released(text.as_buffer()) if text.is_valid else b"", runs.as_py())
                 out.append((doc_id, n, n - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
             if out:
                 yield batch_of(RESULT, dict(zip(RESULT.names, zip(*out))))
 
     runs = with_runs(docs, kind or word_kind())
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return runs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(runs).alias("text"), "runs").mapInArrow(remove, ddl)
+    return runs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs").mapInArrow(remove, ddl)
 
 
 def without_repeats(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
@@ -129,16 +129,14 @@ def without_repeats(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
     """
 
     @F.pandas_udf("string")
-    def kept(text: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None or t is None else _kept(t, r) for t, r in zip(text, runs)], dtype=object)
+    def kept(frame: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([None if f is None else after(released(f), r) for f, r in zip(frame, runs)], dtype=object)
 
-    def _kept(text, runs):
-        found = text.encode().split()
-        gone = covered([(r["first"], r["end"]) for r in runs], len(found)).tolist()
-        return b" ".join(w for w, g in zip(found, gone) if not g).decode()
+    def after(text, runs):
+        return (text if runs is None else b" ".join(_left(text, runs)[1])).decode()
 
     runs = with_runs(docs, kind or word_kind())
-    out = runs.withColumn("text", kept(F.col("text").cast("string"), "runs"))
+    out = runs.withColumn("text", kept("text", "runs"))
     if "n_chars" in docs.columns:
         n = F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("runs").isNull(), F.col("n_chars")).otherwise(n))

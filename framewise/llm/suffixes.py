@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, text_of
+from framewise.llm.common import batch_of, released
 from framewise.llm.superkmers import Bucket, Kind, Units, covered, with_runs
 
 WIDTH = 400
@@ -160,7 +160,7 @@ def dedup_bytes(docs: DataFrame, kind: Kind | None = None, texts: bool = True) -
         for batch in batches:
             out, size = [], 0
             for doc_id, text, runs in zip(batch["doc_id"].to_pylist(), batch["text"], batch["runs"]):
-                raw = text.as_buffer().to_pybytes()
+                raw = released(text.as_buffer()) if text.is_valid else b""
                 kept, spans = raw, 0
                 if runs.is_valid:
                     gone = covered([(r["first"], r["end"]) for r in runs.as_py()], len(raw))
@@ -177,4 +177,4 @@ def dedup_bytes(docs: DataFrame, kind: Kind | None = None, texts: bool = True) -
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
     runs = with_runs(docs, kind)
-    return runs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(runs).alias("text"), "runs").mapInArrow(remove, ddl)
+    return runs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs").mapInArrow(remove, ddl)

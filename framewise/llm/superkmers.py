@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, keyed, stored, whole_groups, with_keys
+from framewise.llm.common import batch_of, keyed, released, squeezed, stored, whole_groups, with_keys
 
-CROWD = 1000
+CROWD = 400
 #: Windows of a super-k-mer at most.
 SEGMENT = 1 << 16
 ROWS = pa.schema(
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
         for batch in batches:
             out, size = [], 0
             for text, places in zip(batch["text"], batch["places"]):
-                u = kind.units(text.as_buffer().to_pybytes())
+                u = kind.units(released(text.as_buffer()))
                 for p in places.as_py():
                     packed = u.string(p["start"], p["start"] + p["windows"] + kind.width - 1)
                     out.append((p["mini"], p["fp"], p["n"], p["windows"], packed))
@@ -155,7 +155,8 @@ def pack(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
             if out:
                 yield batch_of(STRINGS, dict(zip(STRINGS.names, zip(*out))))
 
-    return docs.select("kid", "kth", "text").join(lists, ["kid", "kth"]).select("text", "places").mapInArrow(strings, STRINGS_DDL)
+    texts = docs.select("kid", "kth", squeezed("text").alias("text"))
+    return texts.join(lists, ["kid", "kth"]).select("text", "places").mapInArrow(strings, STRINGS_DDL)
 
 
 def in_buckets(strings: DataFrame, kind: Kind) -> DataFrame:
@@ -287,8 +288,9 @@ def covered(runs: list, n: int) -> np.ndarray:
 
 
 def with_runs(docs: DataFrame, kind: Kind) -> DataFrame:
-    """docs with `runs`: the runs of units to remove, null where there are none."""
+    """docs with `runs`, the runs of units to remove, null where there are none; its text is squeezed."""
     runs = repeated_runs(keyed(docs), kind).groupBy(F.col("kid").alias("__kid"), F.col("kth").alias("__kth"))
     runs = runs.agg(F.collect_set(F.struct("first", "end")).alias("runs"))
     rows = with_keys(docs.drop("runs"))
+    rows = rows.withColumn("text", squeezed(rows["text"].cast("string")))
     return rows.join(runs, ["__kid", "__kth"], "left").drop("__kid", "__kth")

@@ -24,7 +24,7 @@ def test_top_k(spark, slab, group):
     r = np.random.default_rng(1)
     rows = [(k, (r.normal(size=6) * r.choice([0.1, 1, 5])).tolist()) for k in range(200)]
     rows += [(k, rows[k % 50][1]) for k in range(200, 260)]
-    rows += [(None, [9.0] * 6), (300, None), (320, [1.0, None, 0, 0, 0, 0]), (340, [float("inf")] * 6), (360, [0.0] * 6), (380, []), (400, [1.0, 2.0])]
+    rows += [(None, [9.0] * 6), (300, None), (320, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (340, [float("inf")] * 6), (360, [0.0] * 6), (380, []), (400, [1.0, 2.0])]
     rows += [rows[20], rows[20]]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(x) for x in topk.top_k(table, k=7, slab=slab, group=group).collect()]
