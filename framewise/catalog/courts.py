@@ -3,16 +3,18 @@
 from pyspark.sql import functions as F
 
 from framewise.catalog import register, rounded
-from framewise.catalog.sql import homography, project, query
+from framewise.catalog.sql import MAP_LINES, MAP_POINTS, homography, moved, project, query
 from framewise.catalog.sql import rounded as r
 from framewise.catalog.tracks import SMALL
 from framewise.functions.points import foot_of_centre_box
-from framewise.operators import camera, fill, geometry, hits, overlay
+from framewise.operators import bounce, camera, fill, geometry, hits, models, overlay
 from framewise.operators import select as S
 from framewise.plans.match import Match
 from framewise.sources.samples import FRAME_H, HEIGHTS
 
 H = geometry.H_NAMES
+# The court's edges on the map.
+LEFT, TOP, RIGHT, BOTTOM = 264, 317, 702, 1268
 _H9 = ", ".join(f"{r(h, 9)} AS {h}" for h in H)
 
 
@@ -21,13 +23,21 @@ def _h9(df):
 
 
 @register("g1_court_map_points", query(
-    "SELECT k.video_id, k.frame, k.kp_idx, p.px::DOUBLE AS map_x, p.py::DOUBLE AS map_y FROM kps k JOIN (VALUES "
-    + ", ".join(f"({i}, {x}, {y})" for i, (x, y) in geometry.court_map_points().items())
-    + ") AS p(i, px, py) ON k.kp_idx = p.i", "kps"))
+    f"""SELECT k.video_id, k.frame, k.kp_idx, p.px::DOUBLE AS map_x, p.py::DOUBLE AS map_y
+    FROM kps k JOIN (VALUES {MAP_POINTS}) AS p(i, px, py) ON k.kp_idx = p.i""", "kps"))
 def _(t):
     return geometry.with_map_positions(t.kps).drop("x", "y")
 
 
+@register("g2_corners_land_on_corners", query(
+    f"""SELECT k.video_id, k.frame, k.kp_idx, p.px::DOUBLE AS map_x, p.py::DOUBLE AS map_y FROM kps k JOIN (VALUES
+      (4, {LEFT}, {TOP}), (6, {RIGHT}, {TOP}), (5, {LEFT}, {BOTTOM}), (7, {RIGHT}, {BOTTOM})) AS p(i, px, py) ON k.kp_idx = p.i""", "kps"))
+def _(t):
+    """The four points that fix a frame's matrix go to the corners of the court."""
+    corners = t.kps.filter(F.col("kp_idx").isin(*geometry.CORNERS))
+    return rounded(geometry.project_points(corners, geometry.frame_homography(t.kps)).drop("x", "y"), "map_x", "map_y")
+
+
 @register("g2_video_homography", query(f"SELECT video_id, {_H9} FROM video_h", "video_h"))
 def _(t):
     return _h9(geometry.video_homography(t.kps))
@@ -45,42 +55,42 @@ def _(t):
 @register("j6_matrix_of_video", query(
     f"SELECT b.video_id, b.frame, {_H9} FROM ball b JOIN video_h v ON b.video_id = v.video_id", "ball", "video_h"))
 def _(t):
-    from framewise.operators.chunks import spread_join
+    from framewise.operators.chunks import join_track
 
-    return _h9(spread_join(t.frames, geometry.video_homography(t.kps)))
+    return _h9(join_track(t.frames, geometry.video_homography(t.kps)))
 
 
 # Four pairs fix the matrix, so the least-squares form must equal the closed one.
-_FOUR = "(SELECT * FROM kps WHERE frame % 50 = 0)"
-
-
 @register("g4_fit_four_points", query(
     "SELECT video_id, frame, " + ", ".join(f"{r(h, 6 if h[1] == '2' else 3)} AS {h}" for h in H) + " FROM h", "kps",
-    extra={"h": homography(_FOUR)}))
+    extra={"h": homography("kps")}))
 def _(t):
     corners = {i: p for i, p in zip(geometry.CORNERS, [
         (geometry.LEFT, geometry.TOP), (geometry.RIGHT, geometry.TOP), (geometry.LEFT, geometry.BOTTOM), (geometry.RIGHT, geometry.BOTTOM)])}
-    pairs = geometry.with_map_positions(t.kps.filter("frame % 50 = 0 AND kp_idx IN (4, 5, 6, 7)"), corners)
+    pairs = geometry.with_map_positions(t.kps.filter("kp_idx IN (4, 5, 6, 7)"), corners)
     fitted = geometry.matrix_columns(geometry.fit_homography(pairs).drop("n_points"))
     near = rounded(fitted, *[h for h in H if h[1] != "2"], digits=3)
     return rounded(near, *[h for h in H if h[1] == "2"])
 
 
-@register("g4_fit_all_points")
+@register("g4_fit_all_points", query(
+    "SELECT video_id, frame, count(*) AS n_points, TRUE AS exact FROM kps GROUP BY ALL", "kps"))
 def _(t):
-    return geometry.matrix_columns(geometry.fit_homography(geometry.with_map_positions(t.kps)))
+    """Whether a fit to exact pairs puts every point back, to a millionth of a pixel."""
+    pairs = geometry.project_points(t.kps, geometry.frame_homography(t.kps))
+    fitted = geometry.fit_homography(pairs)
+    back = geometry.project_points(pairs, fitted.drop("n_points"), out=("back_x", "back_y"))
+    off = F.max(F.greatest(F.abs(F.col("back_x") - F.col("map_x")), F.abs(F.col("back_y") - F.col("map_y"))))
+    return back.groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n_points"), (off < 1e-6).alias("exact"))
 
 
 @register("g7_court_lines", query(
-    "SELECT v.video_id, l.* FROM (SELECT DISTINCT video_id FROM ball) v CROSS JOIN (VALUES "
-    + ", ".join(str(line) for line in geometry.court_lines()) + ") AS l(item, x, y, x2, y2)", "ball"))
+    f"SELECT v.video_id, l.* FROM (SELECT DISTINCT video_id FROM ball) v CROSS JOIN (VALUES {MAP_LINES}) AS l(item, x, y, x2, y2)", "ball"))
 def _(t):
     return geometry.court_line_layer(t.frames)
 
 
 _PX_PER_M = f"{geometry.COURT_W / (geometry.COURT_CM[0] / 100)!r}::DOUBLE"
-_MAP = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in geometry.court_map_points().items())
-
 
 def _mini_sql(points: str, extra_columns: str = "") -> str:
     dx, dy = "(x - m.kx) * hm / max_height", "(y - m.ky) * hm / max_height"
@@ -88,10 +98,10 @@ def _mini_sql(points: str, extra_columns: str = "") -> str:
         f"""SELECT video_id, frame, track_id, m.kp_idx AS kp_idx, {extra_columns} {r(dx)} AS dx_m, {r(dy)} AS dy_m,
           {r(f'p.px + {dx} * {_PX_PER_M}')} AS map_x, {r(f'p.py + {dy} * {_PX_PER_M}')} AS map_y
         FROM (SELECT f.*, (SELECT min({{'d': abs(f.y - k.y), 'kp_idx': k.kp_idx, 'kx': k.x, 'ky': k.y}})
-            FROM kps k WHERE k.video_id = f.video_id AND k.frame = f.frame AND k.kp_idx IN (0, 2, 12, 13)) AS m
+            FROM kps_seen k WHERE k.video_id = f.video_id AND k.frame = f.frame AND k.kp_idx IN (0, 2, 12, 13)) AS m
           FROM ({points}) f)
-        JOIN (VALUES {_MAP}) AS p(i, px, py) ON p.i = m.kp_idx""",
-        "player_boxes", "kps")
+        LEFT JOIN (VALUES {MAP_POINTS}) AS p(i, px, py) ON p.i = m.kp_idx""",
+        "player_boxes", "kps_seen")
 
 
 _TALL = """SELECT video_id, frame, track_id, trunc((x1 + x2) / 2) AS x, y2 AS y, CASE track_id WHEN 1 THEN 1.88 WHEN 2 THEN 1.91 END::DOUBLE AS hm,
@@ -99,20 +109,21 @@ _TALL = """SELECT video_id, frame, track_id, trunc((x1 + x2) / 2) AS x, y2 AS y,
   FROM player_boxes"""
 
 
-@register("g8_players_on_mini_court", _mini_sql(f"SELECT * FROM ({_TALL}) WHERE hm IS NOT NULL", "max_height,"))
+@register("g8_players_on_mini_court", _mini_sql(f"SELECT * FROM ({_TALL})", "max_height,"))
 def _(t):
-    placed = geometry.players_on_mini_court(S.player_boxes(t.players), t.kps, HEIGHTS, size=SMALL)
+    placed = geometry.players_on_mini_court(S.player_boxes(t.players), t.kps_seen, HEIGHTS, size=SMALL)
     return rounded(placed, "dx_m", "dy_m", "map_x", "map_y")
 
 
 @register("g8_ball_on_mini_court", _mini_sql(
-    f"""SELECT t.video_id, t.frame, t.track_id, hm, max_height, bx AS x, by_ AS y FROM (
-      SELECT t.*, b.bx, b.by_, row_number() OVER (PARTITION BY t.video_id, t.frame
+    f"""SELECT b.video_id, b.frame, t.track_id, 1.88::DOUBLE + 0 * t.track_id AS hm, max_height, COALESCE(b.x, 0) AS x, COALESCE(b.y, 0) AS y FROM ball b
+      LEFT JOIN (SELECT t.*, row_number() OVER (PARTITION BY t.video_id, t.frame
         ORDER BY sqrt((bx - t.x) * (bx - t.x) + (by_ - trunc((y1 + y2) / 2)) * (by_ - trunc((y1 + y2) / 2))), det_idx) AS rn
       FROM ({_TALL}) t JOIN (SELECT video_id, frame, COALESCE(x, 0) AS bx, COALESCE(y, 0) AS by_ FROM ball) b
-        ON t.video_id = b.video_id AND t.frame = b.frame) t WHERE rn = 1 AND hm IS NOT NULL"""))
+        ON t.video_id = b.video_id AND t.frame = b.frame) t ON b.video_id = t.video_id AND b.frame = t.frame AND rn = 1"""))
 def _(t):
-    placed = geometry.ball_on_mini_court(S.player_boxes(t.players), t.track, t.kps, HEIGHTS)
+    """Ids above 1 count as 1, so every frame with a player has a height."""
+    placed = geometry.ball_on_mini_court(S.player_boxes(t.players), t.track, t.kps_seen, HEIGHTS, clamp=1)
     return rounded(placed, "dx_m", "dy_m", "map_x", "map_y")
 
 
@@ -152,40 +163,58 @@ def _(t):
     return camera.latest_value(t.frames, updates, "mse", size=SMALL)
 
 
-def _held(updates: str) -> dict[str, str]:
-    return {
-        "upd": updates,
-        "uh": homography("(SELECT k.* FROM kps_seen k JOIN upd u ON k.video_id = u.video_id AND k.frame = u.frame)"),
-    }
+# The flat camera's matrix follows from how far it had moved in the frame it was fitted in.
+_HELD = f"""SELECT b.video_id, b.frame, u.frame AS fitted_at, {moved("u.")} AS shift FROM ball b LEFT JOIN
+  (SELECT *, lead(frame, 1, 9223372036854775807) OVER (PARTITION BY video_id ORDER BY frame) AS until FROM upd)
+  u ON b.video_id = u.video_id AND b.frame >= u.frame AND b.frame < u.until"""
+_FLAT_H = f"""SELECT video_id, frame, fitted_at, {r('1 / 0.875::DOUBLE + 0 * shift', 5)} AS h00, 0.0 * shift::DOUBLE AS h01, {r('-shift / 0.875::DOUBLE', 3)} AS h02,
+    0.0 * shift::DOUBLE AS h10, {r('1 / 0.375::DOUBLE + 0 * shift', 5)} AS h11, {r('-20 / 0.375::DOUBLE + 0 * shift', 3)} AS h12,
+    0.0 * shift::DOUBLE AS h20, 0.0 * shift::DOUBLE AS h21, 1.0 + 0 * shift::DOUBLE AS h22 FROM held"""
+_MOVED = {"upd": "SELECT video_id, frame FROM flat_moved WHERE moved", "held": _HELD}
+_SAMPLED = {
+    "upd": "SELECT video_id, frame FROM flat WHERE frame >= 10 AND (frame - 1) % 40 = 0 GROUP BY ALL HAVING count(*) > 3", "held": _HELD}
 
 
-_HELD = f"""SELECT b.video_id, b.frame, {_H9} FROM ball b LEFT JOIN
-  (SELECT *, lead(frame, 1, 9223372036854775807) OVER (PARTITION BY video_id ORDER BY frame) AS until FROM uh
-   WHERE h00 IS NOT NULL) u ON b.video_id = u.video_id AND b.frame >= u.frame AND b.frame < u.until"""
+def _flat_h(df):
+    h = rounded(geometry.matrix_columns(df), *H, digits=5)
+    return rounded(h, "h02", "h12", digits=3)
 
 
-@register("g5_refreshed_homography", query(_HELD, "moved", extra=_held("SELECT video_id, frame FROM moved WHERE moved")))
+@register("g5_refreshed_homography", query(_FLAT_H, "flat_moved", extra=_MOVED))
 def _(t):
-    return _h9(camera.refreshed_homography(t.kps_seen, t.frames, size=SMALL))
+    return _flat_h(camera.refreshed_homography(t.flat, t.frames))
 
 
-@register("g5_refreshed_homography_one_video", query(
-    _HELD, "moved", extra=_held("SELECT video_id, frame FROM moved WHERE moved"), one_video=True), one_video=True)
+@register("g5_refreshed_homography_small_pieces", query(_FLAT_H, "flat_moved", extra=_MOVED))
 def _(t):
-    return _h9(camera.refreshed_homography(t.kps_seen, t.frames, size=SMALL))
+    return _flat_h(camera.refreshed_homography(t.flat, t.frames, size=SMALL))
+
+
+@register("g5_refreshed_homography_one_video", query(_FLAT_H, "flat_moved", extra=_MOVED, one_video=True), one_video=True)
+def _(t):
+    return _flat_h(camera.refreshed_homography(t.flat, t.frames, size=SMALL))
+
+
+@register("g6_sampled_homography", query(_FLAT_H, "flat", extra=_SAMPLED))
+def _(t):
+    return _flat_h(camera.sampled_homography(t.flat, t.frames, 40, 10))
+
 
+_BY_FRAME = f"""SELECT b.video_id, b.frame, x, y, {r('(x - shift) / 0.875::DOUBLE', 3)} AS map_x, {r('(y - 20) / 0.375::DOUBLE + 0 * shift', 3)} AS map_y
+    FROM ball b JOIN held h ON b.video_id = h.video_id AND b.frame = h.frame"""
 
-@register("g6_sampled_homography", query(
-    _HELD, "kps_seen", extra=_held("SELECT video_id, frame FROM ball WHERE frame >= 10 AND (frame - 1) % 40 = 0")))
+
+@register("g3_project_by_frame", query(_BY_FRAME, "flat_moved", extra=_MOVED))
 def _(t):
-    return _h9(camera.sampled_homography(t.kps_seen, t.frames, 40, 10))
+    """Each point by the matrix that holds in its frame."""
+    return rounded(geometry.project_points(t.track, camera.refreshed_homography(t.flat, t.frames)), "map_x", "map_y", digits=3)
 
 
 # --- hits on the map ---------------------------------------------------------------------
 
 
 @register("q16_velocity_samples", query(
-    f"""SELECT b.video_id, b.frame, b.x, b.y, vx, {r('vy')} AS vy, COALESCE(n.near_hand, FALSE) AS near_hand,
+    f"""SELECT b.video_id, b.frame, b.x, b.y, vx, {r('vy', 5)} AS vy, COALESCE(n.near_hand, FALSE) AS near_hand,
       trunc({project('b.x', 'b.y', 0)})::INT AS map_x, trunc({project('b.x', 'b.y', 1)})::INT AS map_y
     FROM (SELECT *, x - lag(x) OVER w AS vx, (y - lag(y) OVER w) * (1 + ({FRAME_H} - y) * 0.4::DOUBLE / {FRAME_H}) AS vy FROM ball
       WINDOW w AS (PARTITION BY video_id ORDER BY frame)) b
@@ -193,7 +222,7 @@ def _(t):
       ON b.video_id = n.video_id AND b.frame = n.frame
     JOIN video_h v ON b.video_id = v.video_id WHERE vx IS NOT NULL""", "hand_dist", "video_h"))
 def _(t):
-    return rounded(hits.velocity_samples(t.track, t.hands, geometry.video_homography(t.kps), FRAME_H), "vy")
+    return rounded(hits.velocity_samples(t.track, t.hands, geometry.video_homography(t.kps), FRAME_H), "vy", digits=5)
 
 
 # --- overlay -----------------------------------------------------------------------------
@@ -235,6 +264,55 @@ def _(t):
     return match(t, size=SMALL).mini_map
 
 
+_MOVING_MAP = """SELECT p.video_id, p.frame, layer, item, (x - shift) / 0.875::DOUBLE AS mx, (y - 20) / 0.375::DOUBLE AS my,
+    layer = 'ball' AND t.frame IS NOT NULL AS bounce
+  FROM (SELECT video_id, frame, 'player' AS layer, track_id::VARCHAR AS item, trunc((x1 + x2) / 2) AS x, trunc((y1 + y2) / 2) AS y FROM kept
+    UNION ALL SELECT video_id, frame, 'ball', 'ball', x::DOUBLE, y::DOUBLE FROM fill_compat) p
+  JOIN held h ON p.video_id = h.video_id AND p.frame = h.frame
+  LEFT JOIN turning_filled t ON p.video_id = t.video_id AND p.frame = t.frame"""
+
+
+def _moving_tables() -> dict[str, str]:
+    # The court points of this camera, in frame 0, decide which players are the main ones.
+    from framewise.catalog.sql import CTES
+
+    pairs = CTES["first_pairs"][0].replace("kps_first", "(SELECT * FROM flat WHERE frame = 0)")
+    chosen = CTES["chosen"][0].replace("first_pairs", "flat_pairs")
+    tables = _drawn_tables()
+    return {"flat_pairs": pairs, "flat_chosen": chosen, **_MOVED, **tables, "kept": tables["kept"].replace("FROM chosen", "FROM flat_chosen")}
+
+
+@register("o2_mini_map_of_moving_camera", query(
+    f"""SELECT video_id, frame, layer, item, bounce, abs(mx - round(mx)) < 0.001 AS edge, CASE WHEN abs(mx - round(mx)) >= 0.001 THEN trunc(mx)::INT END AS map_x,
+      CASE WHEN abs(my - round(my)) >= 0.001 THEN trunc(my)::INT END AS map_y FROM ({_MOVING_MAP})""",
+    "player_boxes", "fill_compat", "flat_moved", extra=_moving_tables()))
+def _(t):
+    """Places that fall on whole pixels are left out: a fit may put them on either side."""
+    m = Match(t.track, t.players, t.flat, moving=True)
+    frames = t.frames
+    held = camera.refreshed_homography(t.flat, frames).select("video_id", "frame", (F.col("h")[2] * -0.875).alias("shift"))
+    from framewise.functions.points import centre_x, centre_y
+
+    players = m.players.select("video_id", "frame", F.lit("player").alias("layer"), F.col("track_id").cast("string").alias("item"),
+                               centre_x(F.col("x1"), F.col("x2")).alias("x"), centre_y(F.col("y1"), F.col("y2")).alias("y"))
+    balls = m.filled.select("video_id", "frame", F.lit("ball").alias("layer"), F.lit("ball").alias("item"), "x", "y")
+    at = players.unionByName(balls).join(held, ["video_id", "frame"])
+    exact = at.select("video_id", "frame", "layer", "item", ((F.col("x") - F.round("shift")) / 0.875).alias("ex"), ((F.col("y") - 20) / 0.375).alias("ey"))
+    out = m.mini_map.join(exact, ["video_id", "frame", "layer", "item"])
+    off = lambda c: F.abs(F.col(c) - F.round(c)) >= 0.001
+    return out.select("video_id", "frame", "layer", "item", "bounce", (~off("ex")).alias("edge"),
+                      F.when(off("ex"), F.col("map_x")).alias("map_x"), F.when(off("ey"), F.col("map_y")).alias("map_y"))
+
+
+@register("o2_mini_map_with_scored_bounces", query(
+    _MINI_MAP.replace("turning_filled", "bounces"), *_NEEDS, "bounces", extra=_drawn_tables()))
+def _(t):
+    """The bounce detector's frames, not the turning points; scored on the raw track, as no gap is extrapolated."""
+    m = match(t, scorer=bounce.turn_score())
+    m.bounces = models.predict_bounces(t.track, bounce.turn_score(), smooth=False)
+    return m.mini_map
+
+
 @register("o3_drawn_ball", query("SELECT video_id, frame, x, y FROM fill_compat WHERE x <> 0", "fill_compat"))
 def _(t):
     return overlay.drawn_ball(fill.fill_ball(t.track))
@@ -251,7 +329,7 @@ _OVERLAY = f"""
   UNION ALL SELECT video_id, frame, 'map_' || layer, item, map_x, map_y, NULL, NULL, NULL FROM mini
   UNION ALL SELECT video_id, frame, 'map_bounce', item, map_x, map_y, NULL, NULL, NULL FROM mini WHERE bounce
   UNION ALL SELECT v.video_id, NULL, 'court', l.item, l.x, l.y, l.x2, l.y2, NULL FROM (SELECT DISTINCT video_id FROM ball) v
-    CROSS JOIN (VALUES {', '.join(str(line) for line in geometry.court_lines())}) AS l(item, x, y, x2, y2)"""
+    CROSS JOIN (VALUES {MAP_LINES}) AS l(item, x, y, x2, y2)"""
 
 
 @register("o1_overlay", query(

@@ -1,5 +1,6 @@
 """Queries on bounces and hits: features, scores, models, insights, streams."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewise.catalog import register, rounded
@@ -64,16 +65,30 @@ def _(t):
     return rounded(models.predict_bounces(t.track, bounce.turn_score(), smooth=False, size=SMALL), "score")
 
 
-@register("m1_bounces_by_model")
+@register("m1_bounces_by_model", query(
+    """SELECT video_id, frame, TRUE AS scored, TRUE AS kept_over_threshold, TRUE AS one_per_run FROM features""", "features"))
 def _(t):
-    model = models.fit_bounce_model(bounce.bounce_features(t.track), t.bounce_labels, maxIter=5, maxDepth=3)
-    return models.predict_bounces(t.track, model, smooth=False, threshold=0.05)
+    """Every feature row has a score; a kept frame is over the threshold, and no kept frame has another in its run."""
+    features = bounce.bounce_features(t.track)
+    model = models.fit_bounce_model(features, t.bounce_labels)
+    scores = models.score_features(features, model).select("video_id", "frame", "score")
+    kept = models.predict_bounces(t.track, model, smooth=False).select("video_id", "frame", F.lit(1).alias("kept"))
+    rows = scores.join(kept, ["video_id", "frame"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    along = Window.partitionBy("video_id").orderBy("frame")
+    low = F.sum(F.when(F.col("score") > 0.45, 0).otherwise(1)).over(along)
+    rows = rows.withColumn("run", low).withColumn("n", F.sum("kept").over(Window.partitionBy("video_id", "run")))
+    return rows.select("video_id", "frame", F.col("score").isNotNull().alias("scored"),
+                       ((F.col("kept") == 0) | (F.col("score") > 0.45)).alias("kept_over_threshold"), (F.col("n") <= 1).alias("one_per_run"))
 
 
-@register("m2_hits_by_model")
+@register("m2_hits_by_model", query("SELECT video_id, frame, TRUE AS in_range, TRUE AS by_threshold FROM ball", "ball"))
 def _(t):
-    model = models.fit_hit_model(t.track, t.bounce_labels, maxIter=5, maxDepth=3)
-    return models.predict_hits(t.track, model, threshold=0.2)
+    """Every frame has a probability from 0 to 1, and a hit where that is over 0.8."""
+    model = models.fit_hit_model(t.track, t.bounce_labels)
+    p = models.predict_hits(t.track, model, threshold=None).withColumnRenamed("hit", "p")
+    both = p.join(models.predict_hits(t.track, model), ["video_id", "frame"])
+    return both.select("video_id", "frame", F.col("p").between(0.0, 1.0).alias("in_range"),
+                       (F.col("hit") == F.when(F.col("p") > 0.8, 1).otherwise(0)).alias("by_threshold"))
 
 
 def _over_smoothed() -> dict[str, str]:
@@ -113,11 +128,16 @@ def _(t):
     return models.confusion(found, t.bounce_labels, "hit")
 
 
-@register("m4_area_under_roc")
+@register("m4_area_under_roc", query(
+    f"""SELECT {r('(sum(CASE WHEN label = 1 THEN place END) - n1 * (n1 + 1) / 2.0::DOUBLE) / (n1 * n0)')} AS area FROM (
+      SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS place,
+        sum(label) OVER () AS n1, sum(1 - label) OVER () AS n0
+      FROM (SELECT s.score, t.turn::INT AS label FROM scored s JOIN turning_all t ON s.video_id = t.video_id AND s.frame = t.frame))
+    GROUP BY n1, n0""", "scored", "turning_all"))
 def _(t):
     scored = models.score_features(bounce.bounce_features(t.track), bounce.turn_score()).join(t.bounce_labels, ["video_id", "frame"])
     area = models.area_under_roc(scored)
-    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("area", F.lit(area))
+    return rounded(scored.agg(F.lit(area).alias("area")), "area")
 
 
 def _mapped(t):

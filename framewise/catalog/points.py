@@ -6,7 +6,7 @@ from framewise.catalog import register, rounded
 from framewise.catalog.sql import query
 from framewise.catalog.sql import rounded as r
 from framewise.functions import points as P
-from framewise.operators.chunks import spread_join
+from framewise.operators.chunks import join_track
 from framewise.operators.windows import windowed
 from framewise.sources.samples import FRAME_H
 
@@ -22,14 +22,14 @@ def _(t):
 
 
 @register("p2_safe_centre", query(
-    """SELECT b.video_id, b.frame, trunc((p.x1 + p.x2) / 2) AS cx, trunc((p.y1 + p.y2) / 2) AS cy
-    FROM ball b LEFT JOIN (SELECT * FROM players WHERE det_idx = 2) p ON b.video_id = p.video_id AND b.frame = p.frame""", "players"))
+    """SELECT b.video_id, b.frame, det_idx, trunc((p.x1 + p.x2) / 2) AS cx, trunc((p.y1 + p.y2) / 2) AS cy
+    FROM ball b LEFT JOIN players p ON b.video_id = p.video_id AND b.frame = p.frame""", "players"))
 def _(t):
     from framewise.sources.tables import complete_frames
 
-    boxes = complete_frames(t.frames, t.players.filter("det_idx = 2"))
+    boxes = complete_frames(t.frames, t.players)
     centre = {"cx": P.centre_x(_c("x1"), _c("x2")), "cy": P.centre_y(_c("y1"), _c("y2"))}
-    return boxes.select("video_id", "frame", *[c.cast("double").alias(n) for n, c in centre.items()])
+    return boxes.select("video_id", "frame", "det_idx", *[c.cast("double").alias(n) for n, c in centre.items()])
 
 
 _DIST = "sqrt((x - 640) * (x - 640) + (y - 360) * (y - 360))"
@@ -149,18 +149,18 @@ def _(t):
 @register("p18_keypoints_from_vector", query(
     f"SELECT video_id, frame, kp_idx, {r('px * (1280 / 224.0::DOUBLE)')} AS x, {r('py * (720 / 224.0::DOUBLE)')} AS y FROM court_raw", "court_raw"))
 def _(t):
-    sized = spread_join(t.court_raw, t.frame_size)
+    sized = join_track(t.court_raw, t.frame_size)
     points = sized.select("video_id", "frame", F.posexplode(P.keypoints_from_vector(_c("pred"), _c("w"), _c("h"))).alias("kp_idx", "p"))
     return rounded(points.select("video_id", "frame", "kp_idx", "p.x", "p.y"), "x", "y")
 
 
 @register("p19_perspective_velocity", query(
     f"""SELECT video_id, frame, x - lag(x) OVER w AS vx,
-      {r(f'(y - lag(y) OVER w) * (1 + ({FRAME_H} - y) * 0.4::DOUBLE / {FRAME_H})')} AS vy
+      {r(f'(y - lag(y) OVER w) * (1 + ({FRAME_H} - y) * 0.4::DOUBLE / {FRAME_H})', 5)} AS vy
     FROM ball WINDOW w AS (PARTITION BY video_id ORDER BY frame)""", "ball"))
 def _(t):
     cols = lambda w: {
         "vx": _c("x") - F.lag("x").over(w),
         "vy": P.perspective_velocity(_c("y"), _c("y") - F.lag("y").over(w), FRAME_H),
     }
-    return rounded(windowed(t.track, cols, 1).drop("x", "y"), "vy")
+    return rounded(windowed(t.track, cols, 1).drop("x", "y"), "vy", digits=5)

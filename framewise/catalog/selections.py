@@ -61,19 +61,17 @@ def _(t):
 
 
 @register("j1_align", query(
-    f"""SELECT b.video_id, b.frame, x, y, {BOX} FROM ball b JOIN players p ON b.video_id = p.video_id AND b.frame = p.frame
-    WHERE det_idx = 2""", "players"))
+    f"SELECT b.video_id, b.frame, x, y, det_idx, {BOX} FROM ball b JOIN players p ON b.video_id = p.video_id AND b.frame = p.frame", "players"))
 def _(t):
-    boxes = t.players.filter("det_idx = 2").select("video_id", "frame", "x1", "y1", "x2", "y2")
-    return S.align(t.track, boxes)
+    return S.align(t.track, t.players.select("video_id", "frame", "det_idx", "x1", "y1", "x2", "y2"))
 
 
 @register("j2_complete_frames", query(
-    f"""SELECT b.video_id, b.frame, {BOX} FROM ball b
-    LEFT JOIN (SELECT * FROM players WHERE det_idx = 2) p ON b.video_id = p.video_id AND b.frame = p.frame""", "players"))
+    """SELECT b.video_id, b.frame, kp_idx, k.x, k.y FROM ball b
+    LEFT JOIN (SELECT * FROM kps_seen WHERE kp_idx > 2) k ON b.video_id = k.video_id AND b.frame = k.frame""", "kps_seen"))
 def _(t):
-    boxes = t.players.filter("det_idx = 2").select("video_id", "frame", "x1", "y1", "x2", "y2")
-    return tables.complete_frames(t.frames, boxes)
+    """Court points beyond the third; all of them are lost in some frames, which stay."""
+    return tables.complete_frames(t.frames, t.kps_seen.filter("kp_idx > 2"))
 
 
 @register("j3_first_frame_distances", query(
@@ -151,11 +149,13 @@ def _(t):
 
 def _nearest_point_sql(metric: str) -> str:
     return query(
-        f"""SELECT video_id, frame, track_id, x, y, {r('m.d')} AS kp_dist, m.kp_idx AS kp_idx, m.kx AS kx, m.ky AS ky
-        FROM (SELECT f.video_id, f.frame, f.track_id, f.x, f.y, min({{'d': {metric}, 'kp_idx': k.kp_idx, 'kx': k.x, 'ky': k.y}}) AS m
+        f"""SELECT video_id, frame, track_id, x, y, {r('kp_dist')} AS kp_dist, kp_idx, kx, ky
+        FROM (SELECT f.video_id, f.frame, f.track_id, f.x, f.y, {metric} AS kp_dist, k.kp_idx, k.x AS kx, k.y AS ky,
+            row_number() OVER (PARTITION BY f.video_id, f.frame, f.track_id ORDER BY {metric}, k.kp_idx) AS place
           FROM (SELECT video_id, frame, track_id, trunc((x1 + x2) / 2)::INT AS x, y2 AS y FROM player_boxes) f
-          JOIN kps k ON f.video_id = k.video_id AND f.frame = k.frame AND k.kp_idx IN (0, 2, 12, 13) GROUP BY ALL)""",
-        "player_boxes", "kps")
+          LEFT JOIN (SELECT * FROM kps_seen WHERE kp_idx IN (0, 2, 12, 13)) k ON f.video_id = k.video_id AND f.frame = k.frame)
+        WHERE place = 1""",
+        "player_boxes", "kps_seen")
 
 
 def _nearest_point(t, metric):
@@ -164,7 +164,7 @@ def _nearest_point(t, metric):
     feet = S.player_boxes(t.players).select(
         "video_id", "frame", "track_id", foot_point(F.col("x1"), F.col("x2"), F.col("y2")).alias("f")
     ).select("video_id", "frame", "track_id", "f.*")
-    return rounded(S.nearest_court_point(feet, t.kps, metric=metric), "kp_dist")
+    return rounded(S.nearest_court_point(feet, t.kps_seen, metric=metric), "kp_dist")
 
 
 @register("a7_nearest_court_point_by_height", _nearest_point_sql("abs(f.y - k.y)"))
@@ -186,11 +186,12 @@ def _(t):
 
 
 @register("o4_common_labels", query(
-    "SELECT DISTINCT video_id, kp_idx FROM kps_seen WHERE frame = 5 INTERSECT SELECT video_id, kp_idx FROM kps_seen WHERE frame = 6",
-    "kps_seen"))
+    """SELECT a.video_id, a.frame, a.kp_idx FROM kps_seen a JOIN kps_seen b
+    ON a.video_id = b.video_id AND a.frame = b.frame + 1 AND a.kp_idx = b.kp_idx""", "kps_seen"))
 def _(t):
-    at = lambda f: t.kps_seen.filter(F.col("frame") == f).select("video_id", "kp_idx")
-    return at(5).intersect(at(6))
+    """Labels that a frame shares with the one before."""
+    labels = t.kps_seen.select("video_id", "frame", "kp_idx")
+    return labels.intersect(labels.withColumn("frame", F.col("frame") + 1))
 
 
 @register("o5_sorted_distances", query(

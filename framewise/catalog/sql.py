@@ -4,6 +4,12 @@ from framewise.operators import geometry
 from framewise.sources.samples import BOXES, COURT_POINTS, FRAME_H, FRAME_W
 
 VIDEO = "CAST(floor(user_id/15) AS BIGINT)"
+# Places of the court points on the map (index, x, y), and the lines drawn on it (name, x1, y1, x2, y2).
+MAP_POINTS = """(0, 264.0, 317.0), (1, 702.0, 317.0), (2, 264.0, 1268.0), (3, 702.0, 1268.0), (4, 318.0, 317.0), (5, 318.0,
+    1268.0), (6, 648.0, 317.0), (7, 648.0, 1268.0), (8, 318.0, 536.0), (9, 648.0, 536.0), (10, 318.0, 1049.0),
+    (11, 648.0, 1049.0), (12, 483.0, 536.0), (13, 483.0, 1049.0)"""
+MAP_LINES = """('canvas', 0, 0, 967, 1585), ('court', 264, 317, 702, 1268), ('net', 264, 792, 702, 792), ('singles', 318,
+    317, 648, 1268), ('service', 318, 536, 648, 1049), ('centre', 483, 536, 483, 1049)"""
 
 
 def rounded(expr: str, digits: int = 6) -> str:
@@ -94,8 +100,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "ball": (
         f"""SELECT video_id, frame,
       CASE WHEN event_type = 'error' THEN NULL ELSE CAST(300 + 5*abs(frame%200 - 100) + k%5
-        + CASE WHEN event_type = 'signup' AND k < 25 THEN 600 ELSE 0 END AS DOUBLE) END AS x,
-      CASE WHEN event_type = 'error' THEN NULL ELSE CAST(200 + 8*abs(frame%120 - 60) + k%3 AS DOUBLE) END AS y, k
+        + CASE WHEN event_type = 'signup' AND k < 25 THEN 600 ELSE 0 END AS DOUBLE) + (k%4) / 4.0::DOUBLE END AS x,
+      CASE WHEN event_type = 'error' THEN NULL ELSE CAST(200 + 8*abs(frame%120 - 60) + k%3 AS DOUBLE) + (k%8) / 8.0::DOUBLE END AS y, k
     FROM (SELECT {VIDEO} AS video_id,
         CAST(row_number() OVER (PARTITION BY {VIDEO} ORDER BY ts, event_id) - 1 AS BIGINT) AS frame,
         event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)""",
@@ -104,8 +110,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "ball_one": (
         """SELECT video_id, frame,
       CASE WHEN event_type = 'error' THEN NULL ELSE CAST(300 + 5*abs(frame%200 - 100) + k%5
-        + CASE WHEN event_type = 'signup' AND k < 25 THEN 600 ELSE 0 END AS DOUBLE) END AS x,
-      CASE WHEN event_type = 'error' THEN NULL ELSE CAST(200 + 8*abs(frame%120 - 60) + k%3 AS DOUBLE) END AS y, k
+        + CASE WHEN event_type = 'signup' AND k < 25 THEN 600 ELSE 0 END AS DOUBLE) + (k%4) / 4.0::DOUBLE END AS x,
+      CASE WHEN event_type = 'error' THEN NULL ELSE CAST(200 + 8*abs(frame%120 - 60) + k%3 AS DOUBLE) + (k%8) / 8.0::DOUBLE END AS y, k
     FROM (SELECT 0::BIGINT AS video_id, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS frame,
         event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)""",
         (),
@@ -225,6 +231,12 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     WHERE dist < radius AND dist < COALESCE(nearest, radius)""",
         ("hand_dist",),
     ),
+    # Exact images of the map places, without perspective, and how they move.
+    "flat": (
+        f"""SELECT k.video_id, k.frame, k.kp_idx, p.px * 0.875::DOUBLE + {moved("k.")} AS x, p.py * 0.375::DOUBLE + 20 AS y
+    FROM kps_seen k JOIN (VALUES {MAP_POINTS}) AS p(i, px, py) ON k.kp_idx = p.i""",
+        ("kps_seen",),
+    ),
     "kps_first": ("SELECT * FROM kps WHERE frame = 0", ("kps",)),
     "video_h": (homography("kps_first"), ("kps_first",)),
     "chosen": (
@@ -269,6 +281,9 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
 }
 
+CTES["flat_common"] = (CTES["common"][0].replace("kps_seen", "flat"), ("flat",))
+CTES["flat_moved"] = (CTES["moved"][0].replace("kps_seen", "flat").replace("common", "flat_common"), ("flat_common", "flat"))
+
 
 def query(select: str, *needs: str, extra: dict[str, str] | None = None, one_video: bool = False) -> str:
     """A SELECT with the common tables it needs, and its own tables in order."""

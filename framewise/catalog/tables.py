@@ -22,13 +22,22 @@ def _(t):
     return tables.load_or_compute(t.spark, path, not_again)
 
 
-@register("s2_write_detections", query(
-    "SELECT * FROM players WHERE frame BETWEEN 100 AND 199 AND track_id IS NOT NULL", "players"))
-def _(t):
+def _written(t):
     path = tables.work_folder(t.spark, "players")
     tables.write_detections(t.players, path)
-    return tables.read_detections(t.spark, path, schema.PLAYERS).filter(
-        F.col("frame").between(100, 199) & F.col("track_id").isNotNull())
+    return tables.read_detections(t.spark, path, schema.PLAYERS)
+
+
+@register("s2_write_detections", query("SELECT * FROM players", "players"))
+def _(t):
+    return _written(t)
+
+
+@register("s2_read_some_frames", query(
+    "SELECT * FROM players WHERE frame BETWEEN 100 AND 199 AND track_id IS NOT NULL", "players"))
+def _(t):
+    """A filter that reaches the files."""
+    return _written(t).filter(F.col("frame").between(100, 199) & F.col("track_id").isNotNull())
 
 
 @register("s3_frame_spine", query("SELECT video_id, frame FROM ball", "ball"))
@@ -93,6 +102,11 @@ def _(t):
     return tables.last_rows(t.track, 20)
 
 
-@register("d3_random_rows")
+@register("d3_random_rows", "SELECT 5 AS n, 5 AS n_different, 5 AS n_in_table")
 def _(t):
-    return tables.random_rows(t.track, 5, seed=1)
+    """Five different rows of the table."""
+    some = tables.random_rows(t.track, 5, seed=1)
+    inside = some.join(t.track.select("video_id", "frame", F.lit(True).alias("known")), ["video_id", "frame"], "left")
+    count = lambda c: c.cast("int")
+    return inside.agg(
+        count(F.count(F.lit(1))).alias("n"), count(F.count_distinct("video_id", "frame")).alias("n_different"), count(F.count("known")).alias("n_in_table"))

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from framewise.catalog import register, rounded
-from framewise.catalog.sql import fill, masked, quantile, query
+from framewise.catalog.sql import fill, masked, project, quantile, query
 from framewise.catalog.sql import rounded as r
 from framewise.operators import fill as fills
-from framewise.operators import folds, hits, quantiles, turning, windows
+from framewise.operators import folds, geometry, hits, quantiles, turning, windows
 
 SMALL = 128  # a piece size far below the length of the sample tracks
 
@@ -83,18 +83,31 @@ _SEGMENTS = {
 }
 
 
-@register("w7_ball_segments", query(
-    """SELECT video_id, frame, x, y, segment FROM (
-      SELECT *, row_number() OVER (PARTITION BY video_id, segment ORDER BY frame DESC) AS back FROM seg) WHERE back <= 5""",
-    "ball", extra={"seg": _SEGMENTS["seg"].format(gap=30)}))
+_W7 = query("SELECT video_id, frame, x, y, segment FROM seg", "ball", extra={"seg": _SEGMENTS["seg"].format(gap=30)})
+
+
+@register("w7_ball_segments", _W7)
+def _(t):
+    return windows.ball_segments(t.track)
+
+
+@register("w7_ball_segments_small_pieces", _W7)
 def _(t):
-    return windows.ball_segments(t.track, keep=5, size=256)
+    return windows.ball_segments(t.track, size=256)
+
+
+@register("w7_segment_history_on_map", query(
+    f"""SELECT s.video_id, s.frame, segment, trunc({project('x', 'y', 0)})::INT AS map_x, trunc({project('x', 'y', 1)})::INT AS map_y
+    FROM seg s JOIN video_h v ON s.video_id = v.video_id""", "ball", "video_h", extra={"seg": _SEGMENTS["seg"].format(gap=30)}))
+def _(t):
+    segments = windows.ball_segments(t.track)
+    return geometry.project_points(segments, geometry.video_homography(t.kps), as_int=True).drop("x", "y")
 
 
 @register("w8_segments_after_gaps", query(
     "SELECT video_id, frame, x, y, segment FROM seg", "ball", extra={"seg": _SEGMENTS["seg"].format(gap=2)}))
 def _(t):
-    return windows.ball_segments(t.track, max_gap=2, keep=None)
+    return windows.ball_segments(t.track, max_gap=2)
 
 
 # --- filling -----------------------------------------------------------------------------
@@ -136,10 +149,16 @@ def _(t):
     return rounded(quantiles.quantile(steps, "distance", 0.95, out="threshold"), "threshold")
 
 
-@register("a3_approximate_quantile")
+@register("a3_approximate_quantile", query("SELECT video_id, count(distance) AS n, TRUE AS close FROM steps WHERE frame > 0 GROUP BY video_id", "steps"))
 def _(t):
+    """Whether the rank of the value is off by at most 1/accuracy of the rows, and one row."""
     steps = fills.step_distance(t.track).filter("frame > 0")
-    return quantiles.approximate_quantile(steps, "distance", 0.95, out="threshold")
+    found = quantiles.approximate_quantile(steps, "distance", 0.95, accuracy=100, out="threshold")
+    ranked = steps.join(found, "video_id").groupBy("video_id").agg(
+        F.count("distance").alias("n"), F.count_if(F.col("distance") < F.col("threshold")).alias("under"),
+        F.count_if(F.col("distance") <= F.col("threshold")).alias("upto"))
+    off = F.col("n") / 100 + 1
+    return ranked.select("video_id", "n", ((F.col("under") - off <= 0.95 * F.col("n")) & (F.col("upto") + off >= 0.95 * F.col("n"))).alias("close"))
 
 
 @register("q5_mask_outliers", query("SELECT video_id, frame, x, y FROM step_masked", "step_masked"))
@@ -327,6 +346,16 @@ def _(t):
     return folds.follow_first_point(t.track, size=SMALL)
 
 
+@register("q14_hits_on_map", query(
+    f"""SELECT h.video_id, h.side, h.frame, trunc({project('h.x', 'h.y', 0)})::INT AS map_x, trunc({project('h.x', 'h.y', 1)})::INT AS map_y,
+      trunc({project('b.body_x', 'b.body_y', 0)})::INT AS body_map_x, trunc({project('b.body_x', 'b.body_y', 1)})::INT AS body_map_y
+    FROM hits h JOIN hands b ON h.video_id = b.video_id AND h.frame = b.frame AND h.side = b.side
+    JOIN video_h v ON h.video_id = v.video_id""", "hits", "hands", "video_h"))
+def _(t):
+    found = hits.approach_hits(t.track, t.hands, matrices=geometry.video_homography(t.kps))
+    return found.select("video_id", "side", "frame", "map_x", "map_y", "body_map_x", "body_map_y")
+
+
 @register("q15_thin_hits", _Q15)
 def _(t):
     return folds.thin_hits(hits.approach_hits(t.track, t.hands), t.frames)

@@ -52,15 +52,16 @@ def suppress_runs(
     """One row per run of neighbouring candidate rows: the last one whose score rises.
 
     Candidates are rows with a score above the threshold; neighbours are neighbouring rows
-    of the table, whatever their frame numbers. A rising row stays if the next rising row
-    comes after the end of its run.
+    of the table, whatever their frame numbers. A row without a score ends a run. A rising row
+    stays if the next rising row comes after the end of its run.
     """
     rows = chunks.with_chunk(scored.select(*keys, order, score, *[c for c in scored.columns if c == "_chunk"]), order, size)
-    rows = chunks.previous_row(rows, [score], keys, order, size, prefix="_prev_")
-    before = F.coalesce(f"_prev_{score}", F.lit(threshold))
-    candidate = F.col(score) > threshold
-    rising = candidate & ((before <= threshold) | (F.col(score) > before))
-    rows = rows.withColumn("_event", F.when(~candidate, 0).when(rising, 1)).drop(f"_prev_{score}")
+    rows = rows.withColumn("_s", F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
+    rows = chunks.previous_row(rows, ["_s"], keys, order, size, prefix="_prev")
+    before = F.coalesce("_prev_s", F.lit(threshold))
+    candidate = F.col("_s") > threshold
+    rising = candidate & ((before <= threshold) | (F.col("_s") > before))
+    rows = rows.withColumn("_event", F.when(~candidate, 0).when(rising, 1)).drop("_prev_s", "_s")
     table = chunks.carry_table(rows, ["_event"], keys, order, size, sides="n")
     after = desc(keys, order).rowsBetween(chunks.UNBOUNDED, -1)
     rows = rows.withColumn("_next", F.last("_event", True).over(after)).join(table, [*keys, "_chunk"])
@@ -68,20 +69,6 @@ def suppress_runs(
     return rows.filter((F.col("_event") == 1) & run_ends).select(*keys, order, score)
 
 
-def detect_bounces(
-    ball: DataFrame,
-    score: Column,
-    threshold: float = SCORE_THRESHOLD,
-    keys: Sequence[str] = KEYS,
-    order: str = ORDER,
-    size: int = CHUNK,
-) -> DataFrame:
-    """Bounce frames of a track, from a score given as an expression on the features."""
-    features = bounce_features(ball, keys, order, size, keep_chunk=True)
-    scored = features.select(*keys, order, "_chunk", score.alias("score")).filter(F.col("score").isNotNull())
-    return suppress_runs(scored, threshold, keys=keys, order=order, size=size)
-
-
 def turn_score() -> Column:
     """A fixed score: high where the vertical motion turns and x goes on evenly."""
     turn = F.when((F.col("y_diff_1") < 0) & (F.col("y_diff_inv_1") < 0), 0.6).otherwise(0.0)

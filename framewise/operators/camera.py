@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise.operators import chunks
 from framewise.operators.chunks import CHUNK, KEYS, ORDER, asc
-from framewise.operators.geometry import CORNERS, frame_homography
+from framewise.operators.geometry import fit_homography, with_map_positions
 from framewise.operators.select import keyframes
 
 MIN_POINTS = 4
@@ -79,6 +79,12 @@ def camera_moved(
     size: int = CHUNK,
 ) -> DataFrame:
     """`moved` for each frame with enough points: first such frame, too few common points, or a large displacement."""
+    rows = _moves(court, tolerance, min_points, keys, order, size)
+    return rows.select(*keys, order, "mse", "moved")
+
+
+def _moves(court, tolerance, min_points, keys, order, size) -> DataFrame:
+    """Frames with enough points, with their points: `mse` and `moved`."""
     rows = _with_previous(court, min_points, keys, order, size)
     common = F.array_intersect(F.map_keys("points"), F.map_keys("prev_points"))
 
@@ -92,7 +98,8 @@ def camera_moved(
     mse = F.when(F.col("n_common") >= min_points, total / F.col("n_common"))
     rows = rows.withColumn("mse", mse)
     moved = F.col("prev_at").isNull() | (F.col("n_common") < min_points) | (F.col("mse") > tolerance)
-    return rows.select(*keys, order, F.when(F.col("prev_at").isNotNull(), F.col("mse")).alias("mse"), moved.alias("moved"))
+    mse = F.when(F.col("prev_at").isNotNull(), F.col("mse"))
+    return rows.select(*keys, order, "points", mse.alias("mse"), moved.alias("moved"))
 
 
 def latest_value(
@@ -125,19 +132,31 @@ def latest_value(
     )
 
 
+def _held(frames: DataFrame, fitted: DataFrame, keys, order, size) -> DataFrame:
+    """For every frame the newest matrix `h`, and the frame `fitted_at` that it comes from."""
+    news = fitted.select(*keys, order, F.struct(F.col(order).alias("fitted_at"), "h").alias("_m"))
+    held = latest_value(frames.select(*keys, order), news, "_m", keys, order, size)
+    return held.select(*keys, order, F.col("_m.fitted_at").alias("fitted_at"), F.col("_m.h").alias("h"))
+
+
 def refreshed_homography(
     court: DataFrame,
     frames: DataFrame,
-    corners: Sequence[int] = CORNERS,
+    positions: dict[int, tuple[float, float]] | None = None,
     tolerance: float = MOVED_MSE,
+    min_points: int = MIN_POINTS,
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
     size: int = CHUNK,
 ) -> DataFrame:
-    """A matrix for every frame, computed anew on each frame where the camera moved."""
-    flags = camera_moved(court, tolerance, keys=keys, order=order, size=size).filter("moved").select(*keys, order)
-    matrices = frame_homography(court.join(flags, [*keys, order], "left_semi"), corners, keys, order)
-    return latest_value(frames.select(*keys, order), matrices, "h", keys, order, size)
+    """A matrix for every frame, fitted anew on each frame where the camera moved.
+
+    All points found in that frame are used, by least squares. `positions` has their places on the map.
+    """
+    moves = _moves(court, tolerance, min_points, keys, order, size).filter("moved")
+    found = moves.select(*keys, order, F.explode("points").alias("kp_idx", "_p"))
+    found = found.select(*keys, order, "kp_idx", "_p.x", "_p.y")
+    return _held(frames, _fit(found, positions, min_points, keys, order), keys, order, size)
 
 
 def sampled_homography(
@@ -145,12 +164,17 @@ def sampled_homography(
     frames: DataFrame,
     every: int,
     skip: int = 1,
-    corners: Sequence[int] = CORNERS,
+    positions: dict[int, tuple[float, float]] | None = None,
+    min_points: int = MIN_POINTS,
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
     size: int = CHUNK,
 ) -> DataFrame:
-    """A matrix from every `every`-th frame, held until the next; none before frame `skip`."""
+    """A matrix from every `every`-th frame with enough points, held until the next; none before frame `skip`."""
     sampled = keyframes(court, every, order).filter(F.col(order) >= skip)
-    matrices = frame_homography(sampled, corners, keys, order)
-    return latest_value(frames.select(*keys, order), matrices, "h", keys, order, size)
+    return _held(frames, _fit(sampled, positions, min_points, keys, order), keys, order, size)
+
+
+def _fit(found: DataFrame, positions, min_points, keys, order) -> DataFrame:
+    pairs = with_map_positions(found, positions).filter(F.col("map_x").isNotNull())
+    return fit_homography(pairs, [*keys, order]).filter(F.col("n_points") >= min_points)

@@ -10,8 +10,8 @@ Three devices make the pieces give the same result as the whole track:
   that reaches a bounded number of frames finds all its rows (`with_halo`);
 * carry: a small table, one row per piece, hands the nearest valid value beyond a border
   to the piece (`carry_table`), as columns to join or as extra rows (`chunked`);
-* spread: a table with one row per track is repeated once per piece, so that joining it
-  to the rows uses the same (keys, `_chunk`) partitioning and needs no broadcast (`spread`).
+* a table with one row per track is joined plainly on the keys (`join_track`): one side has a
+  single row per key, so Spark may split a hot track, or broadcast the side it has measured.
 
 The summary tables shrink the data by the piece size. Positions are row positions only
 where each frame has one row (see `sources.contracts.coverage`); frames may be missing
@@ -31,18 +31,14 @@ UNBOUNDED = Window.unboundedPreceding
 
 
 def chunk_of(order: str, size: int) -> Column:
-    return F.floor(F.col(order) / F.lit(size)).cast("long")
+    """The home piece of a row. A row without a frame number has none, and is refused."""
+    home = F.floor(F.col(order) / F.lit(size)).cast("long")
+    return F.coalesce(home, F.raise_error(F.lit(f"a row without {order}: see sources.contracts.coverage")).cast("long"))
 
 
 def with_chunk(df: DataFrame, order: str = ORDER, size: int = CHUNK) -> DataFrame:
-    """Add the home piece of each row; a table that has one keeps it. Rows without a frame number are left out.
-
-    The filter is written out, as a join on the piece would add it to one side only, and two
-    branches that differ in a filter cannot share a shuffle.
-    """
-    if "_chunk" in df.columns:
-        return df
-    return df.withColumn("_chunk", chunk_of(order, size)).filter(F.col("_chunk").isNotNull())
+    """Add the home piece of each row; a table that has one keeps it."""
+    return df if "_chunk" in df.columns else df.withColumn("_chunk", chunk_of(order, size))
 
 
 def asc(keys: Sequence[str] = KEYS, order: str = ORDER) -> WindowSpec:
@@ -67,7 +63,7 @@ def with_halo(df: DataFrame, order: str, before: int, after: int, size: int) ->
     if before:
         places.append(F.when(offset >= size - before, home + 1))
     if after:
-        places.append(F.when((offset < after) & (home > 0), home - 1))
+        places.append(F.when(offset < after, home - 1))
     if len(places) == 1:
         return df.withColumn("_chunk", home).withColumn("_core", F.lit(True))
     copies = df.withColumn("_chunk", F.explode(F.array_compact(F.array(*places))))
@@ -161,25 +157,9 @@ def core(df: DataFrame, keep_chunk: bool = False) -> DataFrame:
     return df.filter("_core").drop("_core", *([] if keep_chunk else ["_chunk"]))
 
 
-def spread(dim: DataFrame, rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Repeat a one-row-per-track table once for each piece found in `rows`."""
-    return rows.select(*keys, "_chunk").distinct().join(dim, list(keys))
-
-
-def spread_join(
-    rows: DataFrame,
-    dim: DataFrame,
-    keys: Sequence[str] = KEYS,
-    order: str = ORDER,
-    how: str = "inner",
-    size: int = CHUNK,
-    keep_chunk: bool = False,
-) -> DataFrame:
-    """Join per-track values to rows on (keys, piece): no hot key and no broadcast hint."""
-    had = "_chunk" in rows.columns
-    rows = with_chunk(rows, order, size)
-    joined = rows.join(spread(dim, rows, keys), [*keys, "_chunk"], how)
-    return joined if had or keep_chunk else joined.drop("_chunk")
+def join_track(rows: DataFrame, dim: DataFrame, keys: Sequence[str] = KEYS, how: str = "inner") -> DataFrame:
+    """Join a table with one row per track to the rows."""
+    return rows.join(dim, list(keys), how)
 
 
 def running_total(

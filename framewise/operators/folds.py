@@ -4,9 +4,9 @@ Each rule keeps a small state from row to row. A long track is cut into pieces t
 be folded at the same time:
 
 * gap extrapolation is cut where its state is known from the raw rows (`safe_starts`);
-* the gated track has no such places. A first pass finds out what each piece does to any
-  state it may be entered with, a pass over these summaries gives the state at each
-  border, and a last pass folds the pieces;
+* the gated track has no such places. A first pass finds the few points that each piece may
+  end with, further passes what becomes of these in the pieces after, a walk along that small
+  table gives the state at each border, and a last pass folds the pieces;
 * hit thinning folds each piece on its own, then what is left across borders.
 
 Rows reach the Python worker in order and in batches; a fold never holds a whole piece.
@@ -17,13 +17,16 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from framewise.operators import chunks
 from framewise.operators.chunks import CHUNK, KEYS, ORDER, UNBOUNDED, asc, core
 from framewise.operators.select import mean_position
+from framewise.sources.tables import stored
 
 BATCH = 10_000
 
@@ -39,39 +42,26 @@ def fold_groups(
     """Run `fold` over the rows of each group in order.
 
     `fold` takes an iterator of tuples (the `inputs` columns, missing values as None) and
-    yields tuples (the `outputs` columns). Both sides are streamed.
+    yields tuples (the `outputs` columns). Both sides are streamed: the rows of a partition
+    come sorted by group, and a new fold begins where the group changes.
     """
     types = dict(df.dtypes)
-    names = list(outputs)
     schema = ", ".join([f"`{g}` {types[g]}" for g in group] + [f"`{n}` {t}" for n, t in outputs.items()])
+    arrow, wide = to_arrow_schema(StructType.fromDDL(schema)), len(group)
+    columns = [*group, *inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(b[c].to_pylist() for c in columns)))
+        results = (
+            key + out
+            for key, own in itertools.groupby(rows, key=lambda row: row[:wide])
+            for out in fold(row[wide:] for row in own)
+        )
+        while data := list(itertools.islice(results, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*data), arrow)], schema=arrow)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows():
-            for pdf in batches:
-                columns = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in inputs]
-                yield from zip(*columns)
-
-        def frame(data):
-            out = pd.DataFrame(data, columns=names)
-            for i, g in enumerate(group):
-                out.insert(i, g, key[i])
-            return out
-
-        data = []
-        for row in fold(rows()):
-            data.append(row)
-            if len(data) == BATCH:
-                yield frame(data)
-                data = []
-        yield frame(data)
-
-    run.__annotations__ = {
-        "key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame],
-    }
-    # A set number of partitions: by bytes alone small inputs would be merged into one slow Python task.
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.select(*dict.fromkeys([*group, *order, *inputs])).repartition(partitions, *group)
-    return placed.sortWithinPartitions(*group, *order).groupBy(*group).applyInPandas(run, schema)
+    placed = df.select(*dict.fromkeys([*group, *order, *inputs])).repartition(*group)
+    return placed.sortWithinPartitions(*group, *order).mapInArrow(run, schema)
 
 
 # --- short-gap extrapolation -------------------------------------------------------------
@@ -79,8 +69,12 @@ def fold_groups(
 CONTEXT = 5
 CHAINED = 3
 MAX_JUMP = 80.0
-# After a run of 8 present rows, or of 4 missing ones, nothing filled before can matter.
+# At most three points in a row are filled, and only a point after a filled one can be dropped: from the
+# fourth row of a run of present rows on, none is. After 8 present rows, or 4 missing ones, nothing
+# filled before can matter.
 PRESENT_RUN, MISSING_RUN = CONTEXT + CHAINED, CHAINED + 1
+# A run after a single missing row: the five rows before that, then the run.
+GAP_REACH = 2 * CONTEXT + 1
 
 
 def extrapolate_gaps(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -111,26 +105,39 @@ def extrapolate_gaps(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def safe_starts(ball: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER, size: int = CHUNK) -> DataFrame:
-    """Add `safe`: the fold may start at this row with the five raw rows before it."""
+    """Add `safe`: the fold may start at this row with the five raw rows before it.
+
+    True after a long run of present or of missing rows; and after five present rows that follow a single missing
+    row, if the run before that ended in five present rows and the first row of the new run lies within reach of
+    the point they lead to: then it stays whether the gap was filled or not, and so do the rows after it.
+    """
 
     def columns(w):
-        present = F.when(F.col("x").isNotNull() & (F.col("x") != 0), 1).otherwise(0)
-        missing = F.when(F.col("x").isNull(), 1).otherwise(0)
-        long_present = F.sum(present).over(w.rowsBetween(-PRESENT_RUN, -1)) == PRESENT_RUN
+        present = F.col("x").isNotNull() & (F.col("x") != 0)
+        seen, missing = F.when(present, 1).otherwise(0), F.when(F.col("x").isNull(), 1).otherwise(0)
+        run = lambda far, near: F.sum(seen).over(w.rowsBetween(-far, -near)) == far - near + 1
+        long_present = run(PRESENT_RUN, 1)
         long_missing = F.sum(missing).over(w.rowsBetween(-MISSING_RUN, -1)) == MISSING_RUN
+        at = lambda c, back: F.lag(c, back).over(w)
+        first, gap = CONTEXT, CONTEXT + 1
+        jump2 = sum((2 * at(c, gap + 1) - at(c, gap + 2) - at(c, first)) ** 2 for c in ("x", "y"))
+        after_gap = run(CONTEXT, 1) & (at(missing, gap) == 1) & run(GAP_REACH, gap + 1) & (F.sqrt(jump2) <= MAX_JUMP)
         far_enough = F.col(order) >= CONTEXT
-        return {"safe": F.coalesce((long_present | long_missing) & far_enough, F.lit(False))}
+        return {"safe": F.coalesce((long_present | long_missing | after_gap) & far_enough, F.lit(False))}
 
-    rows = chunks.chunked(ball, keys, order, before=PRESENT_RUN, size=size)
+    rows = chunks.chunked(ball, keys, order, before=GAP_REACH, size=size)
     return core(rows.withColumns(columns(asc(keys, order))), keep_chunk=True)
 
 
 def smooth_gaps(ball: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER, size: int = CHUNK) -> DataFrame:
     """Extrapolate short gaps of a track.
 
-    Each piece is folded from its first safe row to that of the next piece that has one.
+    Each piece is folded from its first safe row to that of the next piece that has one. A point
+    without one of its coordinates is a missing point.
     """
-    rows = safe_starts(ball.select(*keys, order, "x", "y"), keys, order, size)
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull()
+    points = ball.select(*keys, order, *[F.when(whole, F.col(c)).alias(c) for c in ("x", "y")])
+    rows = safe_starts(points, keys, order, size)
     along = Window.partitionBy(*keys).orderBy("_chunk")
     earlier = along.rowsBetween(UNBOUNDED, -1)
     starts = rows.groupBy(*keys, "_chunk").agg(F.min(F.when(F.col("safe"), F.col(order))).alias("_start"))
@@ -194,119 +201,121 @@ def _point(x: float | None, y: float | None) -> tuple | None:
     return None if x is None or y is None else (x, y)
 
 
-class _Reach:
-    """Which places are surely within the radius of an earlier point, on a grid of small cells.
+def _catch(states: np.ndarray, x: float, y: float, radius: float, inclusive: bool) -> np.ndarray:
+    """Which states (rows x, y) a point catches; a state without a place is caught by any point."""
+    d = np.array([math.dist(s, (x, y)) for s in states.tolist()])
+    return np.isnan(d) | (d <= radius if inclusive else d < radius)
 
-    Only used to leave out points that can catch no new state: places beyond the grid are
-    never left out.
-    """
 
-    PER_RADIUS = 8
-    HALF = 1024
-
-    def __init__(self, radius: float):
-        self.radius, self.cell = radius, radius / self.PER_RADIUS
-        self.covered = np.zeros((2 * self.HALF, 2 * self.HALF), bool)
-        self.done = np.zeros((2 * self.HALF, 2 * self.HALF), bool)
-        self.seen = set()
-
-    def _axis(self, v: float, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distance to the nearest and the farthest place of each cell around, on one axis."""
-        reach = self.PER_RADIUS + 1
-        low = (np.arange(i - reach, i + reach + 1) - self.HALF) * self.cell - v
-        high = low + self.cell
-        return np.maximum(np.maximum(low, -high), 0) ** 2, np.maximum(-low, high) ** 2
-
-    def adds(self, x: float, y: float) -> bool:
-        """Whether some place may have this point as the first one within the radius."""
-        if (x, y) in self.seen:
-            return False
-        i, j = (math.floor(v / self.cell) + self.HALF for v in (x, y))
-        wide = self.PER_RADIUS + 2
-        if min(i, j) < wide or max(i, j) >= 2 * self.HALF - wide:
-            self.seen.add((x, y))
-            return True
-        if self.done[i, j]:
-            return False
-        (near_x, far_x), (near_y, far_y) = self._axis(x, i), self._axis(y, j)
-        patch = self.covered[i - wide + 1 : i + wide, j - wide + 1 : j + wide]
-        in_reach = near_x[:, None] + near_y <= self.radius**2
-        if patch[in_reach].all():
-            self.done[i, j] = self.covered[i - wide : i + wide + 1, j - wide : j + wide + 1].all()
-            return False
-        patch |= far_x[:, None] + far_y < self.radius**2
-        self.seen.add((x, y))
-        return True
-
-
-def piece_effects(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-    """Fold over (piece, frame, x, y): what a piece does to the state it is entered with.
-
-    The first piece of a track is entered with the start, a row without a frame: row -1 has
-    the state after it. For a later piece the rows (order, x, y, exit_x, exit_y) say: a state
-    within the radius of (x, y), and of no earlier row, leaves the piece as the exit. A state
-    near none of them passes unchanged. Points that cannot be the first to catch a state are
-    left out. Paths that catch the same point become one, so the live ends are at least a
-    radius apart: their number is bounded by the size of the picture, not of the piece.
-    """
-
-    def first_piece(rows):
-        last = None
-        for _, frame, x, y in rows:
-            p = _point(x, y)
-            if frame is None or (p is not None and (last is None or near(p, last, radius, inclusive))):
-                last = p
-        yield -1, None, None, *(last or (None, None))
+def live_ends(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """Fold over (x, y): all points that the piece may end with, whatever it is entered with.
 
-    def later_piece(rows):
-        reach, entries, ends = _Reach(radius), [], []  # ends: (point, entries that lead there)
-        for _, _, x, y in rows:
-            p = _point(x, y)
-            if p is None:
-                continue
-            caught = [e for e in ends if near(p, e[0], radius, inclusive)]
-            own = []
-            if reach.adds(x, y):
-                own = [len(entries)]
-                entries.append(p)
-            if not caught and not own:
-                continue
-            members = max((e[1] for e in caught), key=len, default=[])
-            for e in caught:
-                if e[1] is not members:
-                    members.extend(e[1])
-            members.extend(own)
-            ends = [e for e in ends if not any(e is c for c in caught)]
-            ends.append((p, members))
-        exits = {i: p for p, members in ends for i in members}
-        yield -1, None, None, None, None
-        for i, p in enumerate(entries):
-            yield i, *p, *exits[i]
+    Any point may be the first to catch a state. Paths that catch the same point become one, so
+    the ends are at least a radius apart: their number is bounded by the place that the points
+    take, not by how many they are.
+    """
 
     def fold(rows):
-        head = next(rows)
-        yield from (first_piece if head[0] == 0 else later_piece)(itertools.chain([head], rows))
+        ends = np.zeros((0, 2))
+        for x, y in rows:
+            if x is None or y is None:
+                continue
+            if len(ends):
+                ends = ends[~_catch(ends, x, y, radius, inclusive)]
+            ends = np.concatenate([ends, [[x, y]]])
+        yield from map(tuple, ends.tolist())
 
     return fold
 
 
-def border_states(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-    """Fold over the effects of the pieces of a track, and its start (row -2): the state each later piece is entered with."""
+def exits(radius: float, inclusive: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """Fold over (frame, born, x, y): where the piece takes each state that it is entered with.
+
+    States come first, without a frame. Yields (born, x, y, exit_x, exit_y) for those that a point catches.
+    """
 
     def fold(rows):
-        last, caught = None, False
-        for piece, i, x, y, exit_x, exit_y in rows:
-            if i == -2 or (i == -1 and piece == 0):
-                last = _point(exit_x, exit_y)
-            elif i == -1:
-                caught = False
-                yield piece, *(last or (None, None))
-            elif not caught and (last is None or near((x, y), last, radius, inclusive)):
-                last, caught = (exit_x, exit_y), True
+        entered, at = [], None
+        caught = None
+        for frame, born, x, y in rows:
+            if frame is None:
+                entered.append((born, x, y))
+                continue
+            if not entered:
+                return
+            if at is None:
+                at = np.array([[math.nan if v is None else v for v in e[1:]] for e in entered])
+                caught = np.zeros(len(entered), dtype=bool)
+            if x is None or y is None:
+                continue
+            now = _catch(at, x, y, radius, inclusive)
+            at[now] = x, y
+            caught |= now
+        for k, state in enumerate(entered):
+            if caught is not None and caught[k]:
+                yield *state, *at[k].tolist()
 
     return fold
 
 
+def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Fold over (born, x, y, caught_in, exit_x, exit_y, last), by piece: the state each piece is entered with.
+
+    The walk begins with the start, which is born before the first piece, and goes on from exit to exit.
+    """
+    here = None
+    for born, x, y, caught_in, exit_x, exit_y, last in rows:
+        if born == -1 or here == (born, x, y):
+            for piece in range(born + 1, (last if caught_in is None else caught_in) + 1):
+                yield piece, x, y
+            here = None if caught_in is None else (caught_in, exit_x, exit_y)
+
+
+def border_states(rows: DataFrame, start: DataFrame | None, radius: float, inclusive: bool, keys: Sequence[str], order: str) -> DataFrame:
+    """(keys, `_chunk`, x, y): the state each piece is entered with, from its rows (keys, order, `_chunk`, x, y).
+
+    Only the start and the ends of earlier pieces can be such a state. Each is sent to the next piece, then, if that
+    leaves it as it is, to the next two, four and so on, until one catches it. Tracks of one piece need none of this.
+    """
+    piece, place = [*keys, "_chunk"], {"x": "double", "y": "double"}
+    pieces = rows.groupBy(*keys).agg(F.max("_chunk").alias("last"))
+    if start is None:
+        begun = pieces.select(*keys, *[F.lit(None).cast("double").alias(c) for c in "xy"])
+    else:
+        begun = start.select(*keys, F.col("start_x").alias("x"), F.col("start_y").alias("y"))
+    long = pieces.filter("last > 0")
+    if long.isEmpty():
+        return begun.select(*keys, F.lit(0).cast("long").alias("_chunk"), "x", "y")
+    long = stored(long, "pieces")
+    cut = rows.join(long.select(*keys), list(keys), "left_semi")
+    ends = fold_groups(cut, piece, [order], ["x", "y"], live_ends(radius, inclusive), place)
+    born = begun.select(*keys, F.lit(-1).cast("long").alias("born"), "x", "y").unionByName(ends.withColumnRenamed("_chunk", "born"))
+    open_ = stored(born.join(long, list(keys)), "open")
+    short = begun.join(long, list(keys), "left_anti").select(*keys, F.lit(0).cast("long").alias("_chunk"), "x", "y")
+    state = [*keys, "born", "x", "y"]
+    done, reach, seen = None, 1, 0
+    while not (waiting := open_.filter(F.col("born") + 1 + seen <= F.col("last"))).isEmpty():
+        sent = F.sequence(F.col("born") + 1 + seen, F.least(F.col("born") + seen + reach, F.col("last")))
+        sent = waiting.select(*state, F.explode(sent).alias("_chunk"))
+        asked = cut.join(sent.select(*piece).distinct(), piece, "left_semi")
+        found = fold_groups(
+            asked.unionByName(sent, allowMissingColumns=True), piece, [order, "born", "x", "y"], [order, "born", "x", "y"],
+            exits(radius, inclusive), {"born": "long"} | place | {"exit_x": "double", "exit_y": "double"},
+        )
+        first = F.min(F.struct("_chunk", "exit_x", "exit_y")).alias("m")
+        caught = stored(found.groupBy(*state).agg(first), "caught")
+        same = [open_[k].eqNullSafe(caught[k]) for k in state]
+        open_ = stored(open_.join(caught, same, "left_anti"), "open")
+        done = caught if done is None else done.unionByName(caught)
+        seen, reach = seen + reach, 2 * reach
+    ended = done.join(long, list(keys)).select(*state, "last", F.col("m._chunk").alias("caught_in"), "m.exit_x", "m.exit_y")
+    links = open_.unionByName(ended, allowMissingColumns=True)
+    walked = fold_groups(
+        links, list(keys), ["born", "x", "y"], ["born", "x", "y", "caught_in", "exit_x", "exit_y", "last"], walk, {"_chunk": "long"} | place
+    )
+    return walked.unionByName(short)
+
+
 def gated_track(
     ball: DataFrame,
     radius: float,
@@ -318,34 +327,13 @@ def gated_track(
 ) -> DataFrame:
     """Keep points near the last kept point; all others become NULL.
 
-    `start` gives the first state per track (`start_x`, `start_y`); without it the first
-    point of the track is kept. A state travels as a row without a frame, which comes first
-    in its piece: the rows are shuffled twice in all and joined with nothing.
+    `start` gives the first state per track (`start_x`, `start_y`); without it, or where it is NULL, the first
+    point of the track is kept. A state travels as a row without a frame, which comes first in its piece.
     """
-    piece = [*keys, "_chunk"]
     rows = chunks.with_chunk(ball.select(*keys, order, "x", "y"), order, size)
-    first = None
-    if start is not None:
-        first = start.select(
-            *keys, F.lit(0).cast("long").alias("_chunk"), F.col("start_x").alias("x"), F.col("start_y").alias("y")
-        )
-
-    def entered(states):
-        return rows if states is None else rows.unionByName(states, allowMissingColumns=True)
-
-    effects = fold_groups(
-        entered(first), piece, [order], ["_chunk", order, "x", "y"], piece_effects(radius, inclusive),
-        {"i": "int", "x": "double", "y": "double", "exit_x": "double", "exit_y": "double"},
-    )
-    if first is not None:
-        exits = {"exit_x": F.col("x"), "exit_y": F.col("y"), "x": F.lit(None), "y": F.lit(None)}
-        effects = effects.unionByName(first.withColumns({"i": F.lit(-2), **exits}))
-    states = fold_groups(
-        effects, list(keys), ["_chunk", "i"], ["_chunk", "i", "x", "y", "exit_x", "exit_y"],
-        border_states(radius, inclusive), {"_chunk": "long", "x": "double", "y": "double"},
-    )
+    states = border_states(rows, start, radius, inclusive, keys, order)
     gated = fold_groups(
-        entered(states if first is None else states.unionByName(first)), piece, [order], [order, "x", "y"],
+        rows.unionByName(states, allowMissingColumns=True), [*keys, "_chunk"], [order], [order, "x", "y"],
         gate(radius, inclusive), {order: "long", "x": "double", "y": "double"},
     )
     return gated.drop("_chunk")

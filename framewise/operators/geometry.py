@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.points import foot_point, metres_to_pixels, pixels_to_metres
-from framewise.operators.chunks import CHUNK, KEYS, ORDER, spread_join
+from framewise.operators.chunks import CHUNK, KEYS, ORDER, join_track
 from framewise.operators.select import look_up, nearest_court_point, nearest_player
 from framewise.operators.windows import max_height
 
@@ -134,16 +134,17 @@ def project_points(
     as_int: bool = False,
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
-    size: int = CHUNK,
+    out: tuple[str, str] = ("map_x", "map_y"),
 ) -> DataFrame:
-    """Add the map position `map_x`, `map_y` of each point, by the matrix of its video."""
-    joined = spread_join(points, matrices.select(*keys, "h"), keys, order, size=size)
+    """Add the map position of each point, by the matrix of its frame, or of its video if `matrices` has no frames.
+
+    A point without a matrix keeps its row, with a NULL position.
+    """
+    at = [*keys, order] if order in matrices.columns else list(keys)
+    joined = join_track(points, matrices.select(*at, "h"), at, "left")
     to = lambda c: c.try_cast("int") if as_int else c
-    mapped = {
-        "map_x": to(project_x(F.col(x), F.col(y), F.col("h"))),
-        "map_y": to(project_y(F.col(x), F.col(y), F.col("h"))),
-    }
-    return joined.withColumns(mapped).drop("h")
+    mapped = [to(f(F.col(x), F.col(y), F.col("h"))) for f in (project_x, project_y)]
+    return joined.withColumns(dict(zip(out, mapped))).drop("h")
 
 
 _TERMS = [(i, j) for i in range(9) for j in range(i, 9)]
@@ -219,25 +220,33 @@ def _from_court_point(points: DataFrame, ref_px: str, ref_m: str, px_per_m: floa
     )
 
 
+def _with_height(rows: DataFrame, heights: dict[int, float], clamp: int | None) -> DataFrame:
+    """Add `height_m` by track id."""
+    track = F.col("track_id") if clamp is None else F.least("track_id", F.lit(clamp))
+    return look_up(rows.withColumn("_track", track), "_track", heights, "height_m").drop("_track")
+
+
 def players_on_mini_court(
     players: DataFrame,
     court: DataFrame,
     heights: dict[int, float],
     metric: str = "dy",
+    clamp: int | None = None,
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
     size: int = CHUNK,
 ) -> DataFrame:
     """Players placed by the scale of their own height, relative to the nearest court point.
 
-    `heights` gives metres by track id; ids missing there are left out.
+    `heights` gives metres by track id, ids above `clamp` counting as that one. Every row stays: without a
+    height or a court point its place is NULL.
     """
     feet = players.withColumn("foot", foot_point(F.col("x1"), F.col("x2"), F.col("y2")))
     tall = max_height(feet, keys=keys, order=order, size=size).select(
         *keys, order, "track_id", F.col("foot.x").cast("double").alias("x"), F.col("foot.y").alias("y"), "max_height"
     )
-    tall = look_up(tall, "track_id", heights, "height_m")
-    placed = nearest_court_point(tall.filter(F.col("height_m").isNotNull()), court, metric=metric, keys=keys, order=order)
+    tall = _with_height(tall, heights, clamp)
+    placed = nearest_court_point(tall, court, metric=metric, keys=keys, order=order)
     return _from_court_point(placed, "max_height", "height_m", COURT_W / (COURT_CM[0] / 100)).select(
         *keys, order, "track_id", "kp_idx", "max_height", "dx_m", "dy_m", "map_x", "map_y"
     )
@@ -249,16 +258,20 @@ def ball_on_mini_court(
     court: DataFrame,
     heights: dict[int, float],
     metric: str = "dy",
+    clamp: int | None = None,
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
     size: int = CHUNK,
 ) -> DataFrame:
-    """The ball placed by the scale of the player nearest to it; a missing ball counts as (0, 0)."""
+    """The ball placed by the scale of the player nearest to it; a missing ball counts as (0, 0).
+
+    One row per row of `ball`; without a player, a height or a court point its place is NULL.
+    """
     nearest = nearest_player(players, ball, clamp=None, keys=keys, order=order)
     tall = max_height(players, keys=keys, order=order, size=size).select(*keys, order, "track_id", "max_height")
     points = ball.select(*keys, order, F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
-    scaled = nearest.select(*keys, order, "track_id").join(tall, [*keys, order, "track_id"]).join(points, [*keys, order])
-    scaled = look_up(scaled, "track_id", heights, "height_m").filter(F.col("height_m").isNotNull())
+    scaled = points.join(nearest.select(*keys, order, "track_id"), [*keys, order], "left")
+    scaled = _with_height(scaled.join(tall, [*keys, order, "track_id"], "left"), heights, clamp)
     placed = nearest_court_point(scaled, court, metric=metric, keys=keys, order=order)
     return _from_court_point(placed, "max_height", "height_m", COURT_W / (COURT_CM[0] / 100)).select(
         *keys, order, "track_id", "kp_idx", "dx_m", "dy_m", "map_x", "map_y"

@@ -25,7 +25,7 @@ def hand_distances(
     return seen.join(hands, [*keys, order]).select(
         *keys, order, "side", "x", "y",
         distance(F.col("x"), F.col("y"), F.col("hx"), F.col("hy")).alias("dist"),
-        (F.try_element_at(by_side, F.col("side")) * body).cast("int").alias("radius"),
+        (F.try_element_at(by_side, F.col("side")) * body).cast("int").alias("radius"), "body_x", "body_y",
     )
 
 
@@ -36,9 +36,12 @@ def approach_hits(
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
     size: int = CHUNK,
+    matrices: DataFrame | None = None,
 ) -> DataFrame:
     """Frames where the ball, inside a hand circle, is nearer than at any frame since it came in.
 
+    With `matrices` also the place of ball and body on the map.
+
     A stay in the circle may be of any length, so the running minimum is taken per piece
     and the minimum of the open stay is handed on from piece to piece.
     """
@@ -66,7 +69,11 @@ def approach_hits(
     rows = rows.withColumn("_min", before).join(carried, [*track, "_chunk"])
     least = F.least("_min", F.when(F.col("_stay") == 0, F.col("_carried")))
     limit = F.coalesce(least, F.col("radius").cast("double"))
-    return rows.filter(F.col("_in") & (F.col("dist") < limit)).select(*track, order, "x", "y", "dist", "radius")
+    hits = rows.filter(F.col("_in") & (F.col("dist") < limit)).select(*track, order, "x", "y", "dist", "radius", "body_x", "body_y")
+    if matrices is None:
+        return hits.drop("body_x", "body_y")
+    hits = project_points(hits, matrices, as_int=True, keys=keys, order=order, out=("map_x", "map_y"))
+    return project_points(hits, matrices, "body_x", "body_y", True, keys, order, ("body_map_x", "body_map_y"))
 
 
 def velocity_samples(
@@ -91,7 +98,7 @@ def velocity_samples(
         .agg(F.bool_or(within_circle(F.col("radius"), F.col("dist"))).alias("near_hand"))
     )
     sampled = moving.join(near, [*keys, order], "left").withColumn("near_hand", F.coalesce("near_hand", F.lit(False)))
-    return project_points(sampled, matrices, as_int=True, keys=keys, order=order, size=size)
+    return project_points(sampled, matrices, as_int=True, keys=keys, order=order)
 
 
 def lag_features(

@@ -21,7 +21,19 @@ HIT_THRESHOLD = 0.8
 
 
 def _assembler(cols: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip")
+    """Each column twice, see `_known`. Every row gets its vector."""
+    return VectorAssembler(inputCols=[n for c in cols for n in (f"_{c}", f"_{c}_known")], outputCol="features", handleInvalid="error")
+
+
+def _known(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """For each column its value, 0 where it is missing, and whether it is there."""
+    values = {f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    return df.withColumns(values | {f"_{c}_known": F.col(c).isNotNull().cast("double") for c in cols})
+
+
+def _transform(model: PipelineModel, df: DataFrame, cols: Sequence[str], *result: str) -> DataFrame:
+    """The rows of `df`, all of them, with columns of the model's result."""
+    return model.transform(_known(df, cols)).select(*df.columns, *result)
 
 
 def fit_bounce_model(
@@ -30,14 +42,14 @@ def fit_bounce_model(
     """A boosted-tree regressor on the bounce features, from rows labelled 0 or 1."""
     settings = {"maxIter": 20, "maxDepth": 4, "seed": 7} | params
     gbt = GBTRegressor(featuresCol="features", labelCol="label", predictionCol="score", **settings)
-    return Pipeline(stages=[_assembler(FEATURES), gbt]).fit(features.join(labels, [*keys, order]))
+    return Pipeline(stages=[_assembler(FEATURES), gbt]).fit(_known(features.join(labels, [*keys, order]), FEATURES))
 
 
 def score_features(features: DataFrame, scorer: PipelineModel | Column) -> DataFrame:
     """Add `score`, from a fitted model or from an expression on the features."""
     if isinstance(scorer, Column):
         return features.withColumn("score", scorer)
-    return scorer.transform(features).drop("features")
+    return _transform(scorer, features, FEATURES, "score")
 
 
 def predict_bounces(
@@ -49,10 +61,13 @@ def predict_bounces(
     order: str = ORDER,
     size: int = CHUNK,
 ) -> DataFrame:
-    """Bounce frames: extrapolate short gaps, build features, score, keep one frame per run."""
+    """Bounce frames: extrapolate short gaps, build features, score, keep one frame per run.
+
+    A row without a score is no candidate, but stays between its neighbours.
+    """
     track = smooth_gaps(ball, keys, order, size) if smooth else ball
     features = bounce_features(track, keys, order, size, keep_chunk=True)
-    scored = score_features(features, scorer).select(*keys, order, "_chunk", "score").filter(F.col("score").isNotNull())
+    scored = score_features(features, scorer).select(*keys, order, "_chunk", "score")
     return suppress_runs(scored, threshold, keys=keys, order=order, size=size)
 
 
@@ -68,7 +83,7 @@ def fit_hit_model(
     settings = {"maxIter": 20, "maxDepth": 4, "seed": 7} | params
     gbt = GBTClassifier(featuresCol="features", labelCol="label", **settings)
     rows = lag_features(ball, keys=keys, order=order).join(labels, [*keys, order])
-    return Pipeline(stages=[_assembler(hit_columns()), gbt]).fit(rows)
+    return Pipeline(stages=[_assembler(hit_columns()), gbt]).fit(_known(rows, hit_columns()))
 
 
 def predict_hits(
@@ -78,8 +93,8 @@ def predict_hits(
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
 ) -> DataFrame:
-    """`hit`: 0 or 1 by the threshold on the class-1 probability, or the probability without one."""
-    scored = model.transform(lag_features(ball, keys=keys, order=order))
+    """`hit` of every frame: 0 or 1 by the threshold on the class-1 probability, or the probability without one."""
+    scored = _transform(model, lag_features(ball, keys=keys, order=order), hit_columns(), "probability")
     p = vector_to_array("probability")[1]
     return scored.select(*keys, order, over_threshold(p, threshold).alias("hit"))
 
@@ -92,5 +107,6 @@ def confusion(predictions: DataFrame, labels: DataFrame, prediction: str, keys:
 
 
 def area_under_roc(scored: DataFrame, score: str = "score", label: str = "label") -> float:
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label)
+    """Exact: `numBins=0` keeps every distinct score; equal scores share their rank."""
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, numBins=0)
     return evaluator.evaluate(scored.withColumn(score, F.col(score).cast("double")))

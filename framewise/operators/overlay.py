@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.points import centre_x, centre_y
-from framewise.operators.chunks import CHUNK, KEYS, ORDER
+from framewise.operators.chunks import KEYS, ORDER
 from framewise.operators.geometry import court_line_layer, project_points
 from framewise.operators.select import flag_frames
 
@@ -63,7 +63,6 @@ def mini_map(
     matrices: DataFrame,
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
-    size: int = CHUNK,
 ) -> DataFrame:
     """Player centres and ball on the court map, in whole pixels; `bounce` marks ball rows of bounce frames."""
     centres = players.select(
@@ -76,7 +75,7 @@ def mini_map(
         F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"),
     )
     points = centres.unionByName(balls).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    mapped = project_points(points, matrices, as_int=True, keys=keys, order=order, size=size)
+    mapped = project_points(points, matrices, as_int=True, keys=keys, order=order)
     flagged = flag_frames(mapped, bounces, "bounce", keys, order)
     return flagged.select(
         *keys, order, "layer", "item", "map_x", "map_y", ((F.col("layer") == "ball") & F.col("bounce")).alias("bounce")

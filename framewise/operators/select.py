@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions.points import centre_x, centre_y, distance
 from framewise.operators import chunks
-from framewise.operators.chunks import CHUNK, KEYS, ORDER
+from framewise.operators.chunks import KEYS, ORDER
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -92,13 +92,9 @@ def choose_players(
     return nearest.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def keep_tracks(
-    players: DataFrame, chosen: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER, size: int = CHUNK
-) -> DataFrame:
+def keep_tracks(players: DataFrame, chosen: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rows of the chosen tracks in all frames."""
-    rows = chunks.with_chunk(players, order, size)
-    wanted = chunks.spread(chosen.select(*keys, "track_id"), rows, keys)
-    return rows.join(wanted, [*keys, "_chunk", "track_id"], "left_semi").drop("_chunk")
+    return players.join(chosen.select(*keys, "track_id"), [*keys, "track_id"], "left_semi")
 
 
 def keep_in_map(
@@ -106,12 +102,10 @@ def keep_in_map(
     chosen: DataFrame,
     boxes: str = "boxes",
     keys: Sequence[str] = KEYS,
-    order: str = ORDER,
-    size: int = CHUNK,
 ) -> DataFrame:
     """The same on the nested form, a map from track id to box; frames may become empty but stay."""
     wanted = chosen.groupBy(*keys).agg(F.collect_set("track_id").alias("_wanted"))
-    joined = chunks.spread_join(frames, wanted, keys, order, how="left", size=size)
+    joined = chunks.join_track(frames, wanted, keys, "left")
     chosen_only = F.map_filter(boxes, lambda track, _: F.coalesce(F.array_contains("_wanted", track), F.lit(False)))
     return joined.withColumn(boxes, chosen_only).drop("_wanted")
 
@@ -146,17 +140,23 @@ def nearest_court_point(
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
 ) -> DataFrame:
-    """The allowed court point nearest to each point (x, y), by vertical or plain distance."""
+    """The allowed court point nearest to each point (x, y), by vertical or plain distance.
+
+    One row per row of `points`; without an allowed court point in its frame the new columns are NULL. The
+    few allowed points of a frame travel as one list, so equal points stay apart.
+    """
     if metric not in ("dy", "euclid"):
         raise ValueError(f"unknown metric {metric!r}")
-    k = court.filter(F.col("kp_idx").isin(*allowed)).select(
-        *keys, order, "kp_idx", F.col("x").alias("kx"), F.col("y").alias("ky")
-    )
-    x, y, kx, ky = (F.col(c) for c in ("x", "y", "kx", "ky"))
-    d = F.abs(y - ky) if metric == "dy" else distance(x, y, kx, ky)
-    best = F.min(F.struct(d.alias("kp_dist"), "kp_idx", "kx", "ky")).alias("m")
-    rest = [c for c in points.columns if c not in (*keys, order)]
-    return points.join(k, [*keys, order]).groupBy(*keys, order, *rest).agg(best).select(*keys, order, *rest, "m.*")
+    spots = F.collect_list(F.struct("kp_idx", F.col("x").alias("kx"), F.col("y").alias("ky"))).alias("_spots")
+    spots = court.filter(F.col("kp_idx").isin(*allowed)).groupBy(*keys, order).agg(spots)
+    x, y = F.col("x"), F.col("y")
+
+    def candidate(p):
+        d = F.abs(y - p["ky"]) if metric == "dy" else distance(x, y, p["kx"], p["ky"])
+        return F.struct(d.alias("kp_dist"), p["kp_idx"].alias("kp_idx"), p["kx"].alias("kx"), p["ky"].alias("ky"))
+
+    best = F.array_min(F.transform("_spots", candidate)).alias("_best")
+    return points.join(spots, [*keys, order], "left").select(*points.columns, best).select(*points.columns, "_best.*")
 
 
 def over_score(df: DataFrame, score: Column | str = "score", threshold: float = 0.45) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framewise.operators import chunks
-from framewise.operators.chunks import CHUNK, KEYS, ORDER, UNBOUNDED, asc, core, so_far, spread_join
+from framewise.operators.chunks import CHUNK, KEYS, ORDER, UNBOUNDED, asc, core, join_track, so_far
 
 MA_WINDOW = 5
 LOOK_AHEAD = 30
@@ -82,11 +82,9 @@ def extremes(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS) ->
     return df.groupBy(*keys).agg(*[f(c).alias(f"{c}_{f.__name__}") for c in cols for f in (F.min, F.max)])
 
 
-def min_max_scale(
-    df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS, order: str = ORDER, size: int = CHUNK
-) -> DataFrame:
+def min_max_scale(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """`c_norm` in [0, 1] over the track; NULL when all values are equal."""
-    joined = spread_join(df, extremes(df, cols, keys), keys, order, size=size)
+    joined = join_track(df, extremes(df, cols, keys), keys)
     for c in cols:
         low, high = F.col(f"{c}_min"), F.col(f"{c}_max")
         joined = joined.withColumn(f"{c}_norm", F.try_divide(F.col(c) - low, high - low)).drop(f"{c}_min", f"{c}_max")
@@ -97,16 +95,14 @@ def ball_segments(
     ball: DataFrame,
     max_step: float = 100,
     max_gap: int = 30,
-    keep: int | None = 35,
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
     size: int = CHUNK,
 ) -> DataFrame:
-    """Cut the detected points into segments, and keep the latest `keep` points of each.
+    """Number the segments of the detected points, from 1. Every detected point is in one.
 
     A segment ends where the next detected point is not within `max_step`, or after more
-    than `max_gap` frames without a point. Within a segment two points are at most
-    `max_gap + 1` frames apart, so a halo of that many frames (times `keep`) is enough.
+    than `max_gap` frames without a point.
     """
     seen = ball.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
 
@@ -116,9 +112,4 @@ def ball_segments(
         return {"_new": F.when((F.sqrt(step2) < max_step) & (gap <= max_gap), 0).otherwise(1)}
 
     rows = windowed(seen, starts, before=max_gap + 1, keys=keys, order=order, size=size)
-    rows = chunks.running_total(rows, "_new", "segment", keys, order, size).drop("_new")
-    if keep is None:
-        return rows
-    latest = lambda w: {"_later": F.lead("segment", keep).over(w)}
-    marked = windowed(rows, latest, after=keep * (max_gap + 1), keys=keys, order=order, size=size)
-    return marked.filter(~F.col("_later").eqNullSafe(F.col("segment"))).drop("_later")
+    return chunks.running_total(rows, "_new", "segment", keys, order, size).drop("_new")

@@ -6,7 +6,7 @@ from functools import cached_property
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 
-from framewise.operators import fill, geometry, models, overlay, select, turning
+from framewise.operators import camera, fill, geometry, models, overlay, select, turning
 from framewise.operators.chunks import CHUNK
 from framewise.sources.tables import stored
 
@@ -18,7 +18,11 @@ class Match:
     `ball` (video_id, frame, x, y) has one row per frame; `boxes` are tracked detections;
     `court` has one row per court point and frame. `scorer` is a fitted bounce model or a
     score expression; without it the bounces drawn are the turning points of the filled
-    track. Results that several later steps read are written to the shared folder once.
+    track. With `moving` the court mapping is fitted anew wherever the camera moves, else frame 0 decides.
+    `positions` has the map places of the court points that the fit uses.
+
+    Nothing runs before a result is read. With `keep` the results that several later steps read are
+    written to the shared folder of the session when they are first asked for.
     """
 
     ball: DataFrame
@@ -28,17 +32,23 @@ class Match:
     window: int = 5
     mode: str = "compat"
     size: int = CHUNK
+    moving: bool = False
+    positions: dict[int, tuple[float, float]] | None = None
+    keep: bool = False
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name) if self.keep else df
 
     @cached_property
     def players(self) -> DataFrame:
         """The two main players, in all frames."""
         boxes = select.player_boxes(self.boxes)
         chosen = select.choose_players(boxes, self.court)
-        return stored(select.keep_tracks(boxes, chosen, size=self.size), "players")
+        return self._kept(select.keep_tracks(boxes, chosen), "players")
 
     @cached_property
     def filled(self) -> DataFrame:
-        return stored(fill.fill_ball(self.ball, self.window, mode=self.mode, size=self.size), "filled")
+        return self._kept(fill.fill_ball(self.ball, self.window, mode=self.mode, size=self.size), "filled")
 
     @cached_property
     def turns(self) -> DataFrame:
@@ -48,16 +58,20 @@ class Match:
     def bounces(self) -> DataFrame:
         """Bounces by score on the raw track with short gaps extrapolated; else the turning points."""
         if self.scorer is None:
-            return stored(self.turns, "bounces")
-        return stored(models.predict_bounces(self.ball, self.scorer, size=self.size), "bounces")
+            return self._kept(self.turns, "bounces")
+        return self._kept(models.predict_bounces(self.ball, self.scorer, size=self.size), "bounces")
 
     @cached_property
     def matrices(self) -> DataFrame:
-        return geometry.video_homography(self.court)
+        """One matrix per video, or per frame where the camera moves."""
+        if not self.moving:
+            return geometry.video_homography(self.court)
+        frames = self.ball.select("video_id", "frame")
+        return camera.refreshed_homography(self.court, frames, self.positions, size=self.size)
 
     @cached_property
     def mini_map(self) -> DataFrame:
-        return overlay.mini_map(self.players, self.filled, self.bounces, self.matrices, size=self.size)
+        return overlay.mini_map(self.players, self.filled, self.bounces, self.matrices)
 
     @cached_property
     def overlay(self) -> DataFrame:

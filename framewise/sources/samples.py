@@ -1,6 +1,6 @@
 """Detection tables derived from the `events` table (recipes in FIXTURES.md).
 
-Coordinates are integers stored as doubles, so sums and means are exact. The frame
+Coordinates are whole numbers and eighths stored as doubles, so sums are exact. The frame
 number counts the events of a video in time order. Events are counted per hour first, so no
 task sorts a whole video: what one camera sees in an hour is bounded by its frame rate.
 """
@@ -9,11 +9,8 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from framewise import schema
 from framewise.operators.chunks import positions
-from framewise.sources.tables import is_stored, work_folder, write_detections
 
 # Boxes (det_idx, track, class, x1, y1, x2, y2) and court points (index, x, y).
 BOXES = (
@@ -28,12 +25,8 @@ COURT_POINTS = (
     (7, 1000, 660), (8, 430, 290), (9, 850, 290), (10, 330, 480), (11, 950, 480), (12, 640, 290), (13, 640, 480),
 )
 FRAME_W, FRAME_H = 1280, 720
-BALL_WITH_K = T.StructType([*schema.BALL.fields, T.StructField("k", T.IntegerType())])
 HEIGHTS = {1: 1.88, 2: 1.91}
 
-_STORED: dict[tuple, str] = {}
-
-
 def _literal_rows(names: tuple[str, ...], rows: tuple) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
 
@@ -50,16 +43,6 @@ class Samples:
 
     @cached_property
     def ball(self) -> DataFrame:
-        """The ball table, derived once per session and stored in the shared folder."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.one_video)
-        path = _STORED.get(key)
-        if path is None or not is_stored(self.spark, path):
-            path = _STORED[key] = work_folder(self.spark, "ball")
-            write_detections(self.derived_ball, path)
-        return self.spark.read.schema(BALL_WITH_K).parquet(path)
-
-    @property
-    def derived_ball(self) -> DataFrame:
         events = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
         video = F.lit(0) if self.one_video else F.floor(F.col("user_id") / 15)
         e = events.select(
@@ -76,8 +59,8 @@ class Samples:
         return e.select(
             "video_id",
             "frame",
-            _double(F.when(seen, 300 + 5 * F.abs(f % 200 - 100) + k % 5 + spike), "x"),
-            _double(F.when(seen, 200 + 8 * F.abs(f % 120 - 60) + k % 3), "y"),
+            _double(F.when(seen, 300 + 5 * F.abs(f % 200 - 100) + k % 5 + spike + (k % 4) / 4), "x"),
+            _double(F.when(seen, 200 + 8 * F.abs(f % 120 - 60) + k % 3 + (k % 8) / 8), "y"),
             "k",
         )
 
@@ -126,6 +109,15 @@ class Samples:
         f, i = F.col("frame"), F.col("kp_idx")
         return self.kps.filter(~((f % 10 == 3) & (i > 2)) & ~((f % 7 == 5) & (i % 2 == 0)))
 
+    @cached_property
+    def flat(self) -> DataFrame:
+        """Court points that are exact images of their map places: seen without perspective, some lost, camera moving."""
+        from framewise.operators.geometry import with_map_positions
+
+        at = with_map_positions(self.kps_seen)
+        moved = F.col("video_id") % 5 + 6 * (F.floor(F.col("frame") / 100) % 3)
+        return at.select("video_id", "frame", "kp_idx", (F.col("map_x") * 0.875 + moved).alias("x"), (F.col("map_y") * 0.375 + 20).alias("y"))
+
     @cached_property
     def court_raw(self) -> DataFrame:
         """The 28 numbers a keypoint model gives, in its 224 by 224 space."""

@@ -1,6 +1,5 @@
 """Reading, caching and writing detection tables."""
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 
@@ -129,16 +128,12 @@ def random_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables, in the shared folder the session names.
+    """A new folder for intermediate tables, in the shared folder of the session.
 
-    Only a session without `spark.checkpoint.dir` on a local master gets a temporary one.
+    That is the one in `spark.checkpoint.dir`; where it is unset, one in the warehouse, which executors share too.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="framewise-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    default = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{spark.conf.get('spark.checkpoint.dir', default).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_fewer_players_than_wanted_give_fewer_rows(spark):
     df = boxes(spark, [(0, 0, 0, 4, "person", 0), (0, 5, 0, 9, "person", 0)])
     chosen = select.choose_players(df, court(spark, [(0, 0, 0, 1, 1)]))
     assert [r["track_id"] for r in chosen.collect()] == [4]
-    kept = select.keep_tracks(df, chosen, size=2)
+    kept = select.keep_tracks(df, chosen)
     assert [(r["frame"], r["track_id"]) for r in kept.collect()] == [(0, 4)]
 
 
@@ -55,6 +55,38 @@ def test_nearest_court_point_by_either_metric(spark, track):
         select.nearest_court_point(ball, points, metric="other")
 
 
+def test_every_point_keeps_its_row(spark, track):
+    """Equal points stay two rows; without an allowed court point the place is NULL."""
+    ball = track([(100, 4), (1, 1)])
+    twice = ball.filter("frame = 0").unionByName(ball)
+    got = select.nearest_court_point(twice, court(spark, [(0, 0, 0, 0, 0), (0, 1, 5, 0, 0)]))
+    assert sorted((r["frame"], r["kp_idx"]) for r in got.collect()) == [(0, 0), (0, 0), (1, None)]
+
+
+def test_everyone_is_placed_on_the_mini_court(spark, track):
+    df = boxes(spark, [(0, 0, 0, 1, "person", 0), (0, 0, 1, 7, "person", 300), (0, 1, 0, 7, "person", 0)])
+    points = court(spark, [(0, 0, 0, 0, 0)])
+    placed = geometry.players_on_mini_court(df, points, {1: 2.0}).collect()
+    assert sorted((r["frame"], r["track_id"], r["dx_m"] is not None) for r in placed) == [(0, 1, True), (0, 7, False), (1, 7, False)]
+    ball = track([(310, 0), (5, 5), (None, None)])
+    for clamp, known in ((None, []), (1, [0])):
+        on_map = geometry.ball_on_mini_court(df, ball, points, {1: 2.0}, clamp=clamp).collect()
+        assert sorted(r["frame"] for r in on_map) == [0, 1, 2]
+        assert [r["frame"] for r in on_map if r["map_x"] is not None] == known
+
+
+def test_every_flagged_frame_with_four_points_has_a_matrix(spark):
+    """Corners may be missing; the other points decide."""
+    where = geometry.court_map_points()
+    rows = [(0, f, k, 0.5 * where[k][0] + 30 * f, 0.25 * where[k][1]) for f in range(4) for k in (range(14) if f % 2 else (0, 1, 2, 3, 12))]
+    frames = spark.createDataFrame([(0, f) for f in range(6)], "video_id long, frame long")
+    held = camera.refreshed_homography(court(spark, rows), frames, size=2).orderBy("frame").collect()
+    assert [r["fitted_at"] for r in held] == [0, 1, 2, 3, 3, 3]
+    assert [r["h"][2] for r in held] == pytest.approx([-60.0 * r["fitted_at"] for r in held], abs=1e-6)
+    sampled = camera.sampled_homography(court(spark, rows), frames, 2, 1).orderBy("frame").collect()
+    assert [r["fitted_at"] for r in sampled] == [None, 1, 1, 3, 3, 3]
+
+
 def test_frames_keep_their_numbers_and_pass_without_a_mask(track):
     ball = track([(1, 1)] * 5)
     assert select.game_time(ball).count() == 5

@@ -36,5 +36,5 @@ def test_state_goes_on_in_the_next_batch(spark, track, state_store):
 def test_late_rows_are_dropped(spark, track, state_store):
     ball = track(POINTS)
     got = feed(spark, tracks.ball_segments, [ball.filter("frame <> 1"), ball.filter("frame = 1")])
-    on_time = windows.ball_segments(ball.filter("frame <> 1"), keep=None).select("video_id", "frame", "x", "y", "segment")
+    on_time = windows.ball_segments(ball.filter("frame <> 1")).select("video_id", "frame", "x", "y", "segment")
     assert got == sorted(tuple(r) for r in on_time.collect())

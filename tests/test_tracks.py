@@ -1,5 +1,7 @@
 """Track operators against small cases and against plain loops, with long and with short pieces."""
 
+import functools
+import itertools
 import math
 import random
 
@@ -172,26 +174,24 @@ def test_turning_points_equal_the_loop(track, size):
 # --- bounces -----------------------------------------------------------------------------
 
 
-def runs_by_loop(scores, threshold):
-    candidates = [i for i, s in enumerate(scores) if s > threshold]
-    kept = []
-    for n, i in enumerate(candidates):
-        if n == 0 or candidates[n - 1] != i - 1:
-            kept.append(i)
-        elif scores[i] > scores[i - 1]:
-            kept[-1] = i
-    return kept
+def last_risers(scores, threshold):
+    """The rule in words: in each run of rows over the threshold, the last one that is larger than the row before
+    it, the run's first row counting as larger."""
+    runs = [list(group) for over, group in itertools.groupby(enumerate(scores), key=lambda p: (p[1] or 0) > threshold) if over]
+    larger = [[run[0], *(b for a, b in itertools.pairwise(run) if b[1] > a[1])] for run in runs]
+    return [risers[-1][0] for risers in larger]
 
 
 @pytest.mark.parametrize("size", [3, chunks.CHUNK])
-def test_run_suppression_equals_the_loop(spark, size):
+def test_run_suppression_keeps_the_last_riser(spark, size):
     rnd = random.Random(1)
-    videos = [[0.9, 0.5, 0.6], [0.9], [0.1]] + [[rnd.choice([0.1, 0.5, 0.6, 0.7]) for _ in range(60)] for _ in range(8)]
+    videos = [[0.9, 0.5, 0.6], [0.9], [0.1], [0.5, None, 0.6, 0.9], [None]]
+    videos += [[rnd.choice([None, 0.1, 0.5, 0.6, 0.7]) for _ in range(60)] for _ in range(8)]
     frames = [sorted(rnd.sample(range(200), len(v))) for v in videos]  # neighbours are rows, not frame numbers
     rows = [(v, f, s) for v, scores in enumerate(videos) for f, s in zip(frames[v], scores)]
     df = spark.createDataFrame(rows, "video_id long, frame long, score double")
     got = sorted((r["video_id"], r["frame"]) for r in bounce.suppress_runs(df, size=size).collect())
-    want = sorted((v, frames[v][i]) for v, scores in enumerate(videos) for i in runs_by_loop(scores, 0.45))
+    want = sorted((v, frames[v][i]) for v, scores in enumerate(videos) for i in last_risers(scores, 0.45))
     assert got == want
 
 
@@ -205,32 +205,63 @@ def test_features_leave_out_rows_with_a_missing_neighbour(track):
 # --- folds -------------------------------------------------------------------------------
 
 
-def gaps_by_loop(points):
-    p = list(points)
-    known = [q[0] is not None for q in p]
-    fills = 0
-    for i in range(5, len(p) - 1):
-        if not p[i][0] and all(known[i - 5 : i]) and fills < 3:
-            p[i] = tuple(2 * p[i - 1][c] - p[i - 2][c] for c in (0, 1))
-            known[i] = True
-            if p[i + 1][0] and math.dist(p[i], p[i + 1]) > 80:
-                p[i + 1], known[i + 1] = NONE, False
-            fills += 1
-        else:
-            fills = 0
-    return p
+class Extrapolated:
+    """The rule in words, from the end of a track: what a row is after filling, by what the rows before it are.
+
+    A row that is missing or 0 is filled if it isn't the last, the five rows before it are there and at most two rows
+    before it were filled in a row. It goes one step on from the two before. A row that follows a filled one is lost
+    if it lies more than 80 from that; a lost row counts as missing.
+    """
+
+    def __init__(self, points):
+        self.points = points
+        self.row = functools.cache(self._row)
+
+    def _row(self, i):
+        """(point, how many rows up to this one were filled in a row)."""
+        point = self.points[i]
+        if i and point[0]:
+            before, filled = self.row(i - 1)
+            if filled and math.dist(before, point) > 80:
+                point = NONE
+        if i < 5 or i == len(self.points) - 1 or point[0]:
+            return point, 0
+        earlier = [self.row(k) for k in range(i - 5, i)]
+        streak = earlier[-1][1]
+        if streak == 3 or any(p[0] is None for p, _ in earlier):
+            return point, 0
+        (ax, ay), (bx, by) = earlier[-2][0], earlier[-1][0]
+        return (bx + (bx - ax), by + (by - ay)), streak + 1
+
+    def all(self):
+        return [self.row(i)[0] for i in range(len(self.points))]
 
 
 def test_a_short_gap_is_extrapolated(track, points):
     assert points(folds.smooth_gaps(track(xs([10, 12, 14, 16, 18, None, 22])))) == [xs([10, 12, 14, 16, 18, 20, 22])]
 
 
-@pytest.mark.parametrize("size", [8, 16, 50, chunks.CHUNK])
-def test_extrapolation_equals_the_loop(track, points, size):
+@pytest.mark.parametrize("size", [12, 16, 50, chunks.CHUNK])
+def test_extrapolation_follows_the_rule(track, points, size):
     videos = [random_points(s, 200, 600, missing=m, zero=z, step=d) for s, (m, z, d) in enumerate(
         [(0.05, 0.0, 20), (0.1, 0.05, 40), (0.3, 0.0, 60), (0.02, 0.02, 150), (0.15, 0.0, 90), (0.0, 0.0, 5), (1.0, 0.0, 5)])]
     got = points(folds.smooth_gaps(track(*videos), size=size))
-    assert got == [gaps_by_loop(v) for v in videos]
+    assert got == [Extrapolated(v).all() for v in videos]
+
+
+@pytest.mark.parametrize("step", [9, 150])
+def test_a_periodic_gap_is_cut_into_many_parts(track, points, step):
+    """Each sixth point missing: no long run, yet the fold may start after most gaps of a steady track."""
+    steady = [p if i % 6 else NONE for i, p in enumerate(random_points(4, 300, 600, missing=0, step=step))]
+    ball = track(steady)
+    assert points(folds.smooth_gaps(ball, size=32)) == [Extrapolated(steady).all()]
+    safe = folds.safe_starts(ball, size=32).filter("safe").count()
+    assert safe > 40 if step == 9 else safe < 40
+
+
+def test_half_a_point_is_a_missing_point(track, points):
+    ball = xs([10, 12, 14, 16, 18]) + [(19.0, None)] + xs([22]) + [(None, 3.0)]
+    assert points(folds.smooth_gaps(track(ball))) == [xs([10, 12, 14, 16, 18, 20, 22, None])]
 
 
 def gated_by_loop(points, radius, inclusive, start):
@@ -315,23 +346,42 @@ def test_thinning_equals_the_loop(spark, size):
     assert got == sorted((v, *h) for v, hs in enumerate(videos) for h in thinned_by_loop(hs, 300))
 
 
-def test_piece_effects_say_where_any_state_ends():
+def points_of(rnd, n, span, fraction=True):
+    at = (lambda: rnd.uniform(0, span)) if fraction else (lambda: float(rnd.randint(0, span)))
+    return [NONE if rnd.random() < 0.2 else (at(), at()) for _ in range(n)]
+
+
+def test_exits_say_where_any_state_ends():
     rnd = random.Random(7)
-    for span, n in ((100, 200), (600, 200), (3000, 300)):
-        pts = [NONE if rnd.random() < 0.2 else (float(rnd.randint(0, span)), float(rnd.randint(0, span))) for _ in range(n)]
-        rows = list(folds.piece_effects(80.0, False)(iter([(1, f, *p) for f, p in enumerate(pts)])))
-        for _ in range(100):
-            state = (rnd.uniform(-50, span + 50), rnd.uniform(-50, span + 50))
+    for span, n in ((100, 200), (600, 200), (30000, 300)):
+        pts = points_of(rnd, n, span)
+        states = [(rnd.uniform(-50, span + 50), rnd.uniform(-50, span + 50)) for _ in range(100)]
+        rows = [(None, k, *s) for k, s in enumerate(states)] + [(f, None, *p) for f, p in enumerate(pts)]
+        found = {r[0]: r[3:] for r in folds.exits(80.0, False)(iter(rows))}
+        ends = set(folds.live_ends(80.0, False)(iter(pts)))
+        for k, state in enumerate(states):
             kept = [p for p in gated_by_loop(pts, 80, False, state) if p != NONE]
-            effect = next((r[3:] for r in rows if r[0] >= 0 and math.dist(r[1:3], state) < 80), state)
-            assert effect == (kept[-1] if kept else state)
+            assert found.get(k) == (kept[-1] if kept else None)
+            assert not kept or kept[-1] in ends
+
+
+@pytest.mark.parametrize("x", [300.0, 20000.0])
+def test_few_ends_however_many_rows_and_wherever(x):
+    """A resting ball with noise of a third of a pixel, and a moving one far out."""
+    rnd = random.Random(8)
+    resting = [(x + rnd.gauss(0, 0.3), 200 + rnd.gauss(0, 0.3)) for _ in range(32_000)]
+    assert len(list(folds.live_ends(80.0, False)(iter(resting)))) == 1
+    moving = [(x + 5 * abs(f % 200 - 100) + rnd.random(), 200 + 8 * abs(f % 120 - 60) + rnd.random()) for f in range(8_000)]
+    assert len(list(folds.live_ends(80.0, False)(iter(moving)))) < 40
 
 
-def test_summaries_of_a_piece_stay_small():
-    """On a track that covers the same ground again and again, few points can be the first to catch a state."""
-    pts = [(300.0 + 5 * abs(f % 200 - 100), 200.0 + 8 * abs(f % 120 - 60)) for f in range(20_000)]
-    rows = list(folds.piece_effects(80.0, False)(iter([(1, f, *p) for f, p in enumerate(pts)])))
-    assert len(rows) < 600
+@pytest.mark.parametrize("size", [4, 16])
+def test_gated_track_over_fractions_and_far_places(track, points, size):
+    rnd = random.Random(9)
+    videos = [[(p[0] + 12_000, p[1]) if p != NONE else p for p in points_of(rnd, 90, span)] for span in (150, 500, 3000)]
+    videos += [[(5.5, 5.5), *[NONE] * 40, (900.25, 1.0), (6.0, 6.0)]]
+    got = points(folds.follow_first_point(track(*videos), size=size))
+    assert got == [gated_by_loop(v, 100, True, None) for v in videos]
 
 
 # --- pieces ------------------------------------------------------------------------------
@@ -339,10 +389,28 @@ def test_summaries_of_a_piece_stay_small():
 
 def test_segments_do_not_depend_on_the_piece_size(track):
     ball = track(*[random_points(s, 400, 300, missing=0.3) for s in range(3)])
-    read = lambda size: sorted(tuple(r) for r in windows.ball_segments(ball, max_gap=3, keep=4, size=size).collect())
+    read = lambda size: sorted(tuple(r) for r in windows.ball_segments(ball, max_gap=3, size=size).collect())
     assert read(16) == read(chunks.CHUNK)
 
 
+def test_no_detected_point_is_left_out_of_the_segments(track):
+    still = [(100.0 + 0.25 * (k % 3), 50.0) for k in range(500)]
+    assert windows.ball_segments(track(still), size=64).filter("segment = 1").count() == 500
+
+
+def test_a_row_without_a_frame_is_refused(spark, track):
+    ball = track(xs([1, 2])).selectExpr("video_id", "if(frame = 1, null, frame) AS frame", "x", "y")
+    for run in (lambda: windows.moving_average(ball, ["x"]), lambda: fill.interpolate(ball), lambda: folds.smooth_gaps(ball)):
+        with pytest.raises(Exception, match="a row without frame"):
+            run().collect()
+
+
+def test_frames_below_zero_have_their_neighbours(track):
+    ball = track(xs([1, 2, 3, 4, 5, 6])).withColumn("frame", F.col("frame") - 3)
+    got = windows.difference(ball, ["x"], size=2).collect()
+    assert sorted((r["frame"], r["delta_x"]) for r in got) == [(-3, None), *((f, 1) for f in range(-2, 3))]
+
+
 def test_a_halo_wider_than_a_piece_is_refused(track):
     with pytest.raises(ValueError):
         windows.moving_average(track(xs([1, 2])), ["x"], window=5, size=2)
