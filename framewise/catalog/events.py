@@ -189,16 +189,20 @@ def _(t):
 
 
 def _streamed(t, operator):
-    """Run a streaming operator over the ball table, in several batches, and read its result."""
+    """Run a streaming operator over the ball table, in batches whose rows overlap in time, and read its result.
+
+    A row from far ahead comes last, so that the watermark passes all others.
+    """
     from framewise.streaming import tracks
 
     spark, folder = t.spark, work_folder(t.spark, "stream")
-    half = F.when(chunks.chunk_of("frame", 500) > 0, 1).otherwise(0)
-    for part in (0, 1):
-        t.track.filter(half == part).write.mode("append").parquet(f"{folder}/in")
+    part = F.floor((F.col("frame") + F.col("frame") % 7 * 20) / 500) % 2
+    end = spark.createDataFrame([(-1, 10**7, None, None)], t.track.schema)
+    for rows in (t.track.filter(part == 0), t.track.filter(part == 1), end):
+        rows.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(t.track.schema).parquet(f"{folder}/in")
         tracks.run_to_table(operator(stream), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").filter("video_id >= 0")
 
 
 def _with_state_store(t, operator):
@@ -218,14 +222,14 @@ def _register_streams():
     def _(t):
         from framewise.streaming import tracks
 
-        return _with_state_store(t, tracks.gated_track)
+        return _with_state_store(t, lambda stream: tracks.gated_track(stream, delay=100_000))
 
     @register("t2_streaming_ball_segments", query(
         "SELECT video_id, frame, x, y, segment FROM seg", "ball", extra={"seg": _SEGMENTS["seg"].format(gap=30)}))
     def _(t):
         from framewise.streaming import tracks
 
-        return _with_state_store(t, tracks.ball_segments)
+        return _with_state_store(t, lambda stream: tracks.ball_segments(stream, delay=100_000))
 
 
 _register_streams()

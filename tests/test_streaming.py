@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from framewise import schema
@@ -16,25 +18,40 @@ def state_store(spark):
 
 
 def feed(spark, operator, batches):
-    folder = work_folder(spark, "stream")
-    for batch in batches:
+    """Run the batches one after the other, and at last a row from far ahead, which lets all others pass."""
+    folder, late = work_folder(spark, "stream"), 0
+    end = spark.createDataFrame([(-1, 10**7, None, None)], schema.BALL)
+    for batch in [*batches, end]:
         batch.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(schema.BALL).parquet(f"{folder}/in")
-        tracks.run_to_table(operator(stream), f"{folder}/out", f"{folder}/checkpoint")
-    return sorted(tuple(r) for r in spark.read.parquet(f"{folder}/out").collect())
+        late += tracks.late_rows(tracks.run_to_table(operator(stream), f"{folder}/out", f"{folder}/checkpoint"))
+    rows = spark.read.parquet(f"{folder}/out").filter("video_id >= 0").collect()
+    return sorted(tuple(r) for r in rows), late
 
 
 POINTS = [(0, 0), (10, 0), (None, None), (500, 0), (60, 0), (150, 0), (400, 0)]
 
 
-def test_state_goes_on_in_the_next_batch(spark, track, state_store):
-    ball = track(POINTS, [(1, 1), (2, 2)])
-    got = feed(spark, tracks.gated_track, [ball.filter("frame < 3"), ball.filter("frame >= 3")])
-    assert got == sorted(tuple(r) for r in folds.follow_first_point(ball).select("video_id", "frame", "x", "y").collect())
+def test_rows_out_of_order_within_the_watermark_change_nothing(spark, track, state_store):
+    rnd = random.Random(2)
+    ball = track(POINTS, [(rnd.randint(0, 200), rnd.random()) for _ in range(60)])
+    rows = ball.collect()
+    rnd.shuffle(rows)
+    batches = [spark.createDataFrame(rows[k::3], schema.BALL) for k in range(3)]
+    got, late = feed(spark, lambda s: tracks.gated_track(s, delay=100), batches)
+    whole = folds.follow_first_point(ball).select("video_id", "frame", "x", "y").collect()
+    assert (got, late) == (sorted(tuple(r) for r in whole), 0)
 
 
-def test_late_rows_are_dropped(spark, track, state_store):
+def test_late_rows_are_counted(spark, track, state_store):
     ball = track(POINTS)
-    got = feed(spark, tracks.ball_segments, [ball.filter("frame <> 1"), ball.filter("frame = 1")])
+    got, late = feed(spark, lambda s: tracks.ball_segments(s, delay=2), [ball.filter("frame <> 1"), ball.filter("frame = 1")])
     on_time = windows.ball_segments(ball.filter("frame <> 1")).select("video_id", "frame", "x", "y", "segment")
-    assert got == sorted(tuple(r) for r in on_time.collect())
+    assert (got, late) == (sorted(tuple(r) for r in on_time.collect()), 1)
+
+
+def test_the_state_of_an_ended_track_is_removed(spark, track, state_store):
+    first, again = track(POINTS[:2]), track([(5, 5), (6, 6)]).selectExpr("video_id", "frame + 20000000 AS frame", "x", "y")
+    got, _ = feed(spark, tracks.ball_segments, [first, spark.createDataFrame([(-1, 10**7, None, None)], schema.BALL), again,
+                                                spark.createDataFrame([(-1, 3 * 10**7, None, None)], schema.BALL)])
+    assert [r[4] for r in got] == [1, 1, 1, 1]
