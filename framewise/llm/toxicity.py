@@ -3,8 +3,8 @@
 Labelled sentences that mention an identity term are repeated with each other term of its group, and the model is
 fitted to change its score as little as possible between the two, so that a neutral mention of a group says nothing.
 
-Labels are learned only from rows whose crc32 of the id as text isn't divisible by 5, through a sample of at most
-`sample` (20,000) labelled rows, chosen by a hash of the id. Of the features that tell the labels apart
+Labels are learned only from rows whose crc32 of the id as text isn't divisible by 5, through a sample of
+about `sample` (20,000) labelled ids, chosen by a hash of the id, one row of each. Of the features that tell the labels apart
 beyond chance, the `features` (4,096) best are used. The sample's rows, as lists of these, and the weights are all that
 passes through the driver. Every text is scored whole.
 
@@ -94,7 +94,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(toxic, features, swaps) of the rows that may be learned from, at most `sample`; the id isn't kept.
+    """(toxic, features, swaps) of the rows that may be learned from, about `sample`; the id isn't kept.
 
     swaps has, for each identity term of a text, the features that go and those that come with each other term.
     """
@@ -105,7 +105,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         share = int(2**31 * sample / n)
         one = one.where(F.pmod(F.xxhash64("label_id"), F.lit(2**31)) < share)
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(stored(one), "label_id").select("toxic", "text").limit(sample)
+    rows = texts.join(stored(one), "label_id").dropDuplicates(["label_id"]).select("toxic", "text")
     schema = pa.schema([("toxic", pa.int32()), ("features", pa.list_(pa.string())), ("swaps", pa.list_(pa.list_(pa.string())))])
 
     def run(batches):
@@ -183,9 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     def run(batches):
         numbers = lambda fs: [place[f] for f in fs if f in place]
         for batch in batches:
-            own = [numbers(fs) for fs in batch["features"].to_pylist()]
-            swapped = [[numbers(fs) for fs in s] for s in batch["swaps"].to_pylist()]
-            yield batch_of(schema, {"toxic": batch["toxic"], "own": own, "swapped": swapped})
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                own = [numbers(fs) for fs in part["features"].to_pylist()]
+                swapped = [[numbers(fs) for fs in s] for s in part["swaps"].to_pylist()]
+                yield batch_of(schema, {"toxic": part["toxic"], "own": own, "swapped": swapped})
 
     got = rows.mapInArrow(run, "toxic int, own array<int>, swapped array<array<int>>").orderBy("toxic", "own").collect()
     y = np.array([r["toxic"] for r in got], dtype=np.float64)
