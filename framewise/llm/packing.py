@@ -26,13 +26,16 @@ from framewise.llm.common import batch_of, stored
 
 SIZE = 2048
 SHARD = 32_768
-KEPT = 500_000
+KEPT = 800_000
 #: Fixed value: how byte-level BPE cuts texts before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: Texts whose chunks at single spaces may not be encoded one by one.
 _TOGETHER = re.compile(r"\s\s\s|\s\s\Z|<\|")
+#: What all of these have one of: white space beyond spaces and single line ends, or a special token's beginning.
+_RARE_SPACE = re.compile(r"[^\S \n]")
+_SIGNS = ("  ", "\n\n", " \n", "\n ", "<|")
 
 
 class Encoder:
@@ -53,22 +56,23 @@ class Encoder:
         core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
         class Kept(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                ids = array("I", core.encode_ordinary(chunk)).tobytes()
+            """Ids of a word with a space before it."""
+
+            def __missing__(self, word: str) -> bytes:
+                ids = array("I", core.encode_ordinary(" " + word)).tobytes()
                 if len(self) >= KEPT:
                     self.clear()
-                if len(chunk) <= 64:
-                    self[chunk] = ids
+                if len(word) <= 64:
+                    self[word] = ids
                 return ids
 
-        self.kept = Kept()
+        self.core, self.kept = core, Kept()
 
     def encode(self, text: str) -> bytes:
-        if _TOGETHER.search(text):
+        if (any(s in text for s in _SIGNS) or _RARE_SPACE.search(text)) and _TOGETHER.search(text):
             return array("I", self.of.encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.split(" ")
-        chunks = [first, *(" " + w for w in rest)] if first else [" " + w for w in rest]
-        return b"".join(map(self.kept.__getitem__, chunks))
+        return b"".join([array("I", self.core.encode_ordinary(first)).tobytes(), *map(self.kept.__getitem__, rest)])
 
 
 @cache
