@@ -162,6 +162,12 @@ def join_track(rows: DataFrame, dim: DataFrame, keys: Sequence[str] = KEYS, how:
     return rows.join(dim, list(keys), how)
 
 
+def join_pieces(rows: DataFrame, dim: DataFrame, keys: Sequence[str] = KEYS, how: str = "inner") -> DataFrame:
+    """The same for rows that are dealt by (keys, `_chunk`) before and after: they aren't shuffled for it."""
+    pieces = rows.select(*keys, "_chunk").distinct().join(dim, list(keys))
+    return rows.join(pieces, [*keys, "_chunk"], how)
+
+
 def running_total(
     df: DataFrame,
     col: str,

@@ -124,7 +124,7 @@ def mask_outliers(
     had = "_chunk" in df.columns
     rows = chunks.with_chunk(df, order, size)
     limit = quantile(rows.filter(F.col(order) > 0), dist, q, keys, out="threshold")
-    joined = chunks.join_track(rows, limit, keys, "left")
+    joined = chunks.join_pieces(rows, limit, keys, "left")
     masked = joined.withColumns({c: F.when(F.col(dist) < F.col("threshold"), F.col(c)) for c in cols})
     return masked if had else masked.drop("_chunk")
 

@@ -7,7 +7,8 @@ be folded at the same time:
 * the gated track has no such places. A first pass finds the few points that each piece may
   end with, further passes what becomes of these in the pieces after, a walk along that small
   table gives the state at each border, and a last pass folds the pieces;
-* hit thinning folds each piece on its own, then what is left across borders.
+* hit thinning folds each piece on its own, then, where a piece's first hit may still drop hits before
+  it, the pieces before, one at a time.
 
 Rows reach the Python worker in order and in batches; a fold never holds a whole piece.
 """
@@ -380,17 +381,24 @@ def thin_piece(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield 1, *hit, 0
 
 
-def thin_across(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Fold over the rows of `thin_piece` for all pieces of a track, in order."""
-    stack = []
-    for kind, frame, side, x, y, checks in rows:
-        if kind == 1:
+def thin_before(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Fold over (frame, side, x, y, checks, sender) of one piece: its hits, then the open checks of later pieces.
+
+    Yields as `thin_piece` does: checks that have used up the piece's hits stay open for the pieces before it.
+    """
+    stack, still_open = [], []
+    for frame, side, x, y, checks, sender in rows:
+        if sender is None:
             stack.append((frame, side, x, y))
             continue
         while checks > 0 and stack and math.dist((x, y), stack[-1][2:]) < TOO_CLOSE:
             stack.pop()
             checks -= 1
-    yield from stack
+        if checks > 0 and not stack:
+            still_open.append((0, frame, side, x, y, checks, sender))
+    yield from still_open
+    for hit in stack:
+        yield 1, *hit, 0, None
 
 
 def thin_hits(
@@ -406,11 +414,29 @@ def thin_hits(
     ends = ends.select(*keys, "_chunk", F.coalesce("_after", "_n").alias("_end"))
     rows = rows.withColumn("_next", F.lead(order).over(w)).join(ends, [*keys, "_chunk"])
     rows = rows.withColumn("_checks", F.coalesce("_next", "_end") - F.col(order))
-    point = {order: "long", "side": "int", "x": "double", "y": "double"}
+    hit = {order: "long", "side": "int", "x": "double", "y": "double"}
     thinned = fold_groups(
         rows, [*keys, "_chunk"], [order, "side"], [order, "side", "x", "y", "_checks"], thin_piece,
-        {"kind": "int"} | point | {"_checks": "long"},
-    )
-    return fold_groups(
-        thinned, keys, ["_chunk", "kind", order, "side"], ["kind", order, "side", "x", "y", "_checks"], thin_across, point
+        {"kind": "int"} | hit | {"_checks": "long"},
     )
+    thinned = stored(thinned.withColumn("_sender", F.when(F.col("kind") == 0, F.col("_chunk"))), "thinned")
+    checks = thinned.filter("kind = 0").drop("kind")
+    left = thinned.filter("kind = 1").select(*keys, "_chunk", *hit)
+    # A hit with checks left asks the nearest piece before that still has hits. Each round goes one such piece back.
+    while not checks.isEmpty():
+        pieces = stored(left.select(*keys, "_chunk").distinct(), "pieces")
+        last = checks.select(*keys, "_chunk").distinct().join(pieces.withColumnRenamed("_chunk", "_target"), list(keys))
+        last = last.filter(F.col("_target") < F.col("_chunk")).groupBy(*keys, "_chunk").agg(F.max("_target").alias("_target"))
+        sent = checks.join(last, [*keys, "_chunk"]).drop("_chunk").withColumnRenamed("_target", "_chunk")
+        asked = stored(sent, "sent")
+        reached = asked.select(*keys, "_chunk").distinct()
+        both = left.join(reached, [*keys, "_chunk"], "left_semi").unionByName(asked, allowMissingColumns=True)
+        folded = fold_groups(
+            both, [*keys, "_chunk"], ["_sender", order, "side"], [order, "side", "x", "y", "_checks", "_sender"], thin_before,
+            {"kind": "int"} | hit | {"_checks": "long", "_sender": "long"},
+        )
+        folded = stored(folded, "folded")
+        checks = folded.filter("kind = 0").drop("kind")
+        untouched = left.join(reached, [*keys, "_chunk"], "left_anti")
+        left = stored(untouched.unionByName(folded.filter("kind = 1").select(*keys, "_chunk", *hit)), "left")
+    return left.drop("_chunk")
