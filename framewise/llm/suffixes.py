@@ -140,7 +140,7 @@ def suffix_repeats(width: int):
 
 def byte_kind(width: int = WIDTH, gram: int = GRAM, **more) -> Kind:
     gram = max(8, min(gram, width))
-    return Kind(width, gram, (max(1, width // 12), 1), Bytes, lambda u: byte_grams(u, gram), suffix_repeats(width), **more)
+    return Kind(width, gram, (max(1, width // 12), max(1, width // 100), 1), Bytes, lambda u: byte_grams(u, gram), suffix_repeats(width), **more)
 
 
 RESULT = pa.schema(

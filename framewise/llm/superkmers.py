@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from framewise.llm.common import batch_of, keyed, released, squeezed, stored, whole_groups, with_keys
 
-CROWD = 400
+#: Strings of a bucket that one task sorts at most: with a few hundred bytes each, some seconds' work.
+CROWD = 4096
 #: Windows of a super-k-mer at most.
 SEGMENT = 1 << 16
 ROWS = pa.schema(
