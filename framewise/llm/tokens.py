@@ -20,7 +20,7 @@ from framewise.llm.common import batch_of
 
 SPACE = "▁"
 LIMIT = 4096
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 COUNTS_DDL = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -34,7 +34,8 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = [i for i in range(len(model)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         self.score = {model.id_to_piece(i): model.get_score(i) for i in ids}
-        self.tails = {p[k:] for p in self.score for k in range(len(p))}
+        #: All ends of pieces, and whether they are pieces themselves.
+        self.tails = {p[k:]: p[k:] in self.score for p in self.score for k in range(len(p))}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, int] = {}
 
@@ -50,45 +51,69 @@ class Vocabulary:
 
     def follows(self, a: str, b: str) -> bool:
         """Whether a and b stay two tokens next to each other."""
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return ok
 
-    def counts(self, word: str) -> list[int]:
-        """The token count of each prefix of a text that starts at a cut, the empty one first."""
-        last, count, score, tails = [""], [0], self.score, self.tails
-        for end in range(1, len(word) + 1):
-            found = None
+    def extend(self, word: str, last: list[str], count: list[int]) -> None:
+        """Last token and token count of each prefix of a text that starts at a cut, from where the lists end."""
+        tails, pairs = self.tails, self.pairs
+        for end in range(len(last), len(word) + 1):
             for start in range(end - 1, -1, -1):
                 piece = word[start:end]
-                if piece not in tails:
+                whole = tails.get(piece)
+                if whole is None:  # nothing that ends so is a piece: a character without one goes as its bytes
+                    start = end - 1
+                    cost = len(word[start].encode())
                     break
-                if piece in score and (not start or self.follows(last[start], piece)):
-                    found = start
-            if found is None:  # a character without a piece goes as its bytes
-                found = end - 1
-                cost = len(word[found].encode())
+                if whole:
+                    before = last[start]
+                    ok = pairs.get((before, piece)) if before else True
+                    if ok or ok is None and self.follows(before, piece):
+                        cost = 1
+                        break
             else:
-                cost = 1
-            last.append(word[found:end])
-            count.append(count[found] + cost)
+                start = end - 1
+                cost = len(word[start].encode())
+            last.append(word[start:end])
+            count.append(count[start] + cost)
+
+    def counts(self, word: str) -> list[int]:
+        """The token count of each prefix, the empty one first."""
+        last, count = [""], [0]
+        self.extend(word, last, count)
         return count
 
-    def total(self, word: str) -> int:
-        n = self.words.get(word)
-        if n is None:
-            n = self.counts(word)[-1]
-            if len(word) <= 64:
-                if len(self.words) >= KEPT_WORDS:
-                    self.words.clear()
-                self.words[word] = n
-        return n
+    def learn(self, words: set[str]) -> None:
+        """Totals of new words; in order, so that each goes on from the prefix it shares with the one before."""
+        before, last, count = "", [""], [0]
+        for word in sorted(words):
+            same = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            self.extend(word, last, count)
+            self.words[word] = count[-1]
+            before = word
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """The token count of each text."""
+        if len(self.words) >= KEPT_WORDS:
+            self.words.clear()
+        known, cut = self.words, [cuts(t) for t in texts]
+        new = {w for words in cut for w in words if w not in known}
+        self.learn(new)
+        out = [sum(map(known.__getitem__, words)) for words in cut]
+        for word in new:
+            if len(word) > 64:
+                del known[word]
+        return out
 
     def count(self, text: str) -> int:
-        return sum(map(self.total, cuts(text)))
+        return self.totals([text])[0]
 
     def prefix_counts(self, text: str) -> list[int]:
         """The token count of every prefix of text, from the empty one to all of it."""
@@ -120,9 +145,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            n = [v.count(t) for t in texts]
-            yield batch_of(COUNTS, {"doc_id": batch["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n]})
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part["text"].to_pylist()
+                n = v.totals(texts)
+                columns = {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n]}
+                yield batch_of(COUNTS, {"doc_id": part["doc_id"]} | columns)
 
     return _texts(docs).mapInArrow(run, COUNTS_DDL)
 
