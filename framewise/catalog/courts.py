@@ -214,7 +214,7 @@ def _(t):
 
 
 @register("q16_velocity_samples", query(
-    f"""SELECT b.video_id, b.frame, b.x, b.y, vx, {r('vy', 5)} AS vy, COALESCE(n.near_hand, FALSE) AS near_hand,
+    f"""SELECT b.video_id, b.frame, b.x, b.y, vx, {r('vy', 9)} AS vy, COALESCE(n.near_hand, FALSE) AS near_hand,
       trunc({project('b.x', 'b.y', 0)})::INT AS map_x, trunc({project('b.x', 'b.y', 1)})::INT AS map_y
     FROM (SELECT *, x - lag(x) OVER w AS vx, (y - lag(y) OVER w) * (1 + ({FRAME_H} - y) * 0.4::DOUBLE / {FRAME_H}) AS vy FROM ball
       WINDOW w AS (PARTITION BY video_id ORDER BY frame)) b
@@ -222,7 +222,7 @@ def _(t):
       ON b.video_id = n.video_id AND b.frame = n.frame
     JOIN video_h v ON b.video_id = v.video_id WHERE vx IS NOT NULL""", "hand_dist", "video_h"))
 def _(t):
-    return rounded(hits.velocity_samples(t.track, t.hands, geometry.video_homography(t.kps), FRAME_H), "vy", digits=5)
+    return rounded(hits.velocity_samples(t.track, t.hands, geometry.video_homography(t.kps), FRAME_H), "vy", digits=9)
 
 
 # --- overlay -----------------------------------------------------------------------------

@@ -156,11 +156,11 @@ def _(t):
 
 @register("p19_perspective_velocity", query(
     f"""SELECT video_id, frame, x - lag(x) OVER w AS vx,
-      {r(f'(y - lag(y) OVER w) * (1 + ({FRAME_H} - y) * 0.4::DOUBLE / {FRAME_H})', 5)} AS vy
+      {r(f'(y - lag(y) OVER w) * (1 + ({FRAME_H} - y) * 0.4::DOUBLE / {FRAME_H})', 9)} AS vy
     FROM ball WINDOW w AS (PARTITION BY video_id ORDER BY frame)""", "ball"))
 def _(t):
     cols = lambda w: {
         "vx": _c("x") - F.lag("x").over(w),
         "vy": P.perspective_velocity(_c("y"), _c("y") - F.lag("y").over(w), FRAME_H),
     }
-    return rounded(windowed(t.track, cols, 1).drop("x", "y"), "vy", digits=5)
+    return rounded(windowed(t.track, cols, 1).drop("x", "y"), "vy", digits=9)
