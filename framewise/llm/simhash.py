@@ -134,20 +134,20 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(kid, kth, doc_id, fp, component_id): one row per row of docs."""
+    """(kid, kth, doc_id, fp, component_id, root): one row per row of docs; root is a number of the component."""
     prints = stored(fingerprints(docs))
     nodes = stored(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")).withColumn("node", F.monotonically_increasing_id()))
     members = components(links(nodes, crowd), "a", "b")
     placed = nodes.join(members, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("first").alias("low"))
     component = F.when(F.col("low") != NO_ID, F.col("low")).alias("component_id")
-    return prints.join(placed.join(lowest, "root").select("fp", component), "fp").select("kid", "kth", "doc_id", "fp", "component_id")
+    return prints.join(placed.join(lowest, "root").select("fp", component, "root"), "fp").select("kid", "kth", "doc_id", "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """docs with one row of each component: that with the smallest id (null ids last, ties by text)."""
     found = near_duplicates(docs, crowd)
     order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "kth", "kid")
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(order).alias("k"))
+    kept = found.groupBy("root").agg(F.min(order).alias("k"))
     kept = kept.select(F.col("k.kid").alias("__kid"), F.col("k.kth").alias("__kth"))
     return with_keys(docs).join(kept, ["__kid", "__kth"]).dropDuplicates(["__kid", "__kth"]).select(*docs.columns)
