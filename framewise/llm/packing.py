@@ -26,7 +26,7 @@ from framewise.llm.common import batch_of, stored
 
 SIZE = 2048
 SHARD = 32_768
-KEPT = 800_000
+KEPT = 250_000
 #: Fixed value: how byte-level BPE cuts texts before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])

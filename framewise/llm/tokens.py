@@ -20,7 +20,7 @@ from framewise.llm.common import batch_of
 
 SPACE = "▁"
 LIMIT = 4096
-KEPT_WORDS = 800_000
+KEPT_WORDS = 600_000
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 COUNTS_DDL = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 

@@ -29,7 +29,7 @@ FEATURES = 4096
 #: Log likelihood that a feature must explain, about 3.5 standard errors; less is likely chance.
 LEAST_GAIN = 6.0
 FOLDS = 5
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 BEGINNINGS = (3, 4, 5, 6)
 #: Terms that name a group of people; a term may be swapped for any other of its line.
 IDENTITY = (
