@@ -17,7 +17,6 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,26 +199,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     return Model(bias, {f: float(x) for f, x in zip(chosen, w) if abs(x) > 1e-6})
 
 
-def score(model: Model):
-    """The score of a text column."""
-
-    @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: model.score(t or ""))
-
-    return of
+def _scores(model: Model, texts: pa.Array) -> list[float]:
+    """The scores of a batch; its texts become Python strings a few at a time."""
+    return [model.score(t or "") for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of docs."""
     model = model or fit(docs, labels)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(model)(text).alias("score"))
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            yield batch_of(schema, {"doc_id": batch["doc_id"], "score": _scores(model, batch["text"])})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = texts.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """docs without the rows whose score is 0.5 or more."""
     model = model or fit(docs, labels)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("__score", score(model)(text)).where("__score < 0.5").select(*docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([s < 0.5 for s in _scores(model, batch["text"])], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
