@@ -144,10 +144,14 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     return prints.join(placed.join(lowest, "root").select("fp", component, "root"), "fp").select("kid", "kth", "doc_id", "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """docs with one row of each component: that with the smallest id (null ids last, ties by text)."""
-    found = near_duplicates(docs, crowd)
+def smallest_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each component in found (kid, kth, doc_id, root); see one_of_each."""
     order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "kth", "kid")
     kept = found.groupBy("root").agg(F.min(order).alias("k"))
     kept = kept.select(F.col("k.kid").alias("__kid"), F.col("k.kth").alias("__kth"))
     return with_keys(docs).join(kept, ["__kid", "__kth"]).dropDuplicates(["__kid", "__kth"]).select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """docs with one row of each component: that with the smallest id (null ids last, ties by text)."""
+    return smallest_of_each(docs, near_duplicates(docs, crowd))
