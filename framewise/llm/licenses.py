@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm.common import batch_of
+from framewise.llm.notices import NOTICES
 
 STEMS = ("licen", "lizen", "copyright", "warrant", "permission", "redistribut", "public domain", "spdx")
-#: Public notices, by the usual short names. Each holds a stem.
+#: Public notices, by the usual short names, and the canonical texts and headers. Each holds a stem.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -45,7 +46,7 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-}
+} | NOTICES
 DIFFER = 0.1
 #: Words that tell one licence from another, as numbers do.
 STRICT = {"affero", "later", "lesser"}
