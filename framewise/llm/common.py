@@ -50,10 +50,20 @@ def released(frame: bytes | pa.Buffer) -> bytes:
     return zstandard.ZstdDecompressor().decompress(frame)
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): all columns but text are in row, a struct, where helper columns can't clash with them."""
+    return docs.select("doc_id", "text", F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != "text")).alias("row"))
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """The columns of docs, from whole_rows."""
+    return [F.col(c) if c == "text" else F.col("row")[c].alias(c) for c in columns]
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
     """docs with __kid and __kth: rows with equal id and text share a key, and so do their results.
 
-    A null id is a value like any other.
+    A null id is a value like any other. docs must not have columns of these names, see whole_rows.
     """
     keys = {"__kid": F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), "__kth": F.xxhash64(text_of(docs))}
     return docs.withColumns(keys)
@@ -61,7 +71,7 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(kid, kth, doc_id, text) of docs, see with_keys; a null text is an empty one."""
-    keys = with_keys(docs)
+    keys = with_keys(docs.select("doc_id", "text"))
     return keys.select(F.col("__kid").alias("kid"), F.col("__kth").alias("kth"), F.col("doc_id").cast("long").alias("doc_id"), text_of(keys).alias("text"))
 
 

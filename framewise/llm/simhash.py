@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, components, keyed, roots, stored, whole_groups, with_keys
+from framewise.llm.common import batch_of, components, keyed, roots, stored, unpacked, whole_groups, whole_rows, with_keys
 
 SEED = 42
 BITS = 2
@@ -149,7 +149,8 @@ def smallest_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "kth", "kid")
     kept = found.groupBy("root").agg(F.min(order).alias("k"))
     kept = kept.select(F.col("k.kid").alias("__kid"), F.col("k.kth").alias("__kth"))
-    return with_keys(docs).join(kept, ["__kid", "__kth"]).dropDuplicates(["__kid", "__kth"]).select(*docs.columns)
+    rows = with_keys(whole_rows(docs)).join(kept, ["__kid", "__kth"]).dropDuplicates(["__kid", "__kth"])
+    return rows.select(*unpacked(docs.columns))
 
 
 def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, released
+from framewise.llm.common import batch_of, released, unpacked
 from framewise.llm.superkmers import Bucket, Kind, Units, covered, with_runs
 
 WIDTH = 35
@@ -137,7 +137,8 @@ def without_repeats(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
 
     runs = with_runs(docs, kind or word_kind())
     out = runs.withColumn("text", kept("text", "runs"))
-    if "n_chars" in docs.columns:
+    columns = dict(zip(docs.columns, unpacked(docs.columns)))
+    if "n_chars" in columns:
         n = F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("runs").isNull(), F.col("n_chars")).otherwise(n))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("runs").isNull(), F.col("row")["n_chars"]).otherwise(n).alias("n_chars")
+    return out.select(*columns.values())

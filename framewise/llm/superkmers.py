@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, keyed, released, squeezed, stored, whole_groups, with_keys
+from framewise.llm.common import batch_of, keyed, released, squeezed, stored, whole_groups, whole_rows, with_keys
 
 #: Strings of a bucket that one task sorts at most: with a few hundred bytes each, some seconds' work.
 CROWD = 4096
@@ -289,9 +289,9 @@ def covered(runs: list, n: int) -> np.ndarray:
 
 
 def with_runs(docs: DataFrame, kind: Kind) -> DataFrame:
-    """docs with `runs`, the runs of units to remove, null where there are none; its text is squeezed."""
+    """whole_rows of docs with `runs`, the runs of units to remove, null where there are none; text is squeezed."""
     runs = repeated_runs(keyed(docs), kind).groupBy(F.col("kid").alias("__kid"), F.col("kth").alias("__kth"))
     runs = runs.agg(F.collect_set(F.struct("first", "end")).alias("runs"))
-    rows = with_keys(docs.drop("runs"))
+    rows = with_keys(whole_rows(docs))
     rows = rows.withColumn("text", squeezed(rows["text"].cast("string")))
     return rows.join(runs, ["__kid", "__kth"], "left").drop("__kid", "__kth")
