@@ -198,4 +198,4 @@ def _(t):
     f"""SELECT video_id, track_id, {r('min_dist')} AS min_dist, row_number() OVER (PARTITION BY video_id ORDER BY min_dist, det_idx)::INT AS rank
     FROM (SELECT video_id, track_id, min(dist) AS min_dist, min(det_idx) AS det_idx FROM first_pairs GROUP BY ALL)""", "first_pairs"))
 def _(t):
-    return rounded(S.choose_players(S.player_boxes(t.players), t.kps, k=100).drop("det_idx"), "min_dist")
+    return rounded(S.choose_players(S.player_boxes(t.players), t.kps, k=None).drop("det_idx"), "min_dist")

@@ -84,12 +84,13 @@ def nearest_point_distance(
 
 
 def choose_players(
-    players: DataFrame, points: DataFrame, k: int = 2, keys: Sequence[str] = KEYS, order: str = ORDER
+    players: DataFrame, points: DataFrame, k: int | None = 2, keys: Sequence[str] = KEYS, order: str = ORDER
 ) -> DataFrame:
-    """The k players nearest to a court point in frame 0; ties by order of appearance."""
+    """The k players nearest to a court point in frame 0, all where k is None; ties by order of appearance."""
     nearest = nearest_point_distance(players, points, keys, order)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("min_dist", "det_idx"))
-    return nearest.withColumn("rank", rank).filter(F.col("rank") <= k)
+    ranked = nearest.withColumn("rank", rank)
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def keep_tracks(players: DataFrame, chosen: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
