@@ -3,7 +3,7 @@
 A frame's time follows from its number and the frame rate. Rows may arrive out of order: they wait until the
 watermark, which is `delay` frames behind the newest row, has passed them, and are then taken in frame order. A row
 that comes when the watermark has passed its frame is late; Spark leaves it out and counts it in the progress of the
-query (see `late_rows`). Of two rows of a frame one is taken. A track that gets no row for `idle` frames has ended,
+query (see `late_rows`). Rows of the same frame are all taken, by x, then y, missing ones last. A track that gets no row for `idle` frames has ended,
 and its state is removed; what comes after starts a new one.
 
 What is held for a track is one point, a number, and the rows that wait: as many as `delay` frames have.
@@ -58,15 +58,15 @@ class _TrackProcessor(StatefulProcessor):
     def _go_on(self, key, timerValues) -> Iterator[pd.DataFrame]:
         """Take the rows that the watermark has passed; wake up for the next one, or at the end of the track."""
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(map(tuple, self.waiting.get()), key=lambda r: r[0])
+        waiting = sorted(map(tuple, self.waiting.get()), key=lambda r: (r[0], *(math.inf if v is None else v for v in r[1:])))
         newest, *last, segment = self.state.get() if self.state.exists() else (-1, None, None, None, 0)
         last = None if last[0] is None else tuple(last)
-        out, later = [], []
+        out, later, taken = [], [], newest
         for frame, x, y in waiting:
             if _millis(frame) > passed:
                 later.append((frame, x, y))
                 continue
-            if frame <= newest:
+            if frame <= taken:  # came late: Spark has left such rows out and counted them
                 continue
             row, last, segment = self.step(frame, None if x is None or y is None else (frame, x, y), last, segment)
             newest = frame
