@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe, decontaminate, embeddings, licenses, packing, simhash, substring, suffixes, tokens, topk, toxicity
+from framewise.llm import bpe, conversations, decontaminate, embeddings, licenses, packing, simhash, substring, suffixes, tokens, topk, toxicity
 from framewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document words inside 10-word windows of benchmark items."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations, after damage."""
+    return conversations.repair(table(spark, sf_dir, "conversations"))
