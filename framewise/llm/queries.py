@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe, conversations, decontaminate, embeddings, licenses, packing, simhash, substring, suffixes, tokens, topk, toxicity
+from framewise.llm import alignment, bpe, conversations, decontaminate, embeddings, licenses, packing, simhash, substring, suffixes, tokens, topk, toxicity
 from framewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of all conversations, after damage."""
     return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+@register("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between byte-level and sentencepiece tokens of all documents. No twin: tokenizers aren't in SQL."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment(table(spark, sf_dir, "documents"), *paths)
