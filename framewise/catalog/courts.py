@@ -283,25 +283,13 @@ def _moving_tables() -> dict[str, str]:
 
 
 @register("o2_mini_map_of_moving_camera", query(
-    f"""SELECT video_id, frame, layer, item, bounce, abs(mx - round(mx)) < 0.001 AS edge, CASE WHEN abs(mx - round(mx)) >= 0.001 THEN trunc(mx)::INT END AS map_x,
-      CASE WHEN abs(my - round(my)) >= 0.001 THEN trunc(my)::INT END AS map_y FROM ({_MOVING_MAP})""",
+    f"SELECT video_id, frame, layer, item, bounce, {r('mx', 3)} AS map_x, {r('my', 3)} AS map_y FROM ({_MOVING_MAP})",
     "player_boxes", "fill_compat", "flat_moved", extra=_moving_tables()))
 def _(t):
-    """Places that fall on whole pixels are left out: a fit may put them on either side."""
+    """Places to three digits: whole pixels would differ where a fit puts a place just beside one."""
     m = Match(t.track, t.players, t.flat, moving=True)
-    frames = t.frames
-    held = camera.refreshed_homography(t.flat, frames).select("video_id", "frame", (F.col("h")[2] * -0.875).alias("shift"))
-    from framewise.functions.points import centre_x, centre_y
-
-    players = m.players.select("video_id", "frame", F.lit("player").alias("layer"), F.col("track_id").cast("string").alias("item"),
-                               centre_x(F.col("x1"), F.col("x2")).alias("x"), centre_y(F.col("y1"), F.col("y2")).alias("y"))
-    balls = m.filled.select("video_id", "frame", F.lit("ball").alias("layer"), F.lit("ball").alias("item"), "x", "y")
-    at = players.unionByName(balls).join(held, ["video_id", "frame"])
-    exact = at.select("video_id", "frame", "layer", "item", ((F.col("x") - F.round("shift")) / 0.875).alias("ex"), ((F.col("y") - 20) / 0.375).alias("ey"))
-    out = m.mini_map.join(exact, ["video_id", "frame", "layer", "item"])
-    off = lambda c: F.abs(F.col(c) - F.round(c)) >= 0.001
-    return out.select("video_id", "frame", "layer", "item", "bounce", (~off("ex")).alias("edge"),
-                      F.when(off("ex"), F.col("map_x")).alias("map_x"), F.when(off("ey"), F.col("map_y")).alias("map_y"))
+    places = overlay.mini_map(m.players, m.filled, m.bounces, m.matrices, whole=False)
+    return rounded(places, "map_x", "map_y", digits=3)
 
 
 @register("o2_mini_map_with_scored_bounces", query(

@@ -68,10 +68,16 @@ def _(t):
 
 @register("j2_complete_frames", query(
     """SELECT b.video_id, b.frame, kp_idx, k.x, k.y FROM ball b
-    LEFT JOIN (SELECT * FROM kps_seen WHERE kp_idx > 2) k ON b.video_id = k.video_id AND b.frame = k.frame""", "kps_seen"))
+    LEFT JOIN kps_seen k ON b.video_id = k.video_id AND b.frame = k.frame""", "kps_seen"))
 def _(t):
-    """Court points beyond the third; all of them are lost in some frames, which stay."""
-    return tables.complete_frames(t.frames, t.kps_seen.filter("kp_idx > 2"))
+    """All court points that are seen."""
+    return tables.complete_frames(t.frames, t.kps_seen)
+
+
+@register("j2_complete_frames_of_ball", query("SELECT video_id, frame, x, y FROM ball", "ball"))
+def _(t):
+    """The detector has no row where it sees no ball; these frames come back as missing points."""
+    return tables.complete_frames(t.frames, t.track.dropna(subset=["x", "y"]))
 
 
 @register("j3_first_frame_distances", query(
@@ -186,8 +192,9 @@ def _(t):
 
 
 @register("o4_common_labels", query(
-    """SELECT a.video_id, a.frame, a.kp_idx FROM kps_seen a JOIN kps_seen b
-    ON a.video_id = b.video_id AND a.frame = b.frame + 1 AND a.kp_idx = b.kp_idx""", "kps_seen"))
+    """SELECT video_id, frame, kp_idx FROM (SELECT video_id, frame, kp_idx, 0 AS later FROM kps_seen
+    UNION ALL SELECT video_id, frame + 1, kp_idx, 1 FROM kps_seen) GROUP BY video_id, frame, kp_idx
+    HAVING min(later) < max(later)""", "kps_seen"))
 def _(t):
     """Labels that a frame shares with the one before."""
     labels = t.kps_seen.select("video_id", "frame", "kp_idx")

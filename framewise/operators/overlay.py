@@ -63,8 +63,9 @@ def mini_map(
     matrices: DataFrame,
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
+    whole: bool = True,
 ) -> DataFrame:
-    """Player centres and ball on the court map, in whole pixels; `bounce` marks ball rows of bounce frames."""
+    """Player centres and ball on the court map, in whole pixels if `whole`; `bounce` marks ball rows of bounce frames."""
     centres = players.select(
         *keys, order, F.lit("player").alias("layer"), F.col("track_id").cast("string").alias("item"),
         centre_x(F.col("x1"), F.col("x2")).cast("double").alias("x"),
@@ -75,7 +76,7 @@ def mini_map(
         F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"),
     )
     points = centres.unionByName(balls).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    mapped = project_points(points, matrices, as_int=True, keys=keys, order=order)
+    mapped = project_points(points, matrices, as_int=whole, keys=keys, order=order)
     flagged = flag_frames(mapped, bounces, "bounce", keys, order)
     return flagged.select(
         *keys, order, "layer", "item", "map_x", "map_y", ((F.col("layer") == "ball") & F.col("bounce")).alias("bounce")
