@@ -63,3 +63,17 @@ def reachable(n, links):
                 root[x] = start
                 todo += near[x]
     return [root[k] for k in range(n)]
+
+
+def shingles(text):
+    words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def components(texts):
+    sets = [shingles(t) for t in texts]
+    return reachable(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j])])

@@ -8,7 +8,6 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from framewise.llm import toxicity
 from tests.llm import brute
-from tests.llm.test_near_duplicates import expected
 from tests.llm.test_texts import ODD
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,7 +30,7 @@ def plain(rows, model):
     rows = [r for r in rows if model.score(r[1] or "") < 0.5]
     last = 2**63 - 1
     ordered = sorted(rows, key=lambda r: last if r[0] is None else r[0])
-    root = [c for _, c in expected([t for _, t in ordered])]
+    root = brute.components([t for _, t in ordered])
     rows = [r for k, r in enumerate(ordered) if root[k] == k]
     left = brute.substrings(rows)
     return [(i, text if removed else given) for (i, given), (_, _, removed, text) in zip(rows, left)]

@@ -183,7 +183,7 @@ def test_licenses(spark):
     rows = licenses.license_blocks(table(spark, texts)).collect()
     got = sorted((r.doc_id, r.line, r.n_lines, r.license) for r in rows if r.confirmed)
     assert got == [(0, 1, 1, "Apache-2.0"), (1, 0, 1, "Apache-2.0"), (3, 0, 1, "GPL-2.0"), (3, 1, 1, "MIT"), (4, 1, 2, "MIT-text")]
-    assert sorted((r.doc_id, r.license) for r in rows if not r.confirmed and r.doc_id == 2) == [(2, "Apache-2.0")]
+    assert sorted((r.doc_id, r.license) for r in rows if not r.confirmed and r.doc_id == 2) == [(2, "Apache-2.0-header")]
     assert {r.doc_id for r in rows} == {0, 1, 2, 3, 4, 5}
     assert all(r.given_size < r.plain_size for r in rows if r.confirmed)
     with pytest.raises(ValueError):
