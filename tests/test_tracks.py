@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,35 @@ def test_moving_average_skips_missing_values(track, points):
     assert points(got, "x_ma") == [[(None,), (None,), (4.0,), (4.0,)]]
 
 
+def spread(kind, n):
+    """Distinct values that lie in one 1/4096 of an octave, evenly or at one end of it."""
+    k = F.col("id")
+    if kind == "even":
+        return 1 + k * (2.0**-13 / n)
+    return F.when(k == 0, 1 + 2.0**-13).otherwise(1 + k * (2.0**-26 / n))
+
+
+@pytest.mark.parametrize("kind", ["even", "at one end"])
+def test_quantile_of_values_in_one_range(spark, kind):
+    """A million values in the range of the first level: what is left to sort is small, after a level more also where they crowd."""
+    n = 1_000_000
+    df = spark.range(n).select(F.floor(F.col("id") % 10 / 9).alias("video_id"), spread(kind, n).alias("x"))
+    left = quantiles.narrowed(df, "x", 0.95, levels=2 if kind == "even" else 3)
+    assert (left.groupBy("video_id").count().agg({"count": "max"}).first()[0] or 0) <= n // 500
+    got = dict(quantiles.quantile(df, "x", 0.95).collect())
+    values = df.toPandas()
+    for video, own in values.groupby("video_id")["x"]:
+        assert got[video] == np.quantile(own, 0.95)
+
+
+def test_quantile_of_few_values(spark):
+    rows = [(1, 5.0), (2, None), (3, -1.0), (3, -1.0), (3, 2.0), (4, 0.0), (4, -0.0), (5, -3.0), (5, -8.0), (5, 1e300), (5, 5e-324)]
+    df = spark.createDataFrame(rows, "video_id long, x double")
+    for q in (0.0, 0.3, 0.5, 0.95, 1.0):
+        got = dict(quantiles.quantile(df, "x", q).collect())
+        assert got == {v: np.quantile([x for w, x in rows if w == v], q) for v in (1, 3, 4, 5)}
+
+
 def test_quantile_is_linear_between_ranks(track):
     df = track(xs([1, 2, 3, 4]), xs([5]), xs([0, 0, 0, -8, None]))
     got = {r["video_id"]: r["quantile"] for r in quantiles.quantile(df, "x", 0.95).collect()}
