@@ -21,17 +21,22 @@ def turning_flags(
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
     size: int = CHUNK,
+    keep: Sequence[str] = (),
+    complete: bool = False,
 ) -> DataFrame:
-    """Add `turn`: the smoothed step changes sign here and mostly keeps the new sign.
+    """Add `turn`: the smoothed step changes sign here and mostly keeps the new sign. Columns in `keep` are handed on.
+
+    Gaps are filled first. With `complete` a track has no gaps (or no values at all), and what lies beyond a piece
+    and its neighbours' rows isn't looked up.
 
     Of the next 30 (1.2 times `min_changes`) steps at least `min_changes` must have the new
     sign; zero steps count for neither, and the last 30 frames have no event.
     """
     ahead = int(min_changes * 1.2)
-    rows = chunks.chunked(
-        ball.select(*keys, order, col), keys, order, before=window, after=ahead + 1, carry=[col], size=size
-    )
-    rows = fill_columns(rows, [col], keys, order)
+    carry = [] if complete else [col]
+    rows = chunks.chunked(ball.select(*keys, order, col, *keep), keys, order, before=window, after=ahead + 1, carry=carry, size=size)
+    if not complete:
+        rows = fill_columns(rows, [col], keys, order)
     w = asc(keys, order)
     rows = rows.withColumn("_ma", F.avg(col).over(w.rowsBetween(1 - window, 0)))
     rows = rows.withColumn("delta", F.col("_ma") - F.lag("_ma").over(w))

@@ -5,6 +5,7 @@ from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from framewise.operators import camera, fill, geometry, models, overlay, select, turning
 from framewise.operators.chunks import CHUNK
@@ -52,7 +53,7 @@ class Match:
 
     @cached_property
     def turns(self) -> DataFrame:
-        return turning.turning_points(self.filled, size=self.size)
+        return turning.turning_points(self.filled, size=self.size, complete=True)
 
     @cached_property
     def bounces(self) -> DataFrame:
@@ -61,6 +62,14 @@ class Match:
             return self._kept(self.turns, "bounces")
         return self._kept(models.predict_bounces(self.ball, self.scorer, size=self.size), "bounces")
 
+    @cached_property
+    def track(self) -> DataFrame:
+        """The filled track with `bounce` for each frame: all that is drawn of the ball comes from it."""
+        if self.scorer is None and "bounces" not in self.__dict__:
+            flagged = turning.turning_flags(self.filled, size=self.size, keep=["x"], complete=True)
+            return self._kept(flagged.select("video_id", "frame", "x", "y", F.col("turn").alias("bounce")), "track")
+        return select.flag_frames(self.filled, self.bounces, "bounce")
+
     @cached_property
     def matrices(self) -> DataFrame:
         """One matrix per video, or per frame where the camera moves."""
@@ -71,19 +80,16 @@ class Match:
 
     @cached_property
     def mini_map(self) -> DataFrame:
-        return overlay.mini_map(self.players, self.filled, self.bounces, self.matrices)
+        return overlay.mini_map_of_track(self.players, self.track, self.matrices)
 
     @cached_property
     def overlay(self) -> DataFrame:
-        frames = self.ball.select("video_id", "frame")
+        """Each source is read for all of its layers at once."""
         return overlay.overlay(
             [
                 overlay.point_layer(self.court),
-                overlay.ball_layer(self.filled),
-                overlay.player_layer(self.players),
-                overlay.frame_number_layer(frames),
-                overlay.bounce_layer(self.bounces, self.filled),
-                overlay.map_layer(self.mini_map),
-                overlay.court_layer(frames),
+                overlay.track_layers(self.track, self.matrices),
+                overlay.player_layers(self.players, self.matrices),
+                overlay.court_layer(self.ball.select("video_id", "frame")),
             ]
         )

@@ -468,3 +468,14 @@ def test_plans_never_window_over_a_whole_track(spark, track):
     for line in lines:
         per_track = "windowspecdefinition(video_id" in line and ", _chunk#" not in line.split("windowspecdefinition(video_id")[1].split("ASC")[0]
         assert not per_track or "_y_" in line
+
+
+@pytest.mark.parametrize("size", [40, 65536])
+def test_turning_points_of_a_filled_track(spark, track, size):
+    """Without the look beyond a piece, a filled track turns at the same frames; an empty track has none."""
+    tracks = [[(100.0 + k, 300.0 + 8 * abs(k % 120 - 60)) for k in range(500)], [NONE] * 60, random_points(3, 400)]
+    filled = fill.fill_ball(track(*tracks), mode="strict", size=size)
+    want = turning.turning_flags(filled, size=size).select("video_id", "frame", "turn")
+    got = turning.turning_flags(filled, size=size, keep=["x"], complete=True)
+    assert sorted(got.select("video_id", "frame", "turn").collect()) == sorted(want.collect())
+    assert got.filter("turn").count() > 0 and got.join(filled, ["video_id", "frame", "x"]).count() == 900
