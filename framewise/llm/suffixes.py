@@ -59,6 +59,28 @@ def byte_grams(u: Units, gram: int = GRAM) -> np.ndarray:
     return mixed
 
 
+def by_string(raw: bytes, at: np.ndarray, depth: int) -> np.ndarray:
+    """The places in the order of the `depth` bytes from each on.
+
+    They are told apart by eight bytes at a time; only small groups that are still equal are compared as strings,
+    so that few of these are held at once.
+    """
+    eight = np.ndarray((len(raw) + depth,), dtype=">u8", buffer=raw + bytes(depth + 8), strides=(1,))
+    at, todo = at.copy(), [(0, len(at), 0)]
+    while todo:
+        low, high, skip = todo.pop()
+        if high - low <= 64 or skip >= depth:
+            at[low:high] = sorted(at[low:high].tolist(), key=lambda i: raw[i : i + depth])
+            continue
+        first = eight[at[low:high] + skip].astype(np.uint64)
+        order = np.argsort(first, kind="stable")
+        at[low:high], first = at[low:high][order], first[order]
+        edges = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1], [True]]))
+        many = np.flatnonzero(np.diff(edges) > 1)
+        todo += [(low + a, low + b, skip + 8) for a, b in zip(edges[many].tolist(), edges[many + 1].tolist())]
+    return at
+
+
 def two_stage(raw: bytes, depth: int) -> np.ndarray:
     """The suffix array of raw; suffixes that share `depth` bytes or more stand in any order."""
     t = np.frombuffer(raw, dtype=np.uint8)
@@ -69,7 +91,7 @@ def two_stage(raw: bytes, depth: int) -> np.ndarray:
     ends = np.append(np.flatnonzero(t[1:] != t[:-1]), n - 1)
     rises = np.append(t[ends[:-1]] < t[ends[:-1] + 1], False)
     smaller = np.repeat(rises, np.diff(np.concatenate([[-1], ends])))
-    direct = np.array(sorted(np.flatnonzero(smaller).tolist(), key=lambda i: raw[i : i + depth]), dtype=np.int64)
+    direct = by_string(raw, np.flatnonzero(smaller), depth)
     tails = [direct[k] for k in np.split(np.arange(len(direct)), np.cumsum(np.bincount(t[direct], minlength=256))[:-1])]
     run_start = np.repeat(np.concatenate([[0], ends[:-1] + 1]), np.diff(np.concatenate([[-1], ends])))
     heads: list[list[np.ndarray]] = [[] for _ in range(256)]

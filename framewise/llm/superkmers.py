@@ -30,6 +30,8 @@ from framewise.llm.common import batch_of, keyed, released, squeezed, stored, wh
 
 #: Strings of a bucket that one task sorts at most: with a few hundred bytes each, some seconds' work.
 CROWD = 4096
+#: Units of these strings at most: strings of many windows are long.
+LOAD = 1 << 22
 #: Windows of a super-k-mer at most.
 SEGMENT = 1 << 16
 ROWS = pa.schema(
@@ -176,9 +178,10 @@ def in_buckets(strings: DataFrame, kind: Kind) -> DataFrame:
         for chunk in whole_groups(batches, "mini"):
             mini = chunk["mini"].to_numpy()
             edge = np.concatenate([[0], np.flatnonzero(mini[1:] != mini[:-1]) + 1, [len(mini)]])
-            cols = [chunk[c].to_pylist() for c in ("packed", "n", "windows", "fp")]
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                one = {cols[3][k]: k for k in range(a, b)}  # repeated rows bring a string twice
+                rows = chunk.slice(a, b - a)  # only a bucket's strings become Python's at once
+                cols = [rows[c].to_pylist() for c in ("packed", "n", "windows", "fp")]
+                one = {fp: k for k, fp in enumerate(cols[3])}  # repeated rows bring a string twice
                 bucket = Bucket(*([c[k] for k in one.values()] for c in cols))
                 held.append((int(mini[a]), bucket))
                 size += sum(map(len, bucket.packed))
@@ -235,11 +238,13 @@ def kinds(rows: DataFrame, weight: Column, *keep: str) -> DataFrame:
     return rows.groupBy(who).agg(weight.alias("n"), *(F.first(c).alias(c) for c in keep)).select("who.mini", "who.fp", "n", *keep)
 
 
-def marked(strings: DataFrame) -> DataFrame:
-    """Strings whose bucket may hold repeated windows beyond equal strings, with its number of strings."""
-    buckets = strings.groupBy("mini").agg(F.count("*").alias("kinds"), F.max("ties").alias("within"))
-    buckets = stored(buckets.where("kinds > 1 OR within > 0"))  # stored, so that a hot bucket's rows can be split
-    return strings.join(buckets.select("mini", "kinds"), "mini")
+def marked(strings: DataFrame, kind: Kind) -> DataFrame:
+    """Strings whose bucket may hold repeated windows beyond equal strings, and whether it is crowded."""
+    units = F.sum(F.col("windows") + F.lit(kind.width))
+    buckets = strings.groupBy("mini").agg(F.count("*").alias("kinds"), F.max("ties").alias("within"), units.alias("units"))
+    crowded = (F.col("kinds") > kind.crowd) | ((F.col("kinds") > 1) & (F.col("units") > LOAD))
+    buckets = buckets.where("kinds > 1 OR within > 0").select("mini", crowded.alias("crowded"))
+    return strings.join(stored(buckets), "mini")  # stored, so that a hot bucket's rows can be split
 
 
 def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -250,9 +255,9 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
     rows = stored(rows.join(twice, "mini"))
     strings = stored(kinds(rows, F.count("*"), "kid", "kth", "start", "windows", "ties"))
     whole = strings.where("n > 1").select("mini", "fp", F.lit(0).alias("first"), F.col("windows").alias("end"))
-    buckets = stored(marked(strings))
-    found = whole.unionByName(in_buckets(pack(docs, buckets.where(F.col("kinds") <= kind.crowd), kind), kind))
-    crowded = buckets.where(F.col("kinds") > kind.crowd)
+    buckets = stored(marked(strings, kind))
+    found = whole.unionByName(in_buckets(pack(docs, buckets.where("NOT crowded"), kind), kind))
+    crowded = buckets.where("crowded")
     if not crowded.isEmpty():
         packed = pack(docs, crowded, kind).dropDuplicates(["mini", "fp"])
         parts = packed.withColumns({"root_mini": F.col("mini"), "root_fp": F.col("fp"), "shift": F.lit(0)})
@@ -260,17 +265,18 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
             parts = stored(shorter(parts, kind, run))
             different = stored(kinds(parts, F.sum("n"), "windows", "packed").withColumn("ties", F.lit(0)))
             hits = different.where("n > 1").select("mini", "fp", F.lit(0).alias("first"), F.col("windows").alias("end"))
-            buckets = marked(different)
+            buckets = marked(different, kind)
             last = run == kind.runs[-1]
-            few = buckets if last else buckets.where(F.col("kinds") <= kind.crowd)
-            hits = hits.unionByName(in_buckets(few.select(*STRINGS.names), kind))
+            if run > 1:  # different strings of one window each have none in common
+                few = buckets if last else buckets.where("NOT crowded")
+                hits = hits.unionByName(in_buckets(few.select(*STRINGS.names), kind))
             places = parts.select("root_mini", "root_fp", "shift", "mini", "fp")
             first, end = (F.col(c) + F.col("shift") for c in ("first", "end"))
             hits = hits.join(places, ["mini", "fp"])
             found = found.unionByName(hits.select(F.col("root_mini").alias("mini"), F.col("root_fp").alias("fp"), first.alias("first"), end.alias("end")))
             if last:
                 break
-            many = buckets.where(F.col("kinds") > kind.crowd).select("mini").distinct()
+            many = buckets.where("crowded").select("mini").distinct()
             parts = parts.join(stored(many), "mini")
             if parts.isEmpty():
                 break
