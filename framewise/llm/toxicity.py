@@ -14,6 +14,7 @@ Repeated rows are scored alike. Label, lang, source and id are never inputs of a
 """
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,6 +49,7 @@ IDENTITY = (
     "musulmanes cristianos judíos hindúes budistas",
 )
 GROUP = {w: line.split() for line in IDENTITY for w in line.split()}
+_SWAP = pa.struct([("gone", pa.list_(pa.string())), ("come", pa.list_(pa.string()))])
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -95,7 +97,7 @@ def held_out(doc_id: Column) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(toxic, features, swaps) of the rows that may be learned from, about `sample`; the id isn't kept.
 
-    swaps has, for each identity term of a text, the features that go and those that come with each other term.
+    swaps has, for each identity term of a text and each other term of its group, the features that go and those that come.
     """
     one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id"))
     one = one.agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out(F.col("label_id")))
@@ -105,18 +107,30 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         one = one.where(F.pmod(F.xxhash64("label_id"), F.lit(2**31)) < share)
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.join(stored(one), "label_id").dropDuplicates(["label_id"]).select("toxic", "text")
-    schema = pa.schema([("toxic", pa.int32()), ("features", pa.list_(pa.string())), ("swaps", pa.list_(pa.list_(pa.string())))])
+    schema = pa.schema([("toxic", pa.int32()), ("features", pa.list_(pa.string())), ("swaps", pa.list_(_SWAP))])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 found = [words_of(t) for t in part["text"].to_pylist()]
-                own = [sorted({f for w in words for f in features_of(w)}) for words in found]
-                swaps = [[sorted({f for x in words - {w} | {other} for f in features_of(x)}) for w in sorted(words & GROUP.keys()) for other in GROUP[w] if other != w] for words in found]
+                own, swaps = zip(*map(with_swaps, found))
                 yield batch_of(schema, {"toxic": part["toxic"], "features": own, "swaps": swaps})
 
-    return rows.mapInArrow(run, "toxic int, features array<string>, swaps array<array<string>>")
+    return rows.mapInArrow(run, "toxic int, features array<string>, swaps array<struct<gone:array<string>,come:array<string>>>")
+
+
+def with_swaps(words: set[str]) -> tuple[list[str], list[dict[str, list[str]]]]:
+    """The features of a text's words, and what each swap of an identity term takes from them and adds."""
+    count = Counter(f for w in words for f in features_of(w))
+    swaps = []
+    for w in sorted(words & GROUP.keys()):
+        for other in GROUP[w]:
+            if other != w:
+                new = features_of(other)
+                gone = [f for f in features_of(w) if count[f] == 1 and f not in new]
+                swaps.append({"gone": sorted(gone), "come": sorted(f for f in new if f not in count)})
+    return sorted(count), swaps
 
 
 def choose(rows: DataFrame, features: int) -> list[str]:
@@ -139,33 +153,39 @@ def choose(rows: DataFrame, features: int) -> list[str]:
     return sorted({r["f"] for r in best.collect()} | {f for w in GROUP for f in features_of(w)})
 
 
-def _sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    return np.repeat(np.arange(len(rows)), lengths), np.array([f for r in rows for f in r], dtype=np.int64)
+    flat = np.concatenate([np.empty(0, np.int32), *(np.asarray(r, dtype=np.int32) for r in rows)])
+    return np.repeat(np.arange(len(rows), dtype=np.int32), lengths), flat
+
+
+Swap = tuple[int, list[int], list[int]]
 
 
-def descend(y: np.ndarray, rows: list[list[int]], swapped: list[tuple[int, list[int]]], n_features: int, fair: float, ridge: float, steps: int = 150, rate: float = 0.2) -> tuple[float, np.ndarray]:
+def descend(y: np.ndarray, rows: list[np.ndarray], swapped: list[Swap], n_features: int, fair: float, ridge: float, steps: int = 150, rate: float = 0.2) -> tuple[float, np.ndarray]:
     """Bias and weights: log loss, toxic rows counting by the root of the labels' ratio, plus `fair` times the mean squared change of the score
-    between a row and its swapped versions, plus `ridge` times the squared weights."""
+    between a row and its swapped versions, plus `ridge` times the squared weights. A swap is (row, features that go, those that come)."""
     r, c = _sparse(rows)
-    sr, sc = _sparse([x for _, x in swapped])
-    of = np.array([i for i, _ in swapped], dtype=np.int64)
+    sr, sc = _sparse([gone + come for _, gone, come in swapped])
+    sign = np.array([s for _, gone, come in swapped for s in [-1.0] * len(gone) + [1.0] * len(come)])
+    of = np.array([i for i, _, _ in swapped], dtype=np.int64)
     weight = np.where(y == 1, np.sqrt(max(1, (y == 0).sum()) / max(1, (y == 1).sum())), 1.0)
     weight /= max(1, weight.sum())
     w, bias = np.zeros(n_features), 0.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        p = sigma(np.bincount(r, w[c], len(rows)) + bias)
+        z = np.bincount(r, w[c], len(rows)) + bias
+        p = sigma(z)
         g = weight * (p - y)
         if len(of):
-            q = sigma(np.bincount(sr, w[sc], len(of)) + bias)
+            q = sigma(z[of] + np.bincount(sr, sign * w[sc], len(of)))
             change = 2 * fair / len(of) * (p[of] - q)
-            g += np.bincount(of, change * p[of] * (1 - p[of]), len(rows))
             gs = -change * q * (1 - q)
+            g += np.bincount(of, change * p[of] * (1 - p[of]) + gs, len(rows))
         grad = np.append(np.bincount(c, g[r], n_features) + 2 * ridge * w, g.sum())
         if len(of):
-            grad += np.append(np.bincount(sc, gs[sr], n_features), gs.sum())
+            grad[:-1] += np.bincount(sc, sign * gs[sr], n_features)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
@@ -177,25 +197,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     rows = stored(labelled(docs, labels, sample))
     chosen = choose(rows, features)
     place = {f: k for k, f in enumerate(chosen)}
-    schema = pa.schema([("toxic", pa.int32()), ("own", pa.list_(pa.int32())), ("swapped", pa.list_(pa.list_(pa.int32())))])
+    schema = pa.schema([("toxic", pa.int32()), ("own", pa.binary()), ("swapped", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches):
         numbers = lambda fs: [place[f] for f in fs if f in place]
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                own = [numbers(fs) for fs in part["features"].to_pylist()]
-                swapped = [[numbers(fs) for fs in s] for s in part["swaps"].to_pylist()]
+                own = [np.array(numbers(fs), "<i4").tobytes() for fs in part["features"].to_pylist()]
+                swapped = [[numbers(s[side]) for s in swaps for side in ("gone", "come")] for swaps in part["swaps"].to_pylist()]
                 yield batch_of(schema, {"toxic": part["toxic"], "own": own, "swapped": swapped})
 
-    got = rows.mapInArrow(run, "toxic int, own array<int>, swapped array<array<int>>").orderBy("toxic", "own").collect()
+    got = rows.mapInArrow(run, "toxic int, own binary, swapped array<array<int>>").collect()
+    got.sort(key=lambda r: (r["toxic"], r["own"]))  # so that the sums don't depend on how rows are dealt
     y = np.array([r["toxic"] for r in got], dtype=np.float64)
     if not len(y):
         return Model(0.0, {}, 0.0)
     if y.min() == y.max():
         return Model(0.0, {}, float((y.sum() + 0.5) / (len(y) + 1)))
-    swapped = [(k, s) for k, r in enumerate(got) for s in r["swapped"]]
-    bias, w = descend(y, [r["own"] for r in got], swapped, len(chosen), fair, ridge)
+    swapped = [(k, gone, come) for k, r in enumerate(got) for gone, come in zip(r["swapped"][::2], r["swapped"][1::2])]
+    bias, w = descend(y, [np.frombuffer(r["own"], "<i4") for r in got], swapped, len(chosen), fair, ridge)
     return Model(bias, {f: float(x) for f, x in zip(chosen, w) if abs(x) > 1e-6})
 
 
