@@ -1,7 +1,10 @@
-"""Shared helpers: tables in the shared folder, row keys, whole groups from sorted partitions, components."""
+"""Shared helpers: memory of reused Python workers, tables in the shared folder, row keys, whole groups from sorted partitions, components."""
 
+import ctypes
+import gc
+import sys
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +16,29 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+_worker: dict[str, str] = {}
+_caches: list[Callable[[], None]] = []
+
+
+def clears(cached: Callable) -> Callable:
+    """Name a function with a cache (functools.cache) that `begin` may clear."""
+    _caches.append(cached.cache_clear)
+    return cached
+
+
+def begin(step: str) -> None:
+    """To be called by a task of an operator's step: Python workers outlive their tasks, and what the steps before have
+    cached is given back to the system when another one begins."""
+    if _worker.setdefault("step", step) != step:
+        _worker["step"] = step
+        for clear in _caches:
+            clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

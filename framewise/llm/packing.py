@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm.bpe import byte_letters
-from framewise.llm.common import batch_of, stored
+from framewise.llm.common import batch_of, begin, clears, stored
 
 SIZE = 2048
 SHARD = 32_768
@@ -75,6 +75,7 @@ class Encoder:
         return b"".join([array("I", self.core.encode_ordinary(first)).tobytes(), *map(self.kept.__getitem__, rest)])
 
 
+@clears
 @cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -86,6 +87,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = True)
     ddl = PIECES_DDL if with_ids else PIECES_DDL.removesuffix(", ids binary")
 
     def run(batches):
+        begin("packing")
         e = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

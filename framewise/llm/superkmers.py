@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, keyed, released, squeezed, stored, whole_groups, whole_rows, with_keys
+from framewise.llm.common import batch_of, begin, keyed, released, squeezed, stored, whole_groups, whole_rows, with_keys
 
 #: Strings of a bucket that one task sorts at most: with a few hundred bytes each, some seconds' work.
 CROWD = 4096
@@ -111,6 +111,7 @@ def scan(docs: DataFrame, kind: Kind) -> DataFrame:
     """One fixed-size row for each super-k-mer of the texts."""
 
     def rows(batches):
+        begin("super-k-mers")
         for batch in batches:
             held = {f.name: [] for f in ROWS}
             size = 0
@@ -144,6 +145,7 @@ def pack(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     lists = wanted.groupBy("kid", "kth").agg(F.collect_list(F.struct("start", "windows", "mini", "fp", "n")).alias("places"))
 
     def strings(batches):
+        begin("strings")
         for batch in batches:
             out, size = [], 0
             for text, places in zip(batch["text"], batch["places"]):
@@ -174,6 +176,7 @@ def in_buckets(strings: DataFrame, kind: Kind) -> DataFrame:
         return batch_of(FOUND, dict(zip(FOUND.names, zip(*out)))) if out else None
 
     def found(batches):
+        begin("buckets")
         held, size = [], 0
         for chunk in whole_groups(batches, "mini"):
             mini = chunk["mini"].to_numpy()

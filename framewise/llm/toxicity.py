@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, stored
+from framewise.llm.common import batch_of, begin, stored
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -110,6 +110,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     schema = pa.schema([("toxic", pa.int32()), ("features", pa.list_(pa.string())), ("swaps", pa.list_(_SWAP))])
 
     def run(batches):
+        begin("toxicity sample")
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -231,6 +232,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
+        begin("toxicity")
         for batch in batches:
             yield batch_of(schema, {"doc_id": batch["doc_id"], "score": _scores(model, batch["text"])})
 
@@ -244,6 +246,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None
     model = model or fit(docs, labels)
 
     def run(batches):
+        begin("toxicity")
         for batch in batches:
             yield batch.filter(pa.array([s < 0.5 for s in _scores(model, batch["text"])], pa.bool_()))
 
