@@ -6,9 +6,10 @@ the query's own. Ties go to the smaller id. Vectors that are null or hold null o
 
 Candidates are sorted by length and cut into slabs, queries into groups. The slab of the longest vectors gives each
 query a score that its k-th result can't be below; a slab whose longest vector can't reach it (Cauchy-Schwarz) never
-meets the query. In a slab, the longest candidates come first: products over the leading singular axes plus the
-product of the residual norms bound a score, and only candidates whose bound reaches the query's k-th score so far
-are scored exactly, in integers.
+meets the query. In a slab, the longest candidates come first, in blocks: products over the leading singular axes plus
+the product of the residual norms bound a score, the next axes are added while enough pairs fall away, and only candidates
+whose bound reaches the query's k-th score so far are scored exactly, in integers: pair by pair where few are left, by
+one matrix product where many are.
 
 Rows with equal ids are separate candidates; a null id is no query, and loses ties. Scores beyond 64 bits are
 given as the nearest long.
@@ -26,9 +27,12 @@ K = 20
 EVERY = 20
 SCALE = 64
 SLAB = 16384
-GROUP = 4096
+GROUP = 16384
 BLOCK = 1024
-LEADING = 16
+#: Axes that the partial sums have reached after each step.
+LEVELS = (16, 32, 64)
+#: Below this share of pairs left they are scored one by one; a step that takes less than half of them away is the last.
+FEW = 0.05
 NO_ID = 2**63 - 1
 HITS = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 HITS_DDL = "row long, query_id long, vec_id long, score long"
@@ -42,47 +46,80 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in whole], dtype=np.int64)
 
 
-class Candidates:
-    """A slab: rows by descending length, with rotated coordinates and residual norms."""
+class Rotated:
+    """Vectors with their coordinates on the principal axes, lengths, and lengths of what is left after each level."""
+
+    def __init__(self, x: np.ndarray, axes: np.ndarray):
+        self.x = x
+        self.turned = x @ axes[:, : LEVELS[-1]]
+        self.norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        sums = np.cumsum(self.turned * self.turned, axis=1)
+        ends = [min(level, sums.shape[1]) - 1 for level in LEVELS]
+        self.rest = [np.sqrt(np.maximum(0, self.norm**2 - sums[:, e])) for e in ends]
+
+
+class Candidates(Rotated):
+    """A slab: rows by descending length."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, axes: np.ndarray):
         order = np.lexsort((ids, -np.einsum("ij,ij->i", x, x)))
-        self.rows, self.ids, self.x = rows[order], ids[order], x[order]
-        self.lead = self.x @ axes[:, :LEADING]
-        self.norm = np.sqrt(np.einsum("ij,ij->i", self.x, self.x))
-        self.rest = np.sqrt(np.maximum(0, self.norm**2 - np.einsum("ij,ij->i", self.lead, self.lead)))
+        self.rows, self.ids = rows[order], ids[order]
+        super().__init__(x[order], axes)
+
+
+def reaching(q: Rotated, c: Candidates, open_: np.ndarray, s: slice, least: np.ndarray) -> np.ndarray:
+    """Which (open query, candidate of the block) may reach the query's least score, by partial sums and residual norms."""
+    bound, sums, at, left = None, 0.0, 0, 1.0
+    for level, rest_q, rest_c in zip(LEVELS, q.rest, c.rest):
+        axes = slice(at, level)
+        if at >= q.turned.shape[1]:
+            break
+        sums = sums + q.turned[open_, axes] @ c.turned[s, axes].T
+        bound = sums + np.multiply.outer(rest_q[open_], rest_c[s]) >= least[:, None]
+        share = np.count_nonzero(bound) / bound.size
+        if share <= FEW or share > left / 2:
+            break
+        at, left = level, share
+    return bound
 
 
-def search(c: Candidates, rows: np.ndarray, q: np.ndarray, floor: np.ndarray, axes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(c: Candidates, rows: np.ndarray, x: np.ndarray, floor: np.ndarray, axes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score): each query's k best of the slab that reach its floor."""
-    lead = q @ axes[:, :LEADING]
-    norm = np.sqrt(np.einsum("ij,ij->i", q, q))
-    rest = np.sqrt(np.maximum(0, norm**2 - np.einsum("ij,ij->i", lead, lead)))
+    q = Rotated(x, axes)
     best = (np.zeros(0, np.int64),) * 3
     for at in range(0, len(c.ids), BLOCK):
         s = slice(at, at + BLOCK)
-        slack = 1e-9 * norm * c.norm[at] + 1e-6
-        open_ = np.flatnonzero(norm * c.norm[at] + slack >= floor)
+        slack = 1e-9 * q.norm * c.norm[at] + 1e-6
+        open_ = np.flatnonzero(q.norm * c.norm[at] + slack >= floor)
         if not len(open_):
             break
-        bound = lead[open_] @ c.lead[s].T + np.multiply.outer(rest[open_], c.rest[s])
-        i, j = np.nonzero(bound + slack[open_, None] >= floor[open_, None])
-        i, j = open_[i], j + at
-        own = rows[i] == c.rows[j]
-        i, j = i[~own], j[~own]
+        may = reaching(q, c, open_, s, floor[open_] - slack[open_])
         found = []
-        for p in range(0, len(i), 1 << 17):
-            part = slice(p, p + (1 << 17))
-            score = exact(q[i[part]], c.x[j[part]])
-            keep = score >= floor[i[part]]
-            found.append((i[part][keep], j[part][keep], score[keep]))
-        i, j, score = (np.concatenate(x) for x in zip(best, *found))
+        if np.count_nonzero(may) > FEW * may.size and q.norm[open_].max() * c.norm[at] < 2.0**52:
+            # Every partial sum is an integer below 2^52, so the product in doubles is exact.
+            whole = x[open_] @ c.x[s].T
+            whole[~may | (rows[open_][:, None] == c.rows[s][None, :])] = -np.inf
+            if whole.shape[1] >= k:
+                floor[open_] = np.maximum(floor[open_], np.partition(whole, -k, axis=1)[:, -k])
+            i, j = np.nonzero((whole >= floor[open_, None]) & (whole > -np.inf))
+            found.append((open_[i], j + at, whole[i, j].astype(np.int64)))
+        else:
+            i, j = np.nonzero(may)
+            i, j = open_[i], j + at
+            own = rows[i] == c.rows[j]
+            i, j = i[~own], j[~own]
+            for p in range(0, len(i), 1 << 17):
+                part = slice(p, p + (1 << 17))
+                score = exact(x[i[part]], c.x[j[part]])
+                keep = score >= floor[i[part]]
+                found.append((i[part][keep], j[part][keep], score[keep]))
+        i, j, score = (np.concatenate(y) for y in zip(best, *found))
         order = np.lexsort((c.ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         first = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
         start = np.flatnonzero(first)
         rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-        best = tuple(x[rank < k] for x in (i, j, score))
+        best = tuple(y[rank < k] for y in (i, j, score))
         last = rank == k - 1
         floor[i[last]] = np.maximum(floor[i[last]], score[last])
     return best
