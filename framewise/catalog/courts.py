@@ -84,6 +84,20 @@ def _(t):
     return back.groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n_points"), (off < 1e-6).alias("exact"))
 
 
+@register("g4_matrix_of_all_points", query(
+    "SELECT k.video_id, k.frame, k.n_points, " + ", ".join(f"{r(h, 6 if h[1] == '2' else 3)} AS {h}" for h in H)
+    + ", 0.0::DOUBLE AS largest_residual FROM h JOIN (SELECT video_id, frame, count(*) AS n_points FROM kps GROUP BY ALL) k"
+    " ON k.video_id = h.video_id AND k.frame = h.frame", "kps", extra={"h": homography("kps")}))
+def _(t):
+    """A fit to all court points, put on the map by the closed form, gives its matrix back."""
+    pairs = geometry.project_points(t.kps, geometry.frame_homography(t.kps))
+    fitted = geometry.fit_homography(pairs)
+    largest = geometry.fit_residuals(pairs, fitted).groupBy("video_id", "frame").agg(F.max("residual").alias("largest_residual"))
+    both = geometry.matrix_columns(fitted.join(largest, ["video_id", "frame"]))
+    near = rounded(both, *[h for h in H if h[1] != "2"], "largest_residual", digits=3)
+    return rounded(near, *[h for h in H if h[1] == "2"])
+
+
 @register("g7_court_lines", query(
     f"SELECT v.video_id, l.* FROM (SELECT DISTINCT video_id FROM ball) v CROSS JOIN (VALUES {MAP_LINES}) AS l(item, x, y, x2, y2)", "ball"))
 def _(t):

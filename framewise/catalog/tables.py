@@ -110,3 +110,9 @@ def _(t):
     count = lambda c: c.cast("int")
     return inside.agg(
         count(F.count(F.lit(1))).alias("n"), count(F.count_distinct("video_id", "frame")).alias("n_different"), count(F.count("known")).alias("n_in_table"))
+
+
+@register("d3_random_rows_by_key", query(
+    "SELECT video_id, frame, x, y FROM ball ORDER BY md5('7|' || video_id || '|' || frame), video_id, frame LIMIT 20", "ball"))
+def _(t):
+    return tables.random_rows(t.track, 20, seed=7)

@@ -150,43 +150,69 @@ def project_points(
 _TERMS = [(i, j) for i in range(9) for j in range(i, 9)]
 
 
+def _to_unit(mx: np.ndarray, my: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Matrices that move the mean of points to zero and their spread to one."""
+    t = np.zeros((len(mx), 3, 3))
+    t[:, 0, 0] = t[:, 1, 1] = 1 / spread
+    t[:, 0, 2], t[:, 1, 2], t[:, 2, 2] = -mx / spread, -my / spread, 1
+    return t
+
+
 def fit_homography(
     pairs: DataFrame,
     group: Sequence[str] = ("video_id", "frame"),
     src: tuple[str, str] = ("x", "y"),
     dst: tuple[str, str] = ("map_x", "map_y"),
-    src_size: tuple[float, float] = (1280.0, 720.0),
-    dst_size: tuple[float, float] = (float(MAP_W), float(MAP_H)),
 ) -> DataFrame:
-    """Least-squares homography of each group from four or more point pairs.
+    """Least-squares homography of each group from four or more point pairs. Pairs without a coordinate don't count.
 
-    The 45 sums of outer products are ordinary aggregates, added up before the shuffle.
-    Only the eigenvector of the smallest eigenvalue is taken in Python, for a whole batch
-    of groups at once. Points are scaled to the unit range first, for a stable solution.
+    Points are first moved by the mean and scaled by the spread of their group, whatever the size of the picture. Means,
+    spreads and the 45 sums of outer products are ordinary aggregates, added up before the shuffle. Only the eigenvector of
+    the smallest eigenvalue is taken in Python, for a whole batch of groups at once. See `fit_residuals`.
     """
-    x, y = F.col(src[0]) / src_size[0], F.col(src[1]) / src_size[1]
-    u, v = F.col(dst[0]) / dst_size[0], F.col(dst[1]) / dst_size[1]
+    ends = {"_x": src[0], "_y": src[1], "_u": dst[0], "_v": dst[1]}
+    full = pairs.select(*group, *[F.col(c).cast("double").alias(n) for n, c in ends.items()]).dropna(subset=list(ends))
+
+    def spread(a, b):
+        both = F.sqrt(F.var_pop(a) + F.var_pop(b))
+        return F.when(both > 0, both).otherwise(1.0)
+
+    stats = full.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_points"), *[F.avg(c).alias(f"_m{c}") for c in ends], spread("_x", "_y").alias("_s_src"), spread("_u", "_v").alias("_s_dst"))
+    unit = full.join(stats.filter("n_points >= 4"), list(group))
+    x, y, u, v = ((F.col(c) - F.col(f"_m{c}")) / F.col(s) for c, s in zip(ends, ("_s_src", "_s_src", "_s_dst", "_s_dst")))
     zero, one = F.lit(0.0), F.lit(1.0)
     row_u = [x, y, one, zero, zero, zero, -u * x, -u * y, -u]
     row_v = [zero, zero, zero, x, y, one, -v * x, -v * y, -v]
     sums = [F.sum(row_u[i] * row_u[j] + row_v[i] * row_v[j]).alias(f"s{n}") for n, (i, j) in enumerate(_TERMS)]
-    scale = np.array(
-        [[dst_size[0] / src_size[0], dst_size[0] / src_size[1], dst_size[0]],
-         [dst_size[1] / src_size[0], dst_size[1] / src_size[1], dst_size[1]],
-         [1 / src_size[0], 1 / src_size[1], 1.0]]
-    ).reshape(9)
+    frame = ("n_points", *[f"_m{c}" for c in ends], "_s_src", "_s_dst")
 
     @F.pandas_udf("array<double>")
     def smallest_eigenvector(s: pd.Series) -> pd.Series:
-        terms = np.stack(s.to_numpy())
+        values = np.stack(s.to_numpy())
+        terms, (mx, my, mu, mv, s_src, s_dst) = values[:, : len(_TERMS)], values[:, len(_TERMS) :].T
         normal = np.zeros((len(terms), 9, 9))
         for n, (i, j) in enumerate(_TERMS):
             normal[:, i, j] = normal[:, j, i] = terms[:, n]
-        h = np.linalg.eigh(normal)[1][:, :, 0] * scale
+        unit_h = np.linalg.eigh(normal)[1][:, :, 0].reshape(-1, 3, 3)
+        h = (np.linalg.inv(_to_unit(mu, mv, s_dst)) @ unit_h @ _to_unit(mx, my, s_src)).reshape(-1, 9)
         return pd.Series(list(h / h[:, 8:9]))
 
-    fitted = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_points"), *sums).filter("n_points >= 4")
-    return fitted.select(*group, "n_points", smallest_eigenvector(F.array(*[f"s{n}" for n in range(len(_TERMS))])).alias("h"))
+    fitted = unit.groupBy(*group).agg(*sums, *[F.first(c).alias(c) for c in frame])
+    values = F.array(*[f"s{n}" for n in range(len(_TERMS))], *frame[1:])
+    return fitted.select(*group, "n_points", smallest_eigenvector(values).alias("h"))
+
+
+def fit_residuals(
+    pairs: DataFrame,
+    fitted: DataFrame,
+    group: Sequence[str] = ("video_id", "frame"),
+    dst: tuple[str, str] = ("map_x", "map_y"),
+) -> DataFrame:
+    """pairs (..., x, y) with `residual`: how far the fitted matrix of the group puts the point from its place; NULL without a matrix."""
+    at = fitted.select(*group, F.col("h").alias("_h"))
+    off = [f(F.col("x"), F.col("y"), F.col("_h")) - F.col(c) for f, c in zip((project_x, project_y), dst)]
+    return pairs.join(at, list(group), "left").withColumn("residual", F.hypot(*off)).drop("_h")
 
 
 def with_map_positions(court: DataFrame, points: dict[int, tuple[float, float]] | None = None) -> DataFrame:
