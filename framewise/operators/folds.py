@@ -3,23 +3,25 @@
 Each rule keeps a small state from row to row. A long track is cut into pieces that can
 be folded at the same time:
 
-* gap extrapolation is cut where its state is known from the raw rows (`safe_starts`);
+* gap extrapolation is cut where its state is known from the raw rows, or known but for one bit (`safe_starts`). A first
+  pass finds what each piece makes of either value of that bit, a window over pieces tells which one it is;
 * the gated track has no such places. A first pass finds the few points that each piece may
   end with, further passes what becomes of these in the pieces after, a walk along that small
   table gives the state at each border, and a last pass folds the pieces;
-* hit thinning folds each piece on its own, then, where a piece's first hit may still drop hits before
-  it, the pieces before, one at a time.
+* hit thinning folds each piece on its own; what may still drop hits of earlier pieces is then tried on the piece
+  before, and after that on blocks of 1, 2, 4 ... pieces.
 
 Rows reach the Python worker in order and in batches; a fold never holds a whole piece.
 """
 
+import collections
 import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -78,14 +80,8 @@ PRESENT_RUN, MISSING_RUN = CONTEXT + CHAINED, CHAINED + 1
 GAP_REACH = 2 * CONTEXT + 1
 
 
-def extrapolate_gaps(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Fold over (frame, x, y, is_output): fill a missing point from the five before it.
-
-    The value one step past five points on a natural cubic spline is 2 * last - one before.
-    A point that follows a filled one and lies too far from it is dropped. At most three
-    points in a row are filled. x = 0 is filled like a missing x, but counts as present
-    among the five. The last row is never filled.
-    """
+def _extrapolated(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Each (frame, x, y, is_output) with a missing point filled, and whether the five before it are known."""
     known = []  # the last five rows, as filled so far
     fills, row = 0, next(rows, None)
     while row is not None:
@@ -100,17 +96,37 @@ def extrapolate_gaps(rows: Iterator[tuple]) -> Iterator[tuple]:
         else:
             fills = 0
         known = [*known[1 - CONTEXT :], (x, y)]
-        if is_output:
-            yield frame, x, y
+        yield frame, x, y, is_output, can_fill
         row = after
 
 
+def extrapolate_gaps(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Fold over (frame, x, y, is_output): fill a missing point from the five before it.
+
+    The value one step past five points on a natural cubic spline is 2 * last - one before.
+    A point that follows a filled one and lies too far from it is dropped. At most three
+    points in a row are filled. x = 0 is filled like a missing x, but counts as present
+    among the five. The last row is never filled.
+    """
+    return ((frame, x, y) for frame, x, y, is_output, _ in _extrapolated(rows) if is_output)
+
+
+def known_at_end(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Fold over (frame, x, y, is_output): whether the five points before the last row are known."""
+    *_, can_fill = collections.deque(_extrapolated(rows), maxlen=1).pop()
+    yield (can_fill,)
+
+
 def safe_starts(ball: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER, size: int = CHUNK) -> DataFrame:
     """Add `safe`: the fold may start at this row with the five raw rows before it.
 
     True after a long run of present or of missing rows; and after five present rows that follow a single missing
     row, if the run before that ended in five present rows and the first row of the new run lies within reach of
     the point they lead to: then it stays whether the gap was filled or not, and so do the rows after it.
+
+    `half`: a missing row after five present ones. It is filled from the last two of these, which nothing filled before
+    can have changed, or it isn't, since one of the other three was dropped. If it is, all five are known; if it isn't,
+    it is itself missing among the next five. So only that one bit is unknown here.
     """
 
     def columns(w):
@@ -124,47 +140,100 @@ def safe_starts(ball: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER,
         jump2 = sum((2 * at(c, gap + 1) - at(c, gap + 2) - at(c, first)) ** 2 for c in ("x", "y"))
         after_gap = run(CONTEXT, 1) & (at(missing, gap) == 1) & run(GAP_REACH, gap + 1) & (F.sqrt(jump2) <= MAX_JUMP)
         far_enough = F.col(order) >= CONTEXT
-        return {"safe": F.coalesce((long_present | long_missing | after_gap) & far_enough, F.lit(False))}
+        sure = lambda c: F.coalesce(c & far_enough, F.lit(False))
+        return {"safe": sure(long_present | long_missing | after_gap), "half": sure(run(CONTEXT, 1) & F.col("x").isNull())}
 
     rows = chunks.chunked(ball, keys, order, before=GAP_REACH, size=size)
     return core(rows.withColumns(columns(asc(keys, order))), keep_chunk=True)
 
 
+def _parts(rows: DataFrame, starts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The rows of each part `_part`, with the five before it and the one after it; `_out` marks its own.
+
+    `_oldest` marks the first of the five, `_known` (from `starts`) tells for a half start whether its five points are known.
+    """
+    rows = rows.join(starts, [*keys, "_chunk"])
+    at, start, next_start = F.col(order), F.col("_start"), F.col("_next_start")
+    before = F.coalesce("_before", F.lit(-1).cast("long"))
+    home = F.when(at >= start, F.col("_chunk")).otherwise(before)
+    copy = lambda part, oldest, known: F.struct(part.alias("part"), oldest.alias("oldest"), known.alias("known"))
+    own = lambda part: copy(part, F.lit(False), F.lit(True))
+    places = F.array_compact(
+        F.array(
+            own(home),
+            F.when((at >= start - CONTEXT) & (at < start), copy(F.col("_chunk"), at == start - CONTEXT, F.col("_known"))),
+            F.when(
+                (at >= next_start - CONTEXT) & (at < next_start), copy(F.col("_next"), at == next_start - CONTEXT, F.col("_next_known"))
+            ),
+            F.when(at == start, own(before)),
+        )
+    )
+    rows = rows.withColumn("_home", home).withColumn("_place", F.explode(places))
+    return rows.select(
+        *keys, order, "x", "y", F.col("_place.part").alias("_part"), (F.col("_home") == F.col("_place.part")).alias("_out"),
+        F.col("_place.oldest").alias("_oldest"), F.coalesce("_place.known", F.lit(True)).alias("_known"),
+    )
+
+
+def _blanked(rows: DataFrame, known: Column) -> DataFrame:
+    """Where a half start's points aren't known, the oldest of the five is missing: that is all that the fold needs to see."""
+    return rows.withColumns({c: F.when(known | ~F.col("_oldest"), F.col(c)) for c in ("x", "y")})
+
+
+def _known_starts(rows: DataFrame, starts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """(keys, `_chunk`, `_known`): whether the five points before each half start are known.
+
+    The part before it is folded, for both cases where it begins with a half start itself. A part then gives always the same,
+    hands its bit on, or turns it; so a bit is what the last constant part gave, turned as often as parts since then turn it.
+    """
+    part = [*keys, "_part"]
+    begun = starts.filter("_half").select(*keys, "_chunk", F.coalesce("_before", F.lit(-1).cast("long")).alias("_part"))
+    halves = starts.filter("_half").select(*keys, F.col("_chunk").alias("_part"), F.lit(True).alias("_twice"))
+    asked = begun.select(*part).join(halves, part, "left")
+    cases = F.when(F.col("_twice"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
+    asked = asked.select(*part, F.explode(cases).alias("_case"))
+    both = _blanked(_parts(rows, starts, keys, order).join(asked, part), F.col("_case"))
+    ends = fold_groups(both, [*part, "_case"], [order], [order, "x", "y", "_out"], known_at_end, {"end": "boolean"})
+    ends = ends.groupBy(*part).agg(*[F.max(F.when(F.col("_case") == F.lit(c), F.col("end"))).alias(n) for c, n in ((True, "on"), (False, "off"))])
+    along = Window.partitionBy(*keys).orderBy("_part").rowsBetween(UNBOUNDED, 0)
+    constant = F.col("off").isNull() | (F.col("on") == F.col("off"))
+    ends = ends.withColumn("_turns", F.sum(F.when(~constant & F.col("off"), 1).otherwise(0)).over(along))
+    last = F.last(F.when(constant, F.struct("on", "_turns")), True).over(along)
+    ends = ends.withColumn("_last", last)
+    turned = (F.col("_turns") - F.col("_last._turns")) % 2 == 1
+    return begun.join(ends.select(*part, (F.col("_last.on") != turned).alias("_known")), part).select(*keys, "_chunk", "_known")
+
+
 def smooth_gaps(ball: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER, size: int = CHUNK) -> DataFrame:
     """Extrapolate short gaps of a track.
 
-    Each piece is folded from its first safe row to that of the next piece that has one. A point
-    without one of its coordinates is a missing point.
+    Each piece is folded from its first safe row, or, without one, from its first half-safe row, to that of the next piece that
+    has one. Only where neither occurs in a whole piece (never five present rows before a gap, nor four missing ones) is it
+    folded with the piece before. A point without one of its coordinates is a missing point.
     """
     whole = F.col("x").isNotNull() & F.col("y").isNotNull()
     points = ball.select(*keys, order, *[F.when(whole, F.col(c)).alias(c) for c in ("x", "y")])
     rows = safe_starts(points, keys, order, size)
     along = Window.partitionBy(*keys).orderBy("_chunk")
     earlier = along.rowsBetween(UNBOUNDED, -1)
-    starts = rows.groupBy(*keys, "_chunk").agg(F.min(F.when(F.col("safe"), F.col(order))).alias("_start"))
+    first = [F.min(F.when(F.col(c), F.col(order))).alias(f"_{c}") for c in ("safe", "half")]
+    starts = rows.groupBy(*keys, "_chunk").agg(*first).withColumn("_start", F.coalesce("_safe", "_half"))
     starts = starts.select(
-        *keys, "_chunk", "_start",
+        *keys, "_chunk", "_start", (F.col("_safe").isNull() & F.col("_half").isNotNull()).alias("_half"),
         F.last(F.when(F.col("_start").isNotNull(), F.col("_chunk")), True).over(earlier).alias("_before"),
         F.lead("_start").over(along).alias("_next_start"),
         F.lead("_chunk").over(along).alias("_next"),
     )
-    rows = rows.join(starts, [*keys, "_chunk"])
-    at, start, next_start = F.col(order), F.col("_start"), F.col("_next_start")
-    before = F.coalesce("_before", F.lit(-1).cast("long"))
-    home = F.when(at >= start, F.col("_chunk")).otherwise(before)
-    places = F.array_compact(
-        F.array(
-            home,
-            F.when((at >= start - CONTEXT) & (at < start), F.col("_chunk")),
-            F.when((at >= next_start - CONTEXT) & (at < next_start), F.col("_next")),
-            F.when(at == start, before),
-        )
-    )
-    rows = rows.withColumn("_home", home).withColumn("_part", F.explode(places))
-    rows = rows.withColumn("_out", F.col("_home") == F.col("_part"))
+    starts = stored(starts, "starts")
+    unknown = {c: F.lit(None).cast("boolean") for c in ("_known", "_next_known")}
+    if starts.filter("_half").isEmpty():
+        starts = starts.withColumns(unknown)
+    else:
+        known = _known_starts(rows, starts.withColumns(unknown), keys, order)
+        starts = starts.join(known, [*keys, "_chunk"], "left").withColumn("_next_known", F.lead("_known").over(along))
     filled = fold_groups(
-        rows, [*keys, "_part"], [order], [order, "x", "y", "_out"], extrapolate_gaps,
-        {order: "long", "x": "double", "y": "double"},
+        _blanked(_parts(rows, starts, keys, order), F.col("_known")), [*keys, "_part"], [order], [order, "x", "y", "_out"],
+        extrapolate_gaps, {order: "long", "x": "double", "y": "double"},
     )
     return filled.drop("_part")
 
@@ -365,78 +434,112 @@ def thin_piece(rows: Iterator[tuple]) -> Iterator[tuple]:
     """Fold over (frame, side, x, y, checks) of one piece.
 
     After each hit the last two are compared once per frame, `checks` times; the earlier
-    one is dropped when they are close. Yields the hits left over, and before them the
+    one is dropped when they are close. Yields the hits left over with their places among them, and the
     checks that a hit with none before it in the piece still has for earlier pieces.
     """
-    stack, open_checks = [], []
+    stack = []
     for frame, side, x, y, checks in rows:
         stack.append((frame, side, x, y))
         while checks > 0 and len(stack) > 1 and math.dist((x, y), stack[-2][2:]) < TOO_CLOSE:
             del stack[-2]
             checks -= 1
         if checks > 0 and len(stack) == 1:
-            open_checks.append((0, frame, side, x, y, checks))
-    yield from open_checks
-    for hit in stack:
-        yield 1, *hit, 0
+            yield None, frame, side, x, y, checks
+    for i, hit in enumerate(stack):
+        yield i, *hit, None
 
 
-def thin_before(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Fold over (frame, side, x, y, checks, sender) of one piece: its hits, then the open checks of later pieces.
+def thin_block(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Fold over (sender, piece, i, frame, side, x, y, checks): hits of a block's pieces, then the open checks of later pieces.
 
-    Yields as `thin_piece` does: checks that have used up the piece's hits stay open for the pieces before it.
+    Yields the checks that are left when all these hits are dropped, and how many hits each piece keeps.
     """
-    stack, still_open = [], []
-    for frame, side, x, y, checks, sender in rows:
+    stack, left = [], {}
+    for sender, piece, i, frame, side, x, y, checks in rows:
         if sender is None:
-            stack.append((frame, side, x, y))
+            stack.append((piece, x, y))
+            left[piece] = i + 1
             continue
-        while checks > 0 and stack and math.dist((x, y), stack[-1][2:]) < TOO_CLOSE:
-            stack.pop()
+        while checks > 0 and stack and math.dist((x, y), stack[-1][1:]) < TOO_CLOSE:
+            left[stack.pop()[0]] -= 1
             checks -= 1
         if checks > 0 and not stack:
-            still_open.append((0, frame, side, x, y, checks, sender))
-    yield from still_open
-    for hit in stack:
-        yield 1, *hit, 0, None
+            yield sender, None, None, frame, side, x, y, checks
+    for piece, n in left.items():
+        yield None, piece, n, None, None, None, None, None
 
 
 def thin_hits(
-    hits: DataFrame, frames: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER, size: int = CHUNK
+    hits: DataFrame, frames: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER, size: int = CHUNK, bound: int = CHUNK
 ) -> DataFrame:
-    """Drop a hit when the one after it is near, comparing the last two hits once per frame."""
+    """Drop a hit when the one after it is near, comparing the last two hits once per frame.
+
+    Hits are dropped from the end of a piece only, so what later pieces leave of it is a number. Open checks first try the
+    piece before, which ends nearly all; then, in rounds over blocks of 1, 2, 4 ... pieces, the block before their own. A round
+    takes the last `bound` hits of a block and the first `bound` checks, rounded up to whole pieces; another one follows at the
+    same width where that is not all. Each round writes the checks still open, and a number per piece that it asked.
+    """
     rows = chunks.with_chunk(hits.select(*keys, order, "side", "x", "y"), order, size)
     w = Window.partitionBy(*keys, "_chunk").orderBy(order, "side")
     firsts = rows.groupBy(*keys, "_chunk").agg(F.min(order).alias("_first"))
     along = Window.partitionBy(*keys).orderBy("_chunk")
     n_frames = frames.groupBy(*keys).agg((F.max(order) + 1).alias("_n"))
-    ends = firsts.withColumn("_after", F.lead("_first").over(along)).join(n_frames, list(keys))
-    ends = ends.select(*keys, "_chunk", F.coalesce("_after", "_n").alias("_end"))
+    number = (F.row_number().over(along) - 1).cast("long")
+    ends = firsts.withColumns({"_after": F.lead("_first").over(along), "_piece": number}).join(n_frames, list(keys))
+    ends = ends.select(*keys, "_chunk", "_piece", F.coalesce("_after", "_n").alias("_end"))
     rows = rows.withColumn("_next", F.lead(order).over(w)).join(ends, [*keys, "_chunk"])
     rows = rows.withColumn("_checks", F.coalesce("_next", "_end") - F.col(order))
     hit = {order: "long", "side": "int", "x": "double", "y": "double"}
+    piece, sender = [*keys, "_piece"], [*keys, "_sender"]
     thinned = fold_groups(
-        rows, [*keys, "_chunk"], [order, "side"], [order, "side", "x", "y", "_checks"], thin_piece,
-        {"kind": "int"} | hit | {"_checks": "long"},
+        rows, piece, [order, "side"], [order, "side", "x", "y", "_checks"], thin_piece, {"_i": "long"} | hit | {"_checks": "long"}
     )
-    thinned = stored(thinned.withColumn("_sender", F.when(F.col("kind") == 0, F.col("_chunk"))), "thinned")
-    checks = thinned.filter("kind = 0").drop("kind")
-    left = thinned.filter("kind = 1").select(*keys, "_chunk", *hit)
-    # A hit with checks left asks the nearest piece before that still has hits. Each round goes one such piece back.
-    while not checks.isEmpty():
-        pieces = stored(left.select(*keys, "_chunk").distinct(), "pieces")
-        last = checks.select(*keys, "_chunk").distinct().join(pieces.withColumnRenamed("_chunk", "_target"), list(keys))
-        last = last.filter(F.col("_target") < F.col("_chunk")).groupBy(*keys, "_chunk").agg(F.max("_target").alias("_target"))
-        sent = checks.join(last, [*keys, "_chunk"]).drop("_chunk").withColumnRenamed("_target", "_chunk")
-        asked = stored(sent, "sent")
-        reached = asked.select(*keys, "_chunk").distinct()
-        both = left.join(reached, [*keys, "_chunk"], "left_semi").unionByName(asked, allowMissingColumns=True)
+    thinned = stored(thinned, "thinned")
+    left = thinned.filter("_i IS NOT NULL").drop("_checks")
+    checks = thinned.filter("_i IS NULL").select(*keys, F.col("_piece").alias("_sender"), *hit, "_checks")
+    counts = left.groupBy(*piece).agg((F.max("_i") + 1).alias("_n"))
+    begun = False
+    while (asking := _nearest(checks, counts, keys, 0 if not begun else None)) is not None:
+        width, senders = asking
+        block = [*keys, "_block"]
+        in_order = Window.partitionBy(*block).orderBy("_sender").rowsBetween(UNBOUNDED, -1)
+        senders = senders.withColumn("_block", F.shiftright("_sender", width) - 1)
+        senders = senders.withColumn("_sent", F.coalesce(F.sum("_n_checks").over(in_order), F.lit(0))).filter(F.col("_sent") < bound)
+        senders = stored(senders.select(*sender, "_block"), "senders")
+        backwards = Window.partitionBy(*block).orderBy(F.desc("_piece")).rowsBetween(UNBOUNDED, -1)
+        pieces = counts.filter("_n > 0").withColumn("_block", F.shiftright("_piece", width))
+        pieces = pieces.join(senders.select(*block).distinct(), block, "left_semi")
+        pieces = pieces.withColumn("_later", F.coalesce(F.sum("_n").over(backwards), F.lit(0))).filter(F.col("_later") < bound)
+        asked = left.join(pieces.select(*piece, "_n", "_block"), piece).filter("_i < _n").drop("_n")
+        both = asked.unionByName(checks.join(senders, sender), allowMissingColumns=True)
         folded = fold_groups(
-            both, [*keys, "_chunk"], ["_sender", order, "side"], [order, "side", "x", "y", "_checks", "_sender"], thin_before,
-            {"kind": "int"} | hit | {"_checks": "long", "_sender": "long"},
+            both, block, ["_sender", "_piece", "_i", order, "side"], ["_sender", "_piece", "_i", order, "side", "x", "y", "_checks"],
+            thin_block, {"_sender": "long", "_piece": "long", "_n": "long"} | hit | {"_checks": "long"},
         )
         folded = stored(folded, "folded")
-        checks = folded.filter("kind = 0").drop("kind")
-        untouched = left.join(reached, [*keys, "_chunk"], "left_anti")
-        left = stored(untouched.unionByName(folded.filter("kind = 1").select(*keys, "_chunk", *hit)), "left")
-    return left.drop("_chunk")
+        still = folded.filter("_sender IS NOT NULL").select(*checks.columns)
+        checks = stored(checks.join(senders, sender, "left_anti").unionByName(still), "checks")
+        fewer = folded.filter("_piece IS NOT NULL").select(*piece, "_n")
+        counts = counts.unionByName(fewer).groupBy(*piece).agg(F.min("_n").alias("_n"))
+        begun = True
+    return left.join(counts, piece).filter("_i < _n").select(*keys, *hit)
+
+
+def _nearest(checks: DataFrame, counts: DataFrame, keys: Sequence[str], width: int | None) -> tuple[int, DataFrame] | None:
+    """The pieces whose open checks may ask now, with the number of these, and the width (as power of two) of the blocks.
+
+    A piece may ask when the nearest piece before it that has hits left lies in the block next to its own, for the least width for
+    which there are such pieces; with a width given, all may. None when no check has a hit before it.
+    """
+    along = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(UNBOUNDED, -1)
+    before = F.last(F.when(F.col("_n") > 0, F.col("_piece")), True).over(along)
+    places = counts.select(*keys, F.col("_piece").alias("_sender"), before.alias("_target")).filter("_target IS NOT NULL")
+    senders = checks.groupBy(*keys, "_sender").agg(F.count(F.lit(1)).alias("_n_checks")).join(places, [*keys, "_sender"])
+    apart = F.floor(F.log2(F.col("_sender").bitwiseXOR(F.col("_target")).cast("double"))).cast("int")
+    senders = senders.withColumn("_width", apart)
+    least = senders.agg(F.min("_width")).first()[0]
+    if least is None:
+        return None
+    if width is not None:
+        return width, senders
+    return least, senders.filter(F.col("_width") == least)
