@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, begin, keyed, released, squeezed, stored, whole_groups, whole_rows, with_keys
+from framewise.llm.common import batch_of, begin, keyed, released, remove, squeezed, stored, whole_groups, whole_rows, with_keys
 
 #: Strings of a bucket that one task sorts at most: with a few hundred bytes each, some seconds' work.
 CROWD = 4096
@@ -241,24 +241,27 @@ def kinds(rows: DataFrame, weight: Column, *keep: str) -> DataFrame:
     return rows.groupBy(who).agg(weight.alias("n"), *(F.first(c).alias(c) for c in keep)).select("who.mini", "who.fp", "n", *keep)
 
 
-def marked(strings: DataFrame, kind: Kind) -> DataFrame:
-    """Strings whose bucket may hold repeated windows beyond equal strings, and whether it is crowded."""
+def shared_buckets(strings: DataFrame, kind: Kind) -> DataFrame:
+    """(mini, crowded) of the buckets that may hold repeated windows beyond equal strings, stored, so that a hot bucket's rows can be split."""
     units = F.sum(F.col("windows") + F.lit(kind.width))
     buckets = strings.groupBy("mini").agg(F.count("*").alias("kinds"), F.max("ties").alias("within"), units.alias("units"))
     crowded = (F.col("kinds") > kind.crowd) | ((F.col("kinds") > 1) & (F.col("units") > LOAD))
-    buckets = buckets.where("kinds > 1 OR within > 0").select("mini", crowded.alias("crowded"))
-    return strings.join(stored(buckets), "mini")  # stored, so that a hot bucket's rows can be split
+    return stored(buckets.where("kinds > 1 OR within > 0").select("mini", crowded.alias("crowded")))
 
 
 def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
     """(kid, kth, first, end): runs of units covered by repeated windows, some of them overlapping."""
-    rows = stored(scan(docs, kind))
-    twice = rows.groupBy("mini").agg(F.count("*").alias("n"), F.max("ties").alias("ties"))
+    scanned = stored(scan(docs, kind))
+    twice = scanned.groupBy("mini").agg(F.count("*").alias("n"), F.max("ties").alias("ties"))
     twice = stored(twice.where("n > 1 OR ties > 0").select("mini"))
-    rows = stored(rows.join(twice, "mini"))
+    rows = stored(scanned.join(twice, "mini"))
+    remove(scanned, twice)
     strings = stored(kinds(rows, F.count("*"), "kid", "kth", "start", "windows", "ties"))
     whole = strings.where("n > 1").select("mini", "fp", F.lit(0).alias("first"), F.col("windows").alias("end"))
-    buckets = stored(marked(strings, kind))
+    minis = shared_buckets(strings, kind)
+    buckets = stored(strings.join(minis, "mini"))
+    remove(minis)
+    used = [strings, buckets]
     found = whole.unionByName(in_buckets(pack(docs, buckets.where("NOT crowded"), kind), kind))
     crowded = buckets.where("crowded")
     if not crowded.isEmpty():
@@ -267,8 +270,10 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
         for run in kind.runs:
             parts = stored(shorter(parts, kind, run))
             different = stored(kinds(parts, F.sum("n"), "windows", "packed").withColumn("ties", F.lit(0)))
+            minis = shared_buckets(different, kind)
+            used += [parts, different, minis]
             hits = different.where("n > 1").select("mini", "fp", F.lit(0).alias("first"), F.col("windows").alias("end"))
-            buckets = marked(different, kind)
+            buckets = different.join(minis, "mini")
             last = run == kind.runs[-1]
             if run > 1:  # different strings of one window each have none in common
                 few = buckets if last else buckets.where("NOT crowded")
@@ -279,11 +284,13 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
             found = found.unionByName(hits.select(F.col("root_mini").alias("mini"), F.col("root_fp").alias("fp"), first.alias("first"), end.alias("end")))
             if last:
                 break
-            many = buckets.where("crowded").select("mini").distinct()
-            parts = parts.join(stored(many), "mini")
+            many = stored(buckets.where("crowded").select("mini").distinct())
+            used.append(many)
+            parts = parts.join(many, "mini")
             if parts.isEmpty():
                 break
     found = stored(found)
+    remove(*used)
     last_end = F.col("start") + F.col("end") + F.lit(kind.width - 1)
     return rows.join(found, ["mini", "fp"]).select("kid", "kth", (F.col("start") + F.col("first")).alias("first"), last_end.alias("end"))
 
