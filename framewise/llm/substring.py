@@ -20,7 +20,7 @@ from framewise.llm.common import batch_of, released, unpacked
 from framewise.llm.superkmers import Bucket, Kind, Units, covered, with_runs
 
 WIDTH = 35
-GRAM = 3
+GRAM = 7  # with 3, many strings that have no window in common would meet in a bucket
 _RNG = np.random.default_rng(35)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _MIX = _RNG.integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
