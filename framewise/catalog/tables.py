@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from framewise import schema
 from framewise.catalog import register
 from framewise.catalog.sql import query
-from framewise.operators import overlay
-from framewise.sources import contracts, tables
+from framewise.operators import chunks, overlay
+from framewise.sources import contracts, pieces, tables
 
 _BALL = query("SELECT video_id, frame, x, y FROM ball", "ball")
 
@@ -22,6 +22,30 @@ def _(t):
     return tables.load_or_compute(t.spark, path, not_again)
 
 
+@register("s1_load_covered", _BALL)
+def _(t):
+    """Stored for the frames of the videos, read back for the same ones."""
+    path = tables.work_folder(t.spark, "ball")
+    pieces.load_or_compute(t.spark, path, t.frames, lambda: t.track, size=512)
+
+    def not_again():
+        raise AssertionError("stored detections were not used")
+
+    return pieces.load_or_compute(t.spark, path, t.frames, not_again).drop("_chunk")
+
+
+@register("s2_windows_of_stored_pieces", query(
+    """SELECT video_id, frame, (sum(CASE WHEN x IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame))::BIGINT AS n_seen,
+      x - lag(x) OVER (PARTITION BY video_id, frame // 512 ORDER BY frame) AS step FROM ball""", "ball"))
+def _(t):
+    """Running numbers of seen points and steps inside a piece, of rows that stay dealt as they were stored."""
+    path = tables.work_folder(t.spark, "ball")
+    rows = pieces.write_pieces(t.track, path, t.frames, size=512)
+    rows = rows.withColumn("seen", F.col("x").isNotNull().cast("long"))
+    rows = rows.withColumn("step", F.col("x") - F.lag("x").over(chunks.asc()))
+    return chunks.running_total(rows, "seen", "n_seen").select("video_id", "frame", "n_seen", "step")
+
+
 def _written(t):
     path = tables.work_folder(t.spark, "players")
     tables.write_detections(t.players, path)
