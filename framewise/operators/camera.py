@@ -21,14 +21,22 @@ def point_counts(court: DataFrame, min_points: int = MIN_POINTS, keys: Sequence[
 
 
 def _with_previous(court, min_points, keys, order, size) -> DataFrame:
-    """One row per frame with enough points: its points, and those of the last such frame."""
+    """One row per frame with enough points: its points, and those of the last such frame.
+
+    Rows are dealt by piece once, before they are collected: lists gathered ahead of a shuffle would sort all
+    rows of a task, however many points a small input unfolds to.
+    """
     points = F.map_from_entries(F.collect_list(F.struct("kp_idx", F.struct("x", "y"))))
+    # Rows without a key or piece are not joined in the end; left out here, both sides of that join read one shuffle.
+    dealt = chunks.with_chunk(court.select(*keys, order, "kp_idx", "x", "y"), order, size)
+    for c in (*keys, "_chunk"):
+        dealt = dealt.filter(F.col(c).isNotNull())
     frames = (
-        court.groupBy(*keys, order).agg(points.alias("points"))
+        dealt.repartition(*keys, "_chunk").groupBy(*keys, "_chunk", order).agg(points.alias("points"))
         .filter(F.size("points") >= min_points)
         .withColumn("at", F.col(order))
     )
-    return chunks.previous_row(frames, ["at", "points"], keys, order, size)
+    return chunks.previous_row(frames, ["at", "points"], keys, order, size).drop("_chunk")
 
 
 def common_points(
@@ -61,13 +69,23 @@ def displacement(
     size: int = CHUNK,
 ) -> DataFrame:
     """Mean squared displacement of the common points, over both coordinates; only with enough of them."""
-    dx, dy = F.col("x") - F.col("prev_x"), F.col("y") - F.col("prev_y")
-    return (
-        common_points(court, min_points, keys, order, size)
-        .groupBy(*keys, order)
-        .agg(F.avg((dx * dx + dy * dy) / 2).alias("mse"), F.count(F.lit(1)).alias("n_common"))
-        .filter(F.col("n_common") >= min_points)
-    )
+    rows = _with_previous(court, min_points, keys, order, size).filter(F.col("prev_at").isNotNull())
+    common = F.array_intersect(F.map_keys("points"), F.map_keys("prev_points"))
+    rows = rows.withColumn("_common", common).filter(F.size("_common") >= min_points)
+    known = F.filter(F.transform("_common", _squared), lambda d: d.isNotNull())
+    mse = F.try_divide(_total(known), F.size(known))
+    return rows.select(*keys, order, mse.alias("mse"), F.size("_common").cast("long").alias("n_common"))
+
+
+def _squared(i):
+    """Half the squared distance of a point of both frames."""
+    now, then = F.element_at("points", i), F.element_at("prev_points", i)
+    dx, dy = now["x"] - then["x"], now["y"] - then["y"]
+    return (dx * dx + dy * dy) / 2
+
+
+def _total(values):
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
 
 def camera_moved(
@@ -88,14 +106,8 @@ def _moves(court, tolerance, min_points, keys, order, size) -> DataFrame:
     rows = _with_previous(court, min_points, keys, order, size)
     common = F.array_intersect(F.map_keys("points"), F.map_keys("prev_points"))
 
-    def squared(i):
-        now, then = F.element_at("points", i), F.element_at("prev_points", i)
-        dx, dy = now["x"] - then["x"], now["y"] - then["y"]
-        return (dx * dx + dy * dy) / 2
-
     rows = rows.withColumn("_common", common).withColumn("n_common", F.coalesce(F.size("_common"), F.lit(0)))
-    total = F.aggregate(F.transform("_common", squared), F.lit(0.0), lambda a, b: a + b)
-    mse = F.when(F.col("n_common") >= min_points, total / F.col("n_common"))
+    mse = F.when(F.col("n_common") >= min_points, _total(F.transform("_common", _squared)) / F.col("n_common"))
     rows = rows.withColumn("mse", mse)
     moved = F.col("prev_at").isNull() | (F.col("n_common") < min_points) | (F.col("mse") > tolerance)
     mse = F.when(F.col("prev_at").isNotNull(), F.col("mse"))
@@ -110,19 +122,20 @@ def latest_value(
     order: str = ORDER,
     size: int = CHUNK,
 ) -> DataFrame:
-    """As-of join: each row gets the value of the newest update at or before its frame."""
+    """As-of join: each row gets the value of the newest update at or before its frame.
+
+    What earlier pieces hand on is picked from the updates alone; of the rows only the pieces are listed.
+    """
     spine = rows.withColumns({"_row": F.lit(True), col: F.lit(None).cast(updates.schema[col].dataType)})
     news = updates.select(*keys, order, col)
     both = spine.unionByName(news, allowMissingColumns=True)
     both = chunks.with_chunk(both, order, size)
     newest = F.last(col, True).over(asc(keys, order).rangeBetween(chunks.UNBOUNDED, 0))
-    last = F.max_by(col, F.when(F.col(col).isNotNull(), F.col(order)))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(chunks.UNBOUNDED, -1)
-    carried = (
-        both.groupBy(*keys, "_chunk")
-        .agg(last.alias("_last"))
-        .select(*keys, "_chunk", F.last("_last", True).over(earlier).alias("_old"))
-    )
+    lasts = chunks.with_chunk(news.filter(F.col(col).isNotNull()), order, size)
+    lasts = lasts.groupBy(*keys, "_chunk").agg(F.max_by(col, order).alias("_last"))
+    pieces = both.select(*keys, "_chunk").distinct().join(lasts, [*keys, "_chunk"], "left")
+    carried = pieces.select(*keys, "_chunk", F.last("_last", True).over(earlier).alias("_old"))
     return (
         both.withColumn("_new", newest)
         .filter("_row")
