@@ -10,7 +10,7 @@ What is held for a track is one point, a number, and the rows that wait: as many
 """
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,18 +47,36 @@ class _TrackProcessor(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
         for batch in rows:
             points = zip(*(batch[c].tolist() for c in ("frame", "x", "y")))
-            self.waiting.appendList([(int(f), *(None if math.isnan(v) else v for v in p)) for f, *p in points])
-        yield from self._go_on(key, timerValues)
+            new += [(int(f), *(None if math.isnan(v) else v for v in p)) for f, *p in points]
+        passed, first = timerValues.getCurrentWatermarkInMs(), _millis(min(f for f, *_ in new))
+        timers = self._timers()
+        if min(first, *timers) > passed if timers else first > passed:
+            # Nothing is due, so what waits already need not be read and written again.
+            self.waiting.appendList(new)
+            if not timers or first < min(timers):
+                self._wake(timers, first)
+        else:
+            yield from self._go_on(key, timerValues, new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._go_on(key, timerValues)
 
-    def _go_on(self, key, timerValues) -> Iterator[pd.DataFrame]:
+    def _timers(self) -> list[int]:
+        """When the track is to wake up: for its first waiting row, or at its end."""
+        return [timer if isinstance(timer, int) else timer[0] for timer in self.handle.listTimers()]
+
+    def _wake(self, timers: list[int], at: int) -> None:
+        for timer in timers:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
+    def _go_on(self, key, timerValues, new: Sequence[tuple] = ()) -> Iterator[pd.DataFrame]:
         """Take the rows that the watermark has passed; wake up for the next one, or at the end of the track."""
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(map(tuple, self.waiting.get()), key=lambda r: (r[0], *(math.inf if v is None else v for v in r[1:])))
+        waiting = sorted([*map(tuple, self.waiting.get()), *new], key=lambda r: (r[0], *(math.inf if v is None else v for v in r[1:])))
         newest, *last, segment = self.state.get() if self.state.exists() else (-1, None, None, None, 0)
         last = None if last[0] is None else tuple(last)
         out, later, taken = [], [], newest
@@ -72,17 +90,18 @@ class _TrackProcessor(StatefulProcessor):
             newest = frame
             if row is not None:
                 out.append((key[0], *row))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        timers = self._timers()
         end = _millis(newest + IDLE)
         if not later and newest >= 0 and passed >= end:
             self.state.clear()
             self.waiting.clear()
+            for timer in timers:
+                self.handle.deleteTimer(timer)
         else:
             self.waiting.put(later) if later else self.waiting.clear()
             if newest >= 0:
                 self.state.update((newest, *(last or (None, None, None)), segment))
-            self.handle.registerTimer(_millis(later[0][0]) if later else end)
+            self._wake(timers, _millis(later[0][0]) if later else end)
         for k in range(0, len(out), _OUT):
             yield pd.DataFrame(out[k : k + _OUT], columns=self.columns)
 

@@ -55,3 +55,77 @@ def test_the_state_of_an_ended_track_is_removed(spark, track, state_store):
     got, _ = feed(spark, tracks.ball_segments, [first, spark.createDataFrame([(-1, 10**7, None, None)], schema.BALL), again,
                                                 spark.createDataFrame([(-1, 3 * 10**7, None, None)], schema.BALL)])
     assert [r[4] for r in got] == [1, 1, 1, 1]
+
+
+class _Held:
+    """One state of a processor, with the number of times it was read."""
+
+    def __init__(self):
+        self.value, self.reads = None, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.reads += 1
+        return iter(self.value or []) if not isinstance(self.value, tuple) else self.value
+
+    def appendList(self, rows):
+        self.value = (self.value or []) + rows
+
+    def put(self, rows):
+        self.value = rows
+
+    update = put
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Held())
+
+    getListState = getValueState
+
+    def listTimers(self):
+        return iter([(t,) for t in sorted(self.timers)])
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class _Clock:
+    def __init__(self, passed):
+        self.passed = passed
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+
+def test_rows_that_wait_are_not_read_until_one_is_due():
+    import pandas as pd
+
+    from framewise.streaming import tracks
+
+    handle = _Handle()
+    processor = tracks.BallSegments(100.0, 30)
+    processor.init(handle)
+    waiting = handle.states["waiting"]
+    for frames in ([8, 9], [4, 6], [5]):
+        batch = pd.DataFrame({"frame": frames, "x": 1.0, "y": 1.0})
+        assert list(processor.handleInputRows((0,), iter([batch]), _Clock(0))) == []
+    assert waiting.reads == 0 and handle.timers == {tracks._millis(4)}
+    got = list(processor.handleExpiredTimer((0,), _Clock(tracks._millis(6)), None))
+    assert [f for b in got for f in b["frame"]] == [4, 5, 6]
+    assert handle.timers == {tracks._millis(8)}
+    late = pd.DataFrame({"frame": [7], "x": 1.0, "y": 1.0})
+    got = list(processor.handleInputRows((0,), iter([late]), _Clock(tracks._millis(9))))
+    assert [f for b in got for f in b["frame"]] == [7, 8, 9]
+    assert handle.timers == {tracks._millis(9 + tracks.IDLE)} and not waiting.exists()
