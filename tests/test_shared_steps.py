@@ -3,7 +3,7 @@
 import contextlib
 import io
 
-from framewise.operators import camera, chunks
+from framewise.operators import camera, chunks, select
 from framewise.sources.samples import Samples
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,10 @@ def test_latest_value_over_pieces_without_updates(spark):
     news = spark.createDataFrame([(0, 4, 1.0), (0, 5, 2.0), (0, 6, None), (0, 30, 3.0)], "video_id long, frame long, m double")
     got = {(r["video_id"], r["frame"]): r["m"] for r in camera.latest_value(frames, news, "m", size=4).collect()}
     assert got == {(v, f): None if v or f < 4 else 3.0 if f >= 30 else 2.0 for v in (0, 1) for f in range(0, 40, 3)}
+
+
+def test_spots_of_a_frame_are_collected_after_they_are_dealt(spark):
+    t = Samples(spark, SF)
+    lines = plan(select.nearest_court_point(t.track, t.kps_seen)).splitlines()
+    at = next(i for i, line in enumerate(lines) if "partial_collect_list" in line)
+    assert "REPARTITION_BY_COL" in lines[at + 1]
