@@ -11,6 +11,7 @@ from framewise.operators import bounce, camera, fill, geometry, hits, models, ov
 from framewise.operators import select as S
 from framewise.plans.match import Match
 from framewise.sources.samples import FRAME_H, HEIGHTS
+from framewise.sources.tables import stored
 
 H = geometry.H_NAMES
 # The court's edges on the map.
@@ -89,9 +90,11 @@ def _(t):
     + ", 0.0::DOUBLE AS largest_residual FROM h JOIN (SELECT video_id, frame, count(*) AS n_points FROM kps GROUP BY ALL) k"
     " ON k.video_id = h.video_id AND k.frame = h.frame", "kps", extra={"h": homography("kps")}))
 def _(t):
-    """A fit to all court points, put on the map by the closed form, gives its matrix back."""
-    pairs = geometry.project_points(t.kps, geometry.frame_homography(t.kps))
-    fitted = geometry.fit_homography(pairs)
+    """A fit to all court points, put on the map by the closed form, gives its matrix back.
+
+    Pairs and fits are stored, as the steps after them read them more than once."""
+    pairs = stored(geometry.project_points(t.kps, geometry.frame_homography(t.kps)), "pairs")
+    fitted = stored(geometry.fit_homography(pairs), "fitted")
     largest = geometry.fit_residuals(pairs, fitted).groupBy("video_id", "frame").agg(F.max("residual").alias("largest_residual"))
     both = geometry.matrix_columns(fitted.join(largest, ["video_id", "frame"]))
     near = rounded(both, *[h for h in H if h[1] != "2"], "largest_residual", digits=3)
