@@ -71,8 +71,8 @@ def _(t):
     """Every feature row has a score; a kept frame is over the threshold, and no kept frame has another in its run."""
     features = bounce.bounce_features(t.track)
     model = models.fit_bounce_model(features, t.bounce_labels)
-    scores = models.score_features(features, model).select("video_id", "frame", "score")
-    kept = models.predict_bounces(t.track, model, smooth=False).select("video_id", "frame", F.lit(1).alias("kept"))
+    scores = models.score_frames(t.track, model, smooth=False)
+    kept = bounce.suppress_runs(scores).select("video_id", "frame", F.lit(1).alias("kept"))
     rows = scores.join(kept, ["video_id", "frame"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
     along = Window.partitionBy("video_id").orderBy("frame")
     low = F.sum(F.when(F.col("score") > 0.45, 0).otherwise(1)).over(along)
@@ -85,8 +85,7 @@ def _(t):
 def _(t):
     """Every frame has a probability from 0 to 1, and a hit where that is over 0.8."""
     model = models.fit_hit_model(t.track, t.bounce_labels)
-    p = models.predict_hits(t.track, model, threshold=None).withColumnRenamed("hit", "p")
-    both = p.join(models.predict_hits(t.track, model), ["video_id", "frame"])
+    both = models.predict_hits(t.track, model, probability="p")
     return both.select("video_id", "frame", F.col("p").between(0.0, 1.0).alias("in_range"),
                        (F.col("hit") == F.when(F.col("p") > 0.8, 1).otherwise(0)).alias("by_threshold"))
 

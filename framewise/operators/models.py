@@ -16,6 +16,7 @@ from framewise.operators.bounce import FEATURES, SCORE_THRESHOLD, bounce_feature
 from framewise.operators.chunks import CHUNK, KEYS, ORDER
 from framewise.operators.folds import smooth_gaps
 from framewise.operators.hits import lag_features
+from framewise.sources.tables import stored
 
 HIT_THRESHOLD = 0.8
 
@@ -52,6 +53,19 @@ def score_features(features: DataFrame, scorer: PipelineModel | Column) -> DataF
     return _transform(scorer, features, FEATURES, "score")
 
 
+def score_frames(
+    ball: DataFrame, scorer: PipelineModel | Column, smooth: bool = True, keys: Sequence[str] = KEYS, order: str = ORDER, size: int = CHUNK
+) -> DataFrame:
+    """(keys, order, _chunk, score) of every frame with bounce features, short gaps extrapolated first.
+
+    Scores of a model are stored: what follows reads them several times, and each time all trees would be walked again.
+    """
+    track = smooth_gaps(ball, keys, order, size) if smooth else ball
+    features = bounce_features(track, keys, order, size, keep_chunk=True)
+    scored = score_features(features, scorer).select(*keys, order, "_chunk", "score")
+    return scored if isinstance(scorer, Column) else stored(scored, "scores")
+
+
 def predict_bounces(
     ball: DataFrame,
     scorer: PipelineModel | Column,
@@ -65,10 +79,7 @@ def predict_bounces(
 
     A row without a score is no candidate, but stays between its neighbours.
     """
-    track = smooth_gaps(ball, keys, order, size) if smooth else ball
-    features = bounce_features(track, keys, order, size, keep_chunk=True)
-    scored = score_features(features, scorer).select(*keys, order, "_chunk", "score")
-    return suppress_runs(scored, threshold, keys=keys, order=order, size=size)
+    return suppress_runs(score_frames(ball, scorer, smooth, keys, order, size), threshold, keys=keys, order=order, size=size)
 
 
 def hit_columns(reach: int = 3) -> list[str]:
@@ -92,11 +103,15 @@ def predict_hits(
     threshold: float | None = HIT_THRESHOLD,
     keys: Sequence[str] = KEYS,
     order: str = ORDER,
+    probability: str | None = None,
 ) -> DataFrame:
-    """`hit` of every frame: 0 or 1 by the threshold on the class-1 probability, or the probability without one."""
+    """`hit` of every frame: 0 or 1 by the threshold on the class-1 probability, or the probability without one.
+
+    With `probability` that one too, in a column of this name.
+    """
     scored = _transform(model, lag_features(ball, keys=keys, order=order), hit_columns(), "probability")
     p = vector_to_array("probability")[1]
-    return scored.select(*keys, order, over_threshold(p, threshold).alias("hit"))
+    return scored.select(*keys, order, *([p.alias(probability)] if probability else []), over_threshold(p, threshold).alias("hit"))
 
 
 def confusion(predictions: DataFrame, labels: DataFrame, prediction: str, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
