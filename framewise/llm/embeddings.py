@@ -3,9 +3,11 @@
 Two vectors link if their cosine, in double precision, is at least `least` (0.95). Vectors that are null, zero, or
 hold null or non-finite components link with nothing, and vectors of different lengths don't link.
 
-Equal vectors become one with a weight. Unit vectors are rotated to principal axes, sorted by a grid on the
+Equal vectors become one with a weight, and travel as bytes of the column's type, once to be counted and once to be
+put in order; what is told of them comes back by a digest. Unit vectors are rotated to principal axes, sorted by a grid on the
 first three and cut into blocks. Blocks whose boxes on the leading axes are further apart than linked vectors
-can be are never compared. In a tile of two blocks, products over the leading axes come first; the rest of a
+can be are never compared. Pairs of blocks are read from where the blocks are stored and not dealt, so what is
+written grows with the vectors, not with the pairs; a task has some of the left blocks and some of the right ones. In a tile of two blocks, products over the leading axes come first; the rest of a
 product is at most the product of the two suffix norms (Cauchy-Schwarz), and pairs whose bound is below the
 threshold are dropped before the next axes are added. Remaining pairs are decided on the given components.
 
@@ -13,14 +15,16 @@ Rows with null ids take part; a component's id is null only if all its ids are.
 other, and link. No pair leaves a task: only sums of links and one link per vector to its tile's root.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import batch_of, components, roots, stored
-from framewise.llm.vectors import matrix, principal_axes, usable
+from framewise.llm.common import batch_of, components, remove, roots, stored
+from framewise.llm.vectors import principal_axes, usable
 
 LEAST = 0.95
 BLOCK = 1024
@@ -30,9 +34,10 @@ NO_ID = 2**63 - 1
 SLACK = 1e-9
 BLOCKS = pa.schema(
     [("block", pa.int64()), ("dims", pa.binary()), ("nodes", pa.binary()), ("weights", pa.binary()), ("data", pa.binary())]
-    + [("cells", pa.list_(pa.int64())), ("near", pa.list_(pa.int64())), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]
+    + [("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]
 )
-BLOCKS_DDL = "block long, dims binary, nodes binary, weights binary, data binary, cells array<long>, near array<long>, low array<double>, high array<double>"
+BLOCKS_DDL = "block long, dims binary, nodes binary, weights binary, data binary, low array<double>, high array<double>"
+PACKED = pa.schema([("vec_id", pa.int64()), ("x", pa.binary()), ("same", pa.binary())])
 SPOTS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
 
@@ -54,11 +59,11 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Side:
     """A block's vectors, as given and rotated, with the norms of what is left after each step."""
 
-    def __init__(self, block: dict, axes: np.ndarray):
+    def __init__(self, block: dict, axes: np.ndarray, kind: np.dtype):
         self.nodes = np.frombuffer(block["nodes"], dtype=np.int64)
         self.weights = np.frombuffer(block["weights"], dtype=np.int64)
         self.dims = np.frombuffer(block["dims"], dtype=np.int32)
-        self.given = np.frombuffer(block["data"], dtype=np.float64).reshape(len(self.nodes), -1)
+        self.given = np.frombuffer(block["data"], dtype=kind).astype(np.float64).reshape(len(self.nodes), -1)
         self.turned = unit(self.given) @ axes
         squares = np.cumsum(self.turned[:, ::-1] ** 2, axis=1)[:, ::-1]
         self.rest = np.sqrt(np.concatenate([squares, np.zeros((len(squares), 1))], axis=1))
@@ -115,7 +120,26 @@ def compare(a: Side, b: Side, same: bool, least: float) -> dict | None:
     return {"node": nodes[has], "n": total[has].astype(np.int64), "root": root[has]}
 
 
-def _blocks(vectors: DataFrame, axes: np.ndarray, least: float, size: int) -> DataFrame:
+def _packed(rows: DataFrame, kind: np.dtype) -> DataFrame:
+    """(vec_id, x, same) of rows (vec_id, x): the components as bytes, and a digest of them; zeros have no sign."""
+
+    def pack(batches):
+        for batch in batches:
+            x = [(np.asarray(v.values, dtype=kind) + kind.type(0)).tobytes() if v.is_valid else None for v in batch["x"]]
+            same = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in x]
+            yield batch_of(PACKED, {"vec_id": batch["vec_id"], "x": x, "same": same})
+
+    return rows.mapInArrow(pack, "vec_id long, x binary, same binary")
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, dims: int, kind: np.dtype) -> np.ndarray:
+    """Packed vectors as rows of doubles; shorter ones end in zeros."""
+    rows = column.to_pylist()
+    size = dims * kind.itemsize
+    return np.frombuffer(b"".join(v.ljust(size, b"\0") for v in rows), dtype=kind).astype(np.float64).reshape(-1, dims)
+
+
+def _blocks(vectors: DataFrame, axes: np.ndarray, least: float, size: int, kind: np.dtype) -> DataFrame:
     """Vectors (node, weight, x) as blocks, neighbours on the leading axes together."""
     dims = len(axes)
     width = max(1e-6, np.sqrt(max(0.0, 2 - 2 * least)) + 1e-6)
@@ -123,9 +147,9 @@ def _blocks(vectors: DataFrame, axes: np.ndarray, least: float, size: int) -> Da
     reach = int(1 / width) + 3
 
     def coordinates(batches):
-        schema = pa.schema([("node", pa.int64()), ("weight", pa.int64()), ("x", pa.list_(pa.float64())), ("cell", pa.int64()), ("y", pa.float64())])
+        schema = pa.schema([("node", pa.int64()), ("weight", pa.int64()), ("x", pa.binary()), ("cell", pa.int64()), ("y", pa.float64())])
         for batch in batches:
-            y = unit(matrix(batch["x"], dims)) @ axes[:, :grid]
+            y = unit(unpacked(batch["x"], dims, kind)) @ axes[:, :grid]
             cell = np.zeros(len(y), dtype=np.int64)
             for k in range(grid):
                 cell = cell * 2 * reach + np.floor(y[:, k] / width).astype(np.int64) + reach
@@ -144,76 +168,75 @@ def _blocks(vectors: DataFrame, axes: np.ndarray, least: float, size: int) -> Da
             yield block(pa.Table.from_batches(held))
 
     def block(t):
-        t = t.combine_chunks()
-        x = t["x"].chunk(0)
-        m = matrix(x, dims)
+        m = unpacked(t["x"], dims, kind)
         y = unit(m) @ axes[:, :BOX]
-        cells = np.unique(t["cell"].to_numpy())
-        near = cells
-        for k in range(grid):
-            near = np.unique(np.concatenate([near + s * (2 * reach) ** k for s in (-1, 0, 1)]))
-        nodes = t["node"].to_numpy()
-        row = (int(nodes[0]), np.asarray(pc.list_value_length(x)).astype(np.int32).tobytes(), nodes.astype(np.int64).tobytes(), t["weight"].to_numpy().astype(np.int64).tobytes(), m.tobytes())
-        row += (cells.tolist(), near.tolist(), (y.min(axis=0) - SLACK).tolist(), (y.max(axis=0) + SLACK).tolist())
+        nodes, lengths = t["node"].to_numpy(), pc.binary_length(t["x"]).to_numpy() // kind.itemsize
+        row = (int(nodes[0]), lengths.astype(np.int32).tobytes(), nodes.astype(np.int64).tobytes(), t["weight"].to_numpy().astype(np.int64).tobytes())
+        row += (m.astype(kind).tobytes(), (y.min(axis=0) - SLACK).tolist(), (y.max(axis=0) + SLACK).tolist())
         return batch_of(BLOCKS, {k: [v] for k, v in zip(BLOCKS.names, row)})
 
-    spots = vectors.mapInArrow(coordinates, "node long, weight long, x array<double>, cell long, y double")
+    spots = vectors.mapInArrow(coordinates, "node long, weight long, x binary, cell long, y double")
     return spots.repartitionByRange("cell", "y", "node").sortWithinPartitions("cell", "y", "node").mapInArrow(cut, BLOCKS_DDL)
 
 
 def _tiles(blocks: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of blocks that may hold linked vectors, a <= b."""
-    left = blocks.select(F.col("block").alias("a"), F.explode("cells").alias("cell"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    right = blocks.select(F.col("block").alias("b"), F.explode("near").alias("cell"), "low", "high")
+    """Pairs of blocks that may hold linked vectors, each pair once: columns of blocks, and the same beginning with b_."""
+    other = blocks.select(*[F.col(c).alias(f"b_{c}") for c in blocks.columns])
     gaps = F.zip_with(
-        F.zip_with("low", "high_a", lambda x, y: F.greatest(x - y, F.lit(0.0))),
-        F.zip_with("low_a", "high", lambda x, y: F.greatest(x - y, F.lit(0.0))),
+        F.zip_with("b_low", "high", lambda x, y: F.greatest(x - y, F.lit(0.0))),
+        F.zip_with("low", "b_high", lambda x, y: F.greatest(x - y, F.lit(0.0))),
         lambda x, y: F.greatest(x, y),
     )
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    return left.join(right, "cell").where((F.col("a") <= F.col("b")) & (apart <= 2 - 2 * least + SLACK)).select("a", "b").distinct()
+    # Which of two blocks is the left one depends on their numbers' parities, so that tasks have as many pairs.
+    a, b = F.col("block"), F.col("b_block")
+    once = F.when((a + b) % 2 == 0, a <= b).otherwise(a > b)
+    pairs = blocks.join(other, once & (apart <= 2 - 2 * least + SLACK))
+    return pairs.drop("low", "high", "b_low", "b_high")
 
 
-def links(vectors: DataFrame, axes: np.ndarray, least: float, size: int) -> DataFrame:
-    """(node, n, root) by tile."""
-    blocks = stored(_blocks(vectors, axes, least, size))
-    data = blocks.select("block", "dims", "nodes", "weights", "data")
-    right = _tiles(blocks, least).join(data, F.col("b") == F.col("block"))
-    left = data.withColumns({"a": F.col("block"), "b": F.lit(None).cast("long")})
-    cols = ("a", "b", "dims", "nodes", "weights", "data")
+def links(vectors: DataFrame, axes: np.ndarray, least: float, size: int, kind: np.dtype) -> DataFrame:
+    """(node, n, root) by tile, stored."""
+    blocks = stored(_blocks(vectors, axes, least, size, kind))
 
     def run(batches):
         a = None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                side = Side(row, axes)
-                if row["b"] is None:
-                    a = side
-                elif (out := compare(a, side, row["a"] == row["b"], least)) is not None:
+                if a is None or a[0] != row["block"]:
+                    a = row["block"], Side(row, axes, kind)
+                same = row["block"] == row["b_block"]
+                b = a[1] if same else Side({c[2:]: v for c, v in row.items() if c.startswith("b_")}, axes, kind)
+                if (out := compare(a[1], b, same, least)) is not None:
                     yield batch_of(SPOTS, out)
 
-    together = left.select(*cols).unionByName(right.select(*cols))
-    return together.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(run, "node long, n long, root long")
+    found = stored(_tiles(blocks, least).mapInArrow(run, "node long, n long, root long"))
+    remove(blocks)
+    return found
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST, size: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding)."""
-    x = F.col("embedding").cast("array<double>")
+    given = vectors.schema["embedding"].dataType
+    kind = np.dtype(np.float32 if given.simpleString() == "array<float>" else np.float64)
+    x = F.col("embedding").cast("array<float>" if kind == np.float32 else "array<double>")
     good = usable(x) & F.exists(x, lambda v: v != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, x).alias("x"))
-    different = rows.where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("weight"), F.min(F.coalesce("vec_id", F.lit(NO_ID))).alias("first"))
+    rows = _packed(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, x).alias("x")), kind)
+    different = rows.where("x IS NOT NULL").groupBy("x", "same").agg(F.count("*").alias("weight"), F.min(F.coalesce("vec_id", F.lit(NO_ID))).alias("first"))
     different = stored(different.withColumn("node", F.monotonically_increasing_id()))
-    dims = different.agg(F.max(F.size("x"))).first()[0] or 1
-    axes = principal_axes(different, "x", dims, unit)
-    spots = stored(links(different.select("node", "weight", "x"), axes, least, size))
+    dims = (different.agg(F.max(F.octet_length("x"))).first()[0] or kind.itemsize) // kind.itemsize
+    axes = principal_axes(different, "x", dims, unit, lambda column, dims: unpacked(column, dims, kind))
+    spots = links(different.select("node", "weight", "x"), axes, least, size, kind)
+    nodes = stored(different.drop("x"))
+    remove(different)
     members = components(spots.where("node <> root"), "node", "root")
     counts = spots.groupBy("node").agg(F.sum("n").alias("n"))
-    placed = different.join(members, "node", "left").join(counts, "node", "left")
-    placed = placed.select("x", "first", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    placed = nodes.join(members, "node", "left").join(counts, "node", "left")
+    placed = placed.select("same", "first", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     low = placed.groupBy("root").agg(F.min("first").alias("low"))
-    placed = placed.join(low, "root").select("x", "n_links", F.when(F.col("low") != NO_ID, F.col("low")).alias("low"))
-    out = rows.join(placed, "x", "left")
+    placed = placed.join(low, "root").select("same", "n_links", F.when(F.col("low") != NO_ID, F.col("low")).alias("low"))
+    out = rows.select("vec_id", "same").join(placed, "same", "left")
     alone = F.col("n_links").isNull()
     component = F.when(alone, F.col("vec_id")).otherwise(F.col("low"))
     return out.select(

@@ -24,7 +24,7 @@ def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
     return out
 
 
-def principal_axes(vectors: DataFrame, column: str, dims: int, rows=lambda m: m) -> np.ndarray:
+def principal_axes(vectors: DataFrame, column: str, dims: int, rows=lambda m: m, read=matrix) -> np.ndarray:
     """Axes by descending energy, as columns: eigenvectors of the sum of outer products over all vectors.
 
     Tasks send dims x dims sums, which Spark adds up: what the driver gets doesn't grow with the rows.
@@ -34,7 +34,7 @@ def principal_axes(vectors: DataFrame, column: str, dims: int, rows=lambda m: m)
     def sums(batches):
         total = np.zeros((dims, dims))
         for batch in batches:
-            m = rows(matrix(batch[column], dims))
+            m = rows(read(batch[column], dims))
             total += m.T @ m
         if total.any():
             i, j = np.triu_indices(dims)

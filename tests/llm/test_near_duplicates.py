@@ -121,3 +121,24 @@ def test_components(spark):
     assert got == {k: root[k] for k in range(300) if root[k] != k}
     i, j = np.array(pairs).T
     assert roots(i, j, 300).tolist() == root
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_tiles_are_not_dealt(spark, tmp_path, monkeypatch, kind):
+    """What is written grows with the vectors: pairs of blocks are read from the stored blocks, without an exchange."""
+    r = random.Random(3)
+    rows = [(k, [r.gauss(0, 1) for _ in range(16)]) for k in range(300)]
+    rows += [(300 + k, [c + r.gauss(0, 0.05) for c in v]) for k, v in rows[:50]] + [(400, [0.0, -0.0] * 8), (401, [1.0] * 8), (402, [1.0] * 16), (403, [-0.0] + [1.0] * 7)]
+    rows += [(404, [0.0] + [1.0] * 7)]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    tiles, plans = embeddings._tiles, []
+    monkeypatch.setattr(embeddings, "_tiles", lambda *a: plans.append(t := tiles(*a)) or t)
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embeddings.near_duplicates(table, size=32).collect()}
+    given = {x.vec_id: np.array(x.embedding, dtype=float) for x in table.collect()}
+    cos = lambda a, b: len(a) == len(b) and a.any() and b.any() and embeddings.cosines(a[None], b[None])[0] >= 0.95
+    links = {a: [b for b in given if a != b and cos(given[a], given[b])] for a in given}
+    assert {a: n for a, (n, _) in got.items()} == {a: len(b) for a, b in links.items()}
+    assert got[404] == got[403] and got[400][0] == 0
+    assert sum(map(len, links.values())) > 80
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
